@@ -10,6 +10,7 @@ import importlib
 from pyspark import cloudpickle
 
 _WORKER_MODULES = (
+    "clonelens.functions.arrays",
     "clonelens.operators.syntax",
     "clonelens.operators.rewrite",
     "clonelens.sources.source_tree",
@@ -17,6 +18,8 @@ _WORKER_MODULES = (
     "clonelens.models.moments",
     "clonelens.models.online",
     "clonelens.models.boosting",
+    "clonelens.models.extra_trees",
+    "clonelens.models.margins",
 )
 
 

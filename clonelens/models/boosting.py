@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clonelens.functions.arrays import CELLS, added_up, cells, matrix
 from clonelens.models.base import score_table, sigmoid
 
 
@@ -85,27 +86,22 @@ class AdaBoost:
         edges = [np.array(c) for c in cuts]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            cells = np.zeros((len(edges), width, 2))
+            sums = np.zeros((len(edges), width, 2))
             for batch in batches:
                 if batch.num_rows == 0:
                     continue
-                x = np.array(batch.column("x").to_pylist(), dtype=float)
+                x = matrix(batch.column("x"))
                 y = batch.column("label").to_numpy().astype(int)
                 weight = np.ones(len(x))
                 for s in stumps:
                     weight[s.misses(x, y)] *= np.exp(s.say)
                 for feature, points in enumerate(edges):
-                    np.add.at(cells[feature], (np.searchsorted(points, x[:, feature]), y), weight)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(cells.size), pa.int32()), pa.array(cells.ravel())],
-                names=["at", "w"],
-            )
-
-        parts = train.select("x", "label").mapInArrow(run, "at int, w double")
-        summed = parts.groupBy("at").agg(F.sum("w").alias("w")).collect()  # features * bins * 2
+                    np.add.at(sums[feature], (np.searchsorted(points, x[:, feature]), y), weight)
+            yield cells(sums)
+
         flat = np.zeros(len(edges) * width * 2)
-        for cell in summed:
-            flat[cell["at"]] = cell["w"]
+        for cell in added_up(train.select("x", "label").mapInArrow(run, CELLS)):
+            flat[cell["at"]] = cell["v"]
         return flat.reshape(len(edges), width, 2)
 
 

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clonelens.functions.arrays import matrix
 from clonelens.models.base import Linear, score_table, sigmoid
 
 
@@ -26,7 +27,7 @@ def gram_by_group(rows: DataFrame, group: str) -> dict[int, np.ndarray]:
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            x = np.array(batch.column("x").to_pylist(), dtype=float)
+            x = matrix(batch.column("x"))
             z = np.column_stack([np.ones(len(x)), x])
             groups = batch.column("g").to_numpy()
             for g in np.unique(groups):

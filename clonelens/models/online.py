@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clonelens.functions.arrays import matrix
 from clonelens.models.base import Linear
 
 # The learners' default settings.
@@ -78,7 +79,7 @@ class Online:
             for batch in batches:
                 if batch.num_rows == 0:
                     continue
-                x = np.array(batch.column("x").to_pylist(), dtype=float)
+                x = matrix(batch.column("x"))
                 y = np.where(batch.column("label").to_numpy() == 1, 1.0, -1.0)
                 mixed = order.permutation(len(x))
                 w = one_pass(kind, x[mixed], y[mixed], w, float(epoch * 1000 + seen))

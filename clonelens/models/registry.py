@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from clonelens.models.base import Estimator, Fitted, SparkMl
 from clonelens.models.boosting import AdaBoost
-from clonelens.models.ensembles import ExtraTrees
+from clonelens.models.extra_trees import ExtraTrees
 from clonelens.models.margins import CalibratedSvm, KernelSvm, LinearSvm
 from clonelens.models.moments import Lda, NearestCentroid, Qda, Ridge, RidgeCv
 from clonelens.models.neighbours import KNearest, LabelPropagation, LabelSpreading

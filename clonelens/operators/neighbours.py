@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from clonelens.functions.arrays import matrix
 from clonelens.functions.hashing import seeded_hash
 from clonelens.session import staged
 
@@ -28,10 +29,6 @@ _DISTANCE_PLACES = 9  # distances are rounded before ranking, so engines agree o
 _EXP_UNDERFLOW = 745.2  # exp(-v) is exactly 0.0 in double precision beyond this
 
 
-def _matrix(lists: pa.Array, width: int) -> np.ndarray:
-    return lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
-
-
 def squared_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """All squared distances, summed feature by feature (no cancellation for equal rows)."""
     total = np.zeros((len(a), len(b)))
@@ -56,7 +53,7 @@ def _assign(df: DataFrame, pivots: np.ndarray, block_rows: int) -> _Cells:
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            gaps = squared_distances(_matrix(batch.column("x"), pivots.shape[1]), pivots)
+            gaps = squared_distances(matrix(batch.column("x")), pivots)
             cell = gaps.argmin(axis=1)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -133,14 +130,14 @@ def _block_pairs(
     # at most _MAX_PIVOTS^2 rows, so the broadcast is bounded
     plan = F.broadcast(
         spark.createDataFrame(
-            [(q, p, p_cells.blocks[p]) for q, p in pairs], "q_cell int, p_cell int, p_blocks int"
+            [(q, p, p_cells.blocks[p]) for q, p in pairs], "q_cell int, p_cell int, p_blocks bigint"
         )
     )
     q_blocks = _pack(q_cells, ["row_id", "x"], "q").withColumnRenamed("cell", "q_cell").drop("sub")
     wanted = q_blocks.join(plan, "q_cell").select(
         "q",
         "p_cell",
-        F.explode(F.sequence(F.lit(0), F.col("p_blocks") - 1)).cast("bigint").alias("p_sub"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("p_blocks") - 1)).alias("p_sub"),
     )
     p_blocks = _pack(p_cells, point_fields, "p").select(
         F.col("cell").alias("p_cell"), F.col("sub").alias("p_sub"), "p"
@@ -165,8 +162,7 @@ def nearest_neighbours(queries: DataFrame, points: DataFrame, k: int = 5, block_
 
     def step(q: pa.StructArray, p: pa.StructArray) -> pa.RecordBatch:
         ids, labels = p.field("row_id").to_numpy(), p.field("label").to_numpy()
-        width = len(q.field("x")[0])
-        gaps = np.sqrt(squared_distances(_matrix(q.field("x"), width), _matrix(p.field("x"), width)))
+        gaps = np.sqrt(squared_distances(matrix(q.field("x")), matrix(p.field("x"))))
         gaps = np.round(gaps, _DISTANCE_PLACES)
         best = np.argsort(gaps, axis=1, kind="stable")[:, :k]  # points are in id order
         flat = best.ravel()
@@ -207,13 +203,12 @@ def kernel_sums(
     names = [f"s_{i}" for i in range(width)]
 
     def step(q: pa.StructArray, p: pa.StructArray) -> pa.RecordBatch:
-        size = len(q.field("x")[0])
-        gaps = squared_distances(_matrix(q.field("x"), size), _matrix(p.field("x"), size))
+        gaps = squared_distances(matrix(q.field("x")), matrix(p.field("x")))
         kernel = np.exp(-gamma * gaps)
         if skip_self:
             ids = q.field("row_id").to_numpy()
             kernel[ids[:, None] == p.field("row_id").to_numpy()[None, :]] = 0.0
-        sums = kernel @ _matrix(p.field("v"), width)
+        sums = kernel @ matrix(p.field("v"))
         return pa.RecordBatch.from_arrays(
             [q.field("row_id"), *[pa.array(sums[:, i]) for i in range(width)]],
             names=["row_id", *names],

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clonelens import ship_worker_code
-from clonelens.models.ensembles import ExtraTrees
+from clonelens.models.extra_trees import ExtraTrees
 from clonelens.models.moments import NearestCentroid
 from clonelens.models.neighbours import KNearest, LabelPropagation
 from clonelens.models.registry import MODELS, NEURAL_MODELS, TOP_MODELS, make

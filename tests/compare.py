@@ -75,7 +75,7 @@ def main() -> int:
     entry = importlib.import_module("__spark_entry__")
     from clonelens.session import build_session
 
-    spark = build_session("local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "12g"})
+    spark = build_session("local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "12g"})
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(args.sf)
     queries, oracles = entry.queries(), entry.oracle_sql()
