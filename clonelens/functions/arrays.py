@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Row
-from pyspark.sql import functions as F
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import DataFrame
 
 
 def matrix(lists: pa.Array) -> np.ndarray:
@@ -17,16 +18,20 @@ def matrix(lists: pa.Array) -> np.ndarray:
     return values.astype(float, copy=False).reshape(len(lists), width)
 
 
-CELLS = "at int, v double"
+ROWS = "at int, v array<double>"
 
 
-def cells(values: np.ndarray) -> pa.RecordBatch:
-    """A task's partial sum as (position, value) rows."""
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.arange(values.size), pa.int32()), pa.array(values.ravel())], names=["at", "v"]
-    )
+def row_sums(values: np.ndarray) -> pa.RecordBatch:
+    """A task's partial sum of a matrix, one output row per matrix row."""
+    offsets = np.arange(0, values.size + 1, values.shape[1], dtype=np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.ravel().astype(float)))
+    return pa.RecordBatch.from_arrays([pa.array(np.arange(len(values)), pa.int32()), lists], names=["at", "v"])
 
 
-def added_up(parts: DataFrame) -> list[Row]:
-    """The tasks' partial sums added position by position; as many rows as one task emits."""
-    return parts.groupBy("at").agg(F.sum("v").alias("v")).collect()
+def added_up(parts: DataFrame, height: int, width: int) -> np.ndarray:
+    """The tasks' partial sums added in Spark; the result is one ``height`` x ``width`` matrix."""
+    total = parts.groupBy("at").agg(Summarizer.sum(array_to_vector("v")).alias("v"))
+    out = np.zeros((height, width))
+    for row in total.collect():
+        out[row["at"]] = row["v"].toArray()
+    return out

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clonelens.functions.hashing import HASH_RANGE, seeded_hash
+from clonelens.functions.skew import broadcast_if_small
 
 
 def _fan_out(df: DataFrame) -> int:
@@ -76,8 +77,8 @@ def _running(
         F.col("__b").alias("__ob"),
         *[F.coalesce(F.sum(f"__t_{n}").over(before), F.lit(0)).alias(f"__o_{n}") for n in names],
     )
-    if not by:  # one row per bucket: the size is bounded by the bucket count
-        offsets = F.broadcast(offsets)
+    # without groups there is one row per bucket, so the size is bounded by the bucket count
+    offsets = broadcast_if_small(offsets) if by else F.broadcast(offsets)
     match = F.col("__b") == F.col("__ob")
     for c in by:
         match = match & F.col(c).eqNullSafe(F.col(f"__k_{c}"))
@@ -142,7 +143,7 @@ def hash_quota(
     counts = keyed.groupBy(*by, "__b").agg(F.count(F.lit(1)).alias("__n"))
     upto = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(*by)
-    edge = (
+    edge = broadcast_if_small(
         counts.withColumn("__upto", F.sum("__n").over(upto))
         .withColumn("__quota", F.ceil(F.sum("__n").over(whole) * F.lit(float(fraction))))
         .filter((F.col("__upto") >= F.col("__quota")) & (F.col("__upto") - F.col("__n") < F.col("__quota")))
@@ -159,7 +160,7 @@ def hash_quota(
     rank = F.row_number().over(
         Window.partitionBy(*[f"__k_{c}" for c in by], "__eb").orderBy("__h", id_col)
     )
-    cuts = (
+    cuts = broadcast_if_small(
         keyed.join(edge, on_edge)
         .withColumn("__r", rank)
         .filter(F.col("__r") == F.col("__need"))

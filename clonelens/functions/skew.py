@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clonelens.session import staged
+
 # A key is hot above rows / HOT_SHARE; so there are at most HOT_SHARE hot keys.
 HOT_SHARE = 1000
 SALTS = 64
@@ -14,6 +16,19 @@ SALTS = 64
 SMALL_GROUP = 100_000
 
 
+# A staged table with at most this many (narrow) rows may be broadcast.
+BROADCAST_ROWS = 100_000
+
+
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """Stage a per-group summary, count it, and broadcast it only if it is small.
+
+    Larger ones go through an ordinary shuffled join.
+    """
+    kept = staged(df, "summary")
+    return F.broadcast(kept) if kept.count() <= BROADCAST_ROWS else kept
+
+
 def salted_join(
     many: DataFrame,
     one: DataFrame,

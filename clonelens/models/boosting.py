@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clonelens.functions.arrays import CELLS, added_up, cells, matrix
+from clonelens.functions.arrays import ROWS, added_up, matrix, row_sums
 from clonelens.models.base import score_table, sigmoid
 
 
@@ -97,12 +97,10 @@ class AdaBoost:
                     weight[s.misses(x, y)] *= np.exp(s.say)
                 for feature, points in enumerate(edges):
                     np.add.at(sums[feature], (np.searchsorted(points, x[:, feature]), y), weight)
-            yield cells(sums)
+            yield row_sums(sums.reshape(len(edges), width * 2))
 
-        flat = np.zeros(len(edges) * width * 2)
-        for cell in added_up(train.select("x", "label").mapInArrow(run, CELLS)):
-            flat[cell["at"]] = cell["v"]
-        return flat.reshape(len(edges), width, 2)
+        parts = train.select("x", "label").mapInArrow(run, ROWS)
+        return added_up(parts, len(edges), width * 2).reshape(len(edges), width, 2)
 
 
 @dataclass

@@ -57,13 +57,15 @@ class _Growing:
     left: list[int] = field(default_factory=list)
     share: list[float] = field(default_factory=list)
     counts: list[tuple[float, float]] = field(default_factory=list)
+    depth: list[int] = field(default_factory=list)
 
-    def add(self, zeros: float, ones: float) -> int:
+    def add(self, zeros: float, ones: float, depth: int) -> int:
         self.feature.append(-1)
         self.cut.append(0.0)
         self.left.append(-1)
         self.share.append(ones / (zeros + ones))
         self.counts.append((zeros, ones))
+        self.depth.append(depth)
         return len(self.feature) - 1
 
     def forest(self) -> Forest:
@@ -159,19 +161,14 @@ class ExtraTrees:
         # are all constant gets the next ones, until none are left
         todo: list[tuple[int, np.ndarray]] = []
         for _ in range(self.trees):
-            todo.append((grown.add(totals.get(0, 0), totals.get(1, 0)), rng.permutation(size)))
+            todo.append((grown.add(totals.get(0, 0), totals.get(1, 0), 0), rng.permutation(size)))
         if len(totals) < 2:
             todo = []
-        for _ in range(self.max_depth):
-            following: list[tuple[int, np.ndarray]] = []
-            while todo:
-                part, todo = todo[:_SLICE], todo[_SLICE:]
-                retry, children = self._split(rows, grown, part, candidates, rng, gains)
-                todo = retry + todo
-                following += children
-            todo = [(n, rng.permutation(size)) for n in following]
-            if not todo:
-                break
+        while todo:
+            part, todo = todo[:_SLICE], todo[_SLICE:]
+            retry, children = self._split(rows, grown, part, candidates, rng, gains)
+            open_children = [n for n in children if grown.depth[n] < self.max_depth]
+            todo += retry + [(n, rng.permutation(size)) for n in open_children]
         total = gains.sum()
         return FittedExtraTrees(grown.forest(), list(gains / total if total > 0 else gains))
 
@@ -228,8 +225,9 @@ class ExtraTrees:
             zeros, ones = grown.counts[node]
             grown.feature[node], grown.cut[node] = int(features[at, c]), float(cuts[at, c])
             gains[features[at, c]] += max(gain, 0.0)
-            grown.left[node] = grown.add(l0, l1)
-            grown.add(zeros - l0, ones - l1)
+            below = grown.depth[node] + 1
+            grown.left[node] = grown.add(l0, l1, below)
+            grown.add(zeros - l0, ones - l1, below)
             for child in (grown.left[node], grown.left[node] + 1):
                 if min(grown.counts[child]) > 0:  # a pure node is a leaf
                     children.append(child)
@@ -254,4 +252,4 @@ class FittedExtraTrees:
 
     def importances(self) -> list[float]:
         """Share of the total impurity decrease per feature."""
-        return list(self.gains)
+        return [float(g) for g in self.gains]

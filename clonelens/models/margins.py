@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from clonelens.functions.arrays import CELLS, added_up, cells, matrix
+from clonelens.functions.arrays import ROWS, added_up, matrix, row_sums
 from clonelens.models.base import Linear, score_table, sigmoid
 from clonelens.session import staged
 
@@ -38,15 +38,19 @@ def _margin_sums(rows: DataFrame, w: np.ndarray) -> tuple[float, np.ndarray, np.
             loss += float(short @ short)
             slope -= 2.0 * (z.T @ (sign * short))
             curve += 2.0 * (z.T @ z)
-        yield cells(np.concatenate([[loss], slope, curve.ravel()]))
+        yield row_sums(np.vstack([np.full(size, loss), slope, curve]))
 
-    flat = np.zeros(1 + size + size * size)
-    for cell in added_up(rows.select("x", "label").mapInArrow(run, CELLS)):
-        flat[cell["at"]] = cell["v"]
-    return flat[0], flat[1 : 1 + size], flat[1 + size :].reshape(size, size)
+    total = added_up(rows.select("x", "label").mapInArrow(run, ROWS), size + 2, size)
+    return total[0, 0], total[1], total[2:]
 
 
-def _hyperplane(train: DataFrame, c: float, max_iter: int, tolerance: float = 1e-4) -> Linear:
+def _hyperplane(
+    train: DataFrame,
+    c: float,
+    max_iter: int,
+    tolerance: float = 1e-4,
+    start: Linear | None = None,
+) -> Linear:
     """Minimise |w|^2 / 2 + c * sum(max(0, 1 - y w.z)^2) by Newton steps, halved when they overshoot.
 
     The bias is penalised with the rest.  Each step is one pass whose result has
@@ -58,7 +62,7 @@ def _hyperplane(train: DataFrame, c: float, max_iter: int, tolerance: float = 1e
         loss, slope, curve = _margin_sums(train, w)
         return 0.5 * w @ w + c * loss, w + c * slope, np.eye(size) + c * curve
 
-    w = np.zeros(size)
+    w = np.zeros(size) if start is None else np.array([start.bias, *start.weights])
     value, slope, curve = at(w)
     first = np.linalg.norm(slope)
     for _ in range(max_iter):
@@ -176,7 +180,9 @@ class KernelSvm:
         if self.nu is None:
             plane = _hyperplane(mapped, self.c, self.max_iter)
         else:
-            planes = [_hyperplane(mapped, c, self.max_iter) for c in self.tried]
+            planes: list[Linear] = []
+            for c in self.tried:
+                planes.append(_hyperplane(mapped, c, self.max_iter, start=planes[-1] if planes else None))
             sign = F.col("label") * 2 - 1
             shares = mapped.agg(
                 *[F.avg((p.margin() * sign < 1).cast("double")).alias(f"s{i}") for i, p in enumerate(planes)]

@@ -12,10 +12,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clonelens.functions.arrays import matrix
+from clonelens.functions.arrays import ROWS, matrix, row_sums
 from clonelens.models.base import Linear, score_table, sigmoid
 
 
@@ -34,26 +36,16 @@ def gram_by_group(rows: DataFrame, group: str) -> dict[int, np.ndarray]:
                 part = z[groups == g]
                 sums[g] = sums.get(g, 0.0) + part.T @ part
         for g, total in sums.items():
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.full(total.size, g), pa.int64()),
-                    pa.array(np.arange(total.size), pa.int32()),
-                    pa.array(total.ravel()),
-                ],
-                names=["g", "at", "v"],
-            )
+            part = row_sums(total)
+            yield part.add_column(0, "g", pa.array(np.full(part.num_rows, g), pa.int64()))
 
     slim = rows.select(F.col(group).cast("bigint").alias("g"), "x")
-    parts = slim.mapInArrow(partial, "g bigint, at int, v double")
-    cells = parts.groupBy("g", "at").agg(F.sum("v").alias("v")).collect()  # groups * (d+1)^2 numbers
-    by_group: dict[int, dict[int, float]] = {}
-    for c in cells:
-        by_group.setdefault(c["g"], {})[c["at"]] = c["v"]
-    out = {}
-    for g, values in by_group.items():
-        side = round(len(values) ** 0.5)
-        out[g] = np.array([values[i] for i in range(side * side)]).reshape(side, side)
-    return out
+    parts = slim.mapInArrow(partial, "g bigint, " + ROWS)
+    summed = parts.groupBy("g", "at").agg(Summarizer.sum(array_to_vector("v")).alias("v"))
+    out: dict[int, dict[int, np.ndarray]] = {}
+    for row in summed.collect():  # groups * (features + 1) rows
+        out.setdefault(row["g"], {})[row["at"]] = row["v"].toArray()
+    return {g: np.stack([lines[i] for i in range(len(lines))]) for g, lines in out.items()}
 
 
 @dataclass

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clonelens.models.base import score_table
-from clonelens.operators.neighbours import BLOCK_ROWS, kernel_sums, nearest_neighbours
+from clonelens.operators.neighbours import BLOCK_ROWS, KernelIndex, nearest_neighbours
 from clonelens.session import staged
 
 
@@ -56,19 +56,17 @@ class LabelPropagation:
     block_rows: int = BLOCK_ROWS
 
     def fit(self, train: DataFrame) -> FittedKernelVote:
-        votes = train.select("row_id", "x", _one_hot(F.col("label")).alias("v"))
-        return FittedKernelVote(votes, self.gamma, self.block_rows)
+        index = KernelIndex.build(train, self.gamma, self.block_rows)
+        return FittedKernelVote(index, train.select("row_id", _one_hot(F.col("label")).alias("v")))
 
 
 @dataclass
 class FittedKernelVote:
-    points: DataFrame
-    gamma: float
-    block_rows: int
+    index: KernelIndex
+    votes: DataFrame
 
     def score(self, rows: DataFrame) -> DataFrame:
-        sums = kernel_sums(rows, self.points, self.gamma, 2, self.block_rows)
-        return _vote_scores(rows, sums)
+        return _vote_scores(rows, self.index.sums(self.index.place(rows), self.votes, 2))
 
 
 @dataclass
@@ -76,8 +74,8 @@ class LabelSpreading:
     """F = alpha * S F + (1 - alpha) * Y until F moves less than ``tolerance`` in sum.
 
     S is the kernel matrix without its diagonal, normalised by the row sums on
-    both sides.  It is never built: each round is one kernel sum over the
-    training rows, exact, and each round's F is staged.
+    both sides.  It is never built: the rows are placed into blocks once, each
+    round is one exact kernel sum over them, and each round's F is staged.
     """
 
     gamma: float = 20.0
@@ -87,39 +85,35 @@ class LabelSpreading:
     block_rows: int = BLOCK_ROWS
 
     def fit(self, train: DataFrame) -> FittedKernelVote:
-        base = train.select("row_id", "x", _one_hot(F.col("label")).alias("y"))
-        ones = base.select("row_id", "x", F.array(F.lit(1.0)).alias("v"))
-        reach = kernel_sums(base, ones, self.gamma, 1, self.block_rows, skip_self=True)
+        index = KernelIndex.build(train, self.gamma, self.block_rows)
+        base = train.select("row_id", _one_hot(F.col("label")).alias("y"))
+        ones = base.select("row_id", F.array(F.lit(1.0)).alias("v"))
+        reach = index.sums(index.points, ones, 1, skip_self=True)
         near = F.coalesce(F.col("s_0"), F.lit(0.0))
         root = F.when(near > 0, F.sqrt(near)).otherwise(F.lit(1.0))  # a lone row keeps its label
         state = staged(
             base.join(reach, "row_id", "left").select(
-                "row_id", "x", "y", root.alias("root"), F.col("y").alias("f")
+                "row_id", "y", root.alias("root"), F.col("y").alias("f")
             ),
             "spread",
         )
         for _ in range(self.max_rounds):
             sent = state.select(
-                "row_id", "x", F.array(*[F.col("f")[i] / F.col("root") for i in (0, 1)]).alias("v")
+                "row_id", F.array(*[F.col("f")[i] / F.col("root") for i in (0, 1)]).alias("v")
             )
-            sums = kernel_sums(state, sent, self.gamma, 2, self.block_rows, skip_self=True)
-            joined = state.join(sums, "row_id", "left")
+            joined = state.join(index.sums(index.points, sent, 2, skip_self=True), "row_id", "left")
             heard = [F.coalesce(F.col(f"s_{i}"), F.lit(0.0)) / F.col("root") for i in (0, 1)]
-            f = F.array(
-                *[F.lit(self.alpha) * heard[i] + F.lit(1 - self.alpha) * F.col("y")[i] for i in (0, 1)]
-            )
+            f = [F.lit(self.alpha) * heard[i] + F.lit(1 - self.alpha) * F.col("y")[i] for i in (0, 1)]
             state = staged(
-                joined.select("row_id", "x", "y", "root", f.alias("f"), F.col("f").alias("old")),
+                joined.select("row_id", "y", "root", F.array(*f).alias("f"), F.col("f").alias("old")),
                 "spread",
             )
-            moved = state.agg(
-                F.sum(
-                    F.abs(F.col("f")[0] - F.col("old")[0]) + F.abs(F.col("f")[1] - F.col("old")[1])
-                )
-            ).first()[0]
+            change = [F.abs(F.col("f")[i] - F.col("old")[i]) for i in (0, 1)]
+            moved = state.agg(F.sum(change[0] + change[1])).first()[0]
             state = state.drop("old")
             if moved is None or moved < self.tolerance:
                 break
         total = F.col("f")[0] + F.col("f")[1]
-        share = F.array(*[F.col("f")[i] / F.when(total == 0, F.lit(1.0)).otherwise(total) for i in (0, 1)])
-        return FittedKernelVote(state.select("row_id", "x", share.alias("v")), self.gamma, self.block_rows)
+        safe = F.when(total == 0, F.lit(1.0)).otherwise(total)
+        shares = F.array(*[F.col("f")[i] / safe for i in (0, 1)])
+        return FittedKernelVote(index, state.select("row_id", shares.alias("v")))

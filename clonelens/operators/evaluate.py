@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clonelens.functions.ranking import dense_index, running_totals
+from clonelens.session import staged
 
 
 def _share(hits: Column, total: Column) -> Column:
@@ -109,13 +110,10 @@ def roc_points(scored: DataFrame, score: str = "score", drop_intermediate: bool
     ``drop_intermediate`` leaves out a threshold whose step repeats the next one
     in both counts (such points lie on a straight line); the ends stay.
     """
-    tied = _by_score(scored, score).withColumn("down", -F.col("score"))
-    steps = dense_index(
-        running_totals(tied, ["down"], {"fp": F.col("neg"), "tp": F.col("pos")}), ["down"], name="at"
-    )
-    totals = scored.agg(
-        F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") != 1).alias("n")
-    ).first()
+    tied = staged(_by_score(scored, score).withColumn("down", -F.col("score")), "ties")
+    before = {"fp": F.col("neg"), "tp": F.col("pos"), "at": F.lit(1).cast("bigint")}
+    steps = staged(running_totals(tied, ["down"], before), "steps")
+    totals = tied.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n")).first()
     if drop_intermediate:
         following = steps.select((F.col("at") - 1).alias("at"), F.col("pos").alias("pos2"), F.col("neg").alias("neg2"))
         same = (F.col("pos") == F.col("pos2")) & (F.col("neg") == F.col("neg2"))
@@ -126,9 +124,9 @@ def roc_points(scored: DataFrame, score: str = "score", drop_intermediate: bool
         F.col("score").alias("threshold"),
         _share(F.col("fp") + F.col("neg"), F.lit(totals["n"])).alias("fpr"),
         _share(F.col("tp") + F.col("pos"), F.lit(totals["p"])).alias("tpr"),
-        "down",
+        "at",
     )
-    numbered = dense_index(kept, ["down"], name="point").select(
+    numbered = dense_index(kept, ["at"], name="point").select(
         (F.col("point") + 1).alias("point"), "threshold", "fpr", "tpr"
     )
     origin = scored.sparkSession.range(1).select(

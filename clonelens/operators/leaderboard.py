@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clonelens.functions.ranking import running_totals
+from clonelens.functions.skew import broadcast_if_small
+from clonelens.session import staged
 
 # The compared measures in their order.
 SCORES = ["accuracy", "balanced_accuracy", "f1_score", "roc_auc"]
@@ -85,7 +87,7 @@ def _quartiles(counts: DataFrame) -> DataFrame:
         return (F.col("below") <= place) & (place < F.col("below") + F.col("n"))
 
     # at most two value rows match a place, so the join result stays tiny
-    hits = ranked.join(places, keys).filter(covers(low) | covers(high))
+    hits = ranked.join(broadcast_if_small(places), keys).filter(covers(low) | covers(high))
     bounds = hits.groupBy(*keys, "q", "at").agg(
         F.min("value").alias("v0"), F.max("value").alias("v1")
     )
@@ -96,7 +98,7 @@ def _quartiles(counts: DataFrame) -> DataFrame:
 def type_boxstats(results: DataFrame) -> DataFrame:
     """Box statistics per (type, metric): quartiles, 1.5-range whiskers, number of outliers."""
     keys = ["type", "metric"]
-    counts = _value_counts(results)
+    counts = staged(_value_counts(results), "values")
     wide = (
         _quartiles(counts)
         .groupBy(*keys)
@@ -109,7 +111,7 @@ def type_boxstats(results: DataFrame) -> DataFrame:
     reach = F.lit(1.5) * (F.col("q3") - F.col("q1"))
     inside = F.col("value").between(F.col("q1") - reach, F.col("q3") + reach)
     return (
-        counts.join(wide, keys)
+        counts.join(broadcast_if_small(wide), keys)
         .groupBy(*keys, "q1", "median", "q3")
         .agg(
             F.min(F.when(inside, F.col("value"))).alias("whisker_low"),
@@ -122,7 +124,7 @@ def type_boxstats(results: DataFrame) -> DataFrame:
 def type_outliers(results: DataFrame) -> DataFrame:
     """(type, metric, model, value) of the rows beyond the whiskers."""
     keys = ["type", "metric"]
-    box = type_boxstats(results).select(*keys, "whisker_low", "whisker_high")
+    box = broadcast_if_small(type_boxstats(results).select(*keys, "whisker_low", "whisker_high"))
     rows = _long(results, ["model", "type"]).join(box, keys)
     return rows.filter(
         (F.col("value") < F.col("whisker_low")) | (F.col("value") > F.col("whisker_high"))

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -108,38 +108,35 @@ def _needed_cells(
     return needed
 
 
+def _pivots(points: DataFrame) -> np.ndarray:
+    """A bounded number of points, drawn by hash."""
+    chosen = points.orderBy(seeded_hash("pivot", F.col("row_id"))).limit(_MAX_PIVOTS)
+    return np.array([r["x"] for r in chosen.select("x").collect()], dtype=float)
+
+
 def _block_pairs(
-    queries: DataFrame,
-    points: DataFrame,
+    queries: _Cells,
+    points: _Cells,
     point_fields: list[str],
+    pivots: np.ndarray,
     k: int | None = None,
     radius: float | None = None,
-    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """(q, p): every pair of blocks that has to be compared."""
-    spark = queries.sparkSession
-    chosen = points.orderBy(seeded_hash("pivot", F.col("row_id"))).limit(_MAX_PIVOTS)
-    pivots = np.array([r["x"] for r in chosen.select("x").collect()], dtype=float)
-    if len(pivots) == 0:
-        return spark.createDataFrame(
-            [], "q array<struct<row_id:bigint,x:array<double>>>, p array<struct<row_id:bigint,x:array<double>>>"
-        )
-    q_cells = _assign(queries.select("row_id", "x"), pivots, block_rows)
-    p_cells = _assign(points.select(*point_fields), pivots, block_rows)
-    pairs = _needed_cells(q_cells, p_cells, pivots, k, radius)
+    pairs = _needed_cells(queries, points, pivots, k, radius)
     # at most _MAX_PIVOTS^2 rows, so the broadcast is bounded
     plan = F.broadcast(
-        spark.createDataFrame(
-            [(q, p, p_cells.blocks[p]) for q, p in pairs], "q_cell int, p_cell int, p_blocks bigint"
+        queries.rows.sparkSession.createDataFrame(
+            [(q, p, points.blocks[p]) for q, p in pairs], "q_cell int, p_cell int, p_blocks bigint"
         )
     )
-    q_blocks = _pack(q_cells, ["row_id", "x"], "q").withColumnRenamed("cell", "q_cell").drop("sub")
+    q_blocks = _pack(queries, ["row_id", "x"], "q").withColumnRenamed("cell", "q_cell").drop("sub")
     wanted = q_blocks.join(plan, "q_cell").select(
         "q",
         "p_cell",
         F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("p_blocks") - 1)).alias("p_sub"),
     )
-    p_blocks = _pack(p_cells, point_fields, "p").select(
+    p_blocks = _pack(points, point_fields, "p").select(
         F.col("cell").alias("p_cell"), F.col("sub").alias("p_sub"), "p"
     )
     return wanted.join(p_blocks, ["p_cell", "p_sub"]).select("q", "p")
@@ -177,7 +174,10 @@ def nearest_neighbours(queries: DataFrame, points: DataFrame, k: int = 5, block_
         )
 
     typed = points.select("row_id", "x", F.col("label").cast("bigint").alias("label"))
-    pairs = _block_pairs(queries, typed, ["row_id", "x", "label"], k=k, block_rows=block_rows)
+    pivots = _pivots(typed)
+    q_cells = _assign(queries.select("row_id", "x"), pivots, block_rows)
+    p_cells = _assign(typed, pivots, block_rows)
+    pairs = _block_pairs(q_cells, p_cells, ["row_id", "x", "label"], pivots, k=k)
     candidates = _compare(
         pairs, step, "row_id bigint, neighbour_id bigint, label bigint, distance double"
     )
@@ -185,36 +185,55 @@ def nearest_neighbours(queries: DataFrame, points: DataFrame, k: int = 5, block_
     return candidates.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def kernel_sums(
-    queries: DataFrame,
-    points: DataFrame,
-    gamma: float,
-    width: int,
-    block_rows: int = BLOCK_ROWS,
-    skip_self: bool = False,
-) -> DataFrame:
-    """(row_id, s_0, s_1, ...): sum over all points of exp(-gamma d^2) * v, exactly.
+@dataclass
+class KernelIndex:
+    """Points placed into blocks once, for kernel sums with changing values.
 
-    ``points(row_id, x, v array<double>)`` with ``width`` values each.  Points so
-    far away that the kernel is exactly 0.0 are pruned by cell.  A query with no
-    point in reach gets no row.  ``skip_self`` leaves out the point with the
-    query's own id.
+    The cell pairs further apart than the radius beyond which the kernel is
+    exactly 0.0 are dropped.
     """
-    names = [f"s_{i}" for i in range(width)]
 
-    def step(q: pa.StructArray, p: pa.StructArray) -> pa.RecordBatch:
-        gaps = squared_distances(matrix(q.field("x")), matrix(p.field("x")))
-        kernel = np.exp(-gamma * gaps)
-        if skip_self:
-            ids = q.field("row_id").to_numpy()
-            kernel[ids[:, None] == p.field("row_id").to_numpy()[None, :]] = 0.0
-        sums = kernel @ matrix(p.field("v"))
-        return pa.RecordBatch.from_arrays(
-            [q.field("row_id"), *[pa.array(sums[:, i]) for i in range(width)]],
-            names=["row_id", *names],
-        )
+    gamma: float
+    pivots: np.ndarray
+    points: _Cells
+    block_rows: int
+
+    @classmethod
+    def build(cls, points: DataFrame, gamma: float, block_rows: int = BLOCK_ROWS) -> KernelIndex:
+        """``points(row_id, x)``."""
+        slim = points.select("row_id", "x")
+        pivots = _pivots(slim)
+        return cls(gamma, pivots, _assign(slim, pivots, block_rows), block_rows)
+
+    def place(self, queries: DataFrame) -> _Cells:
+        return _assign(queries.select("row_id", "x"), self.pivots, self.block_rows)
+
+    def sums(
+        self, queries: _Cells, values: DataFrame, width: int, skip_self: bool = False
+    ) -> DataFrame:
+        """(row_id, s_0, s_1, ...): sum over all points of exp(-gamma d^2) * v, exactly.
+
+        ``values(row_id, v array<double>)`` has a row per point and ``width``
+        values each.  A query with no point in reach gets no row.  ``skip_self``
+        leaves out the point with the query's own id.
+        """
+        gamma = self.gamma
+        names = [f"s_{i}" for i in range(width)]
+
+        def step(q: pa.StructArray, p: pa.StructArray) -> pa.RecordBatch:
+            gaps = squared_distances(matrix(q.field("x")), matrix(p.field("x")))
+            kernel = np.exp(-gamma * gaps)
+            if skip_self:
+                ids = q.field("row_id").to_numpy()
+                kernel[ids[:, None] == p.field("row_id").to_numpy()[None, :]] = 0.0
+            sums = kernel @ matrix(p.field("v"))
+            return pa.RecordBatch.from_arrays(
+                [q.field("row_id"), *[pa.array(sums[:, i]) for i in range(width)]],
+                names=["row_id", *names],
+            )
 
-    radius = math.sqrt(_EXP_UNDERFLOW / gamma)
-    pairs = _block_pairs(queries, points, ["row_id", "x", "v"], radius=radius, block_rows=block_rows)
-    partial = _compare(pairs, step, "row_id bigint, " + ", ".join(f"{n} double" for n in names))
-    return partial.groupBy("row_id").agg(*[F.sum(n).alias(n) for n in names])
+        radius = math.sqrt(_EXP_UNDERFLOW / gamma)
+        valued = replace(self.points, rows=self.points.rows.join(values, "row_id"))
+        pairs = _block_pairs(queries, valued, ["row_id", "x", "v"], self.pivots, radius=radius)
+        partial = _compare(pairs, step, "row_id bigint, " + ", ".join(f"{n} double" for n in names))
+        return partial.groupBy("row_id").agg(*[F.sum(n).alias(n) for n in names])

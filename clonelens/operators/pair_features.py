@@ -25,13 +25,13 @@ def ratio(a: Column, b: Column) -> Column:
 
 def attach_metrics(pairs: DataFrame, metrics: DataFrame) -> DataFrame:
     """Pairs with ``left_<metric>`` and ``right_<metric>``; a file in very many pairs is salted."""
-    out = pairs
+    out, rows = pairs, pairs.count()
     for side in ("left", "right"):
         named = metrics.select(
             F.col("file_id").alias(f"{side}_id"),
             *[F.col(m).cast("double").alias(f"{side}_{m}") for m in METRICS],
         )
-        out = salted_join(out, named, f"{side}_id", "pair_id")
+        out = salted_join(out, named, f"{side}_id", "pair_id", rows=rows)
     return out
 
 

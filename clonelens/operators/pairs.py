@@ -8,25 +8,26 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clonelens.functions.hashing import seeded_hash
 from clonelens.functions.ranking import dense_index
-from clonelens.functions.skew import salted_join
+from clonelens.functions.skew import BROADCAST_ROWS, broadcast_if_small, salted_join
 from clonelens.operators.rewrite import mutant_id, mutate_code
 from clonelens.session import staged
 
 EXACT, MUTATED, NEGATIVE = "exact", "mutated", "negative"
 _TOP_N = 100_000  # up to here a top-n keeps its rows in task memory; above, rank by buckets
-_BROADCAST_ROWS = 100_000  # repositories counted below this are broadcast: a few megabytes
 _MAX_DRAWS = 64  # draws per wanted pair before a shortfall is accepted
 
 
 def _first(df: DataFrame, order: list[str], n: int, name: str) -> DataFrame:
     """The first ``n`` rows in ``order``, numbered from 0."""
-    if n <= _TOP_N:
-        df = df.orderBy(*order).limit(n)
+    if n <= _TOP_N:  # at most _TOP_N rows reach the one-task window
+        top = df.orderBy(*order).limit(n)
+        place = F.row_number().over(Window.orderBy(*order)) - 1
+        return top.withColumn(name, place.cast("bigint"))
     return dense_index(df, order, name=name).filter(F.col(name) < n)
 
 
@@ -63,13 +64,16 @@ def files_in_repos(code_files: DataFrame) -> DataFrame:
 
     A repository holding most of the files is ranked in buckets, not in one task.
     """
-    slim = code_files.select(
-        "file_id",
-        F.coalesce(F.col("repo"), F.lit("default")).alias("repo"),
-        F.sha2("content", 256).alias("sha"),
+    slim = staged(  # texts are read and hashed once
+        code_files.select(
+            "file_id",
+            F.coalesce(F.col("repo"), F.lit("default")).alias("repo"),
+            F.sha2("content", 256).alias("sha"),
+        ),
+        "file-hashes",
     )
-    kept = slim.join(files_per_repo(code_files).filter("n_files > 1"), "repo", "left_semi")
-    return dense_index(kept, ["file_id"], by=["repo"])
+    several = broadcast_if_small(files_per_repo(slim).filter("n_files > 1").select("repo"))
+    return dense_index(slim.join(several, "repo", "left_semi"), ["file_id"], by=["repo"])
 
 
 def _two_slots(draw: Column, size: Column, seed: str) -> tuple[Column, Column]:
@@ -101,7 +105,7 @@ def same_repo_negatives(code_files: DataFrame, count: int, seed: int = 42) -> Ne
     empty = spark.createDataFrame([], "draw bigint, left_id bigint, right_id bigint")
     if n_repos == 0 or count <= 0:
         return Negatives(empty, max(count, 0))
-    if n_repos <= _BROADCAST_ROWS:
+    if n_repos <= BROADCAST_ROWS:
         repos = F.broadcast(repos)
 
     def batch(start: int, size: int) -> DataFrame:
@@ -204,7 +208,9 @@ def pair_texts(pairs: DataFrame, files: DataFrame, separator: str) -> DataFrame:
     """(pair_id, label, text): both contents joined by ``separator``."""
     left = files.select(F.col("file_id").alias("left_id"), F.col("content").alias("left_content"))
     right = files.select(F.col("file_id").alias("right_id"), F.col("content").alias("right_content"))
-    both = salted_join(salted_join(pairs, left, "left_id", "pair_id"), right, "right_id", "pair_id")
+    rows = pairs.count()
+    both = salted_join(pairs, left, "left_id", "pair_id", rows=rows)
+    both = salted_join(both, right, "right_id", "pair_id", rows=rows)
     return both.select(
         "pair_id", "label", F.concat_ws(separator, "left_content", "right_content").alias("text")
     )

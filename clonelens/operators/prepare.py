@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clonelens.functions.ranking import dense_index, hash_index, hash_quota
+from clonelens.functions.skew import broadcast_if_small, salted_join
 
 _LARGEST = sys.float_info.max
 
@@ -111,7 +112,7 @@ def grouped_split(
     """``stratified_split`` without leakage: all pairs of one left file fall on one side."""
     files = pairs.select(group).distinct().withColumn("__all", F.lit(1))
     sides = hash_quota(files, group, f"split-{seed}", test_size, ["__all"], "is_test")
-    return pairs.join(sides.drop("__all"), group)
+    return salted_join(pairs, sides.drop("__all"), group, "pair_id")
 
 
 def kfold(df: DataFrame, id_col: str = "row_id", folds: int = 5, seed: int = 42) -> DataFrame:
@@ -125,7 +126,9 @@ def stratified_folds(
 ) -> DataFrame:
     """Add ``fold``: consecutive blocks of each label in id order, sizes within one."""
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
-    indexed = dense_index(df, [id_col], by=[label], name="__i").join(sizes, label)
+    indexed = dense_index(df, [id_col], by=[label], name="__i").join(
+        broadcast_if_small(sizes), label
+    )
     base, extra = F.floor(F.col("__n") / F.lit(folds)), F.pmod("__n", F.lit(folds))
     wide = extra * (base + 1)  # rows in the first blocks, which are one longer
     fold = F.when(F.col("__i") < wide, F.floor(F.col("__i") / (base + 1))).otherwise(
