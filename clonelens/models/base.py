@@ -7,7 +7,7 @@ the model offers one, else the hard prediction; it is NULL where undefined.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from typing import Protocol
 
@@ -30,12 +30,10 @@ def score_table(rows: DataFrame, score: Column, prediction: Column) -> DataFrame
     )
 
 
-def weighted_sum(x: str, weights) -> Column:
-    """sum(x[i] * w[i]) as plain arithmetic, so it stays in generated code."""
-    total = F.lit(0.0)
-    for at, w in enumerate(weights):
-        total = total + F.col(x)[at] * F.lit(float(w))
-    return total
+def weighted_sum(x: str, weights: Sequence[float], bias: float = 0.0) -> Column:
+    """bias + sum(x[i] * w[i]) as plain arithmetic, so it stays in generated code."""
+    terms = "".join(f" + {x}[{at}] * ({float(w)!r}D)" for at, w in enumerate(weights))
+    return F.expr(f"({float(bias)!r}D){terms}")
 
 
 def sigmoid(margin: Column) -> Column:
@@ -51,7 +49,7 @@ class Linear:
     probability: Callable[[Column], Column] | None = None
 
     def margin(self) -> Column:
-        return weighted_sum("x", self.weights) + F.lit(float(self.bias))
+        return weighted_sum("x", self.weights, self.bias)
 
     def score(self, rows: DataFrame) -> DataFrame:
         scored = rows.withColumn("__m", self.margin())

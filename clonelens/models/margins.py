@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
 
@@ -144,16 +144,31 @@ class FourierMap:
             rng.normal(0.0, np.sqrt(2.0 * gamma), (size, features)), rng.uniform(0.0, 2 * np.pi, features)
         )
 
-    def column(self, x: str) -> Column:
+    def _cosines(self) -> Callable[[pd.Series], np.ndarray]:
         directions, shifts = self.directions, self.shifts
         norm = np.sqrt(2.0 / len(shifts))
+        return lambda values: norm * np.cos(np.stack(values.to_list()) @ directions + shifts)
+
+    def column(self, x: str) -> Column:
+        """The mapped features."""
+        cosines = self._cosines()
 
         @pandas_udf("array<double>")
         def mapped(values: pd.Series) -> pd.Series:
-            return pd.Series(list(norm * np.cos(np.stack(values.to_list()) @ directions + shifts)))
+            return pd.Series(list(cosines(values)))
 
         return mapped(F.col(x))
 
+    def margin(self, x: str, plane: Linear) -> Column:
+        """The hyperplane's margin over the mapped features, without materialising them."""
+        cosines, weights, bias = self._cosines(), np.array(plane.weights), plane.bias
+
+        @pandas_udf("double")
+        def margin(values: pd.Series) -> pd.Series:
+            return pd.Series(cosines(values) @ weights + bias)
+
+        return margin(F.col(x))
+
 
 @dataclass
 class KernelSvm:
@@ -184,11 +199,17 @@ class KernelSvm:
             for c in self.tried:
                 planes.append(_hyperplane(mapped, c, self.max_iter, start=planes[-1] if planes else None))
             sign = F.col("label") * 2 - 1
-            shares = mapped.agg(
-                *[F.avg((p.margin() * sign < 1).cast("double")).alias(f"s{i}") for i, p in enumerate(planes)]
+            margins = train.select(
+                sign.alias("sign"), *[mapping.margin("x", p).alias(f"m{i}") for i, p in enumerate(planes)]
+            )
+            shares = margins.agg(
+                *[
+                    F.avg((F.col(f"m{i}") * F.col("sign") < 1).cast("double")).alias(f"s{i}")
+                    for i in range(len(planes))
+                ]
             ).first()
             plane = planes[min(range(len(planes)), key=lambda i: abs(shares[f"s{i}"] - self.nu))]
-        slope, offset = _sigmoid_of(mapped.select("label", plane.margin().alias("margin")))
+        slope, offset = _sigmoid_of(train.select("label", mapping.margin("x", plane).alias("margin")))
         return FittedKernelSvm(mapping, plane, slope, offset)
 
 
@@ -200,7 +221,7 @@ class FittedKernelSvm:
     offset: float
 
     def score(self, rows: DataFrame) -> DataFrame:
-        mapped = rows.select("row_id", "label", self.mapping.column("x").alias("x"))
-        scored = mapped.withColumn("__m", self.plane.margin())
+        margin = self.mapping.margin("x", self.plane)
+        scored = rows.select("row_id", "label", margin.alias("__m"))
         score = sigmoid(F.col("__m") * F.lit(self.slope) + F.lit(self.offset))
         return score_table(scored, score, F.col("__m") > 0)

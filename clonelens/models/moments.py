@@ -180,17 +180,13 @@ class FittedQda:
             + 0.5 * (self.zero[1] @ self.zero[0] @ self.zero[1])
         )
 
-        def dot(vector) -> Column:
-            row = F.array(*[F.lit(float(v)) for v in vector])
-            return F.aggregate(
-                F.zip_with("x", row, lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v
-            )
-
-        rows = F.array(*[dot(r) for r in quadratic])
-        inner = F.aggregate(
-            F.zip_with("x", rows, lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v
-        )
-        return inner + dot(linear) + F.lit(float(constant))
+        def literal(values) -> str:
+            return "array(" + ", ".join(f"{float(v)!r}D" for v in values) + ")"
+
+        matrix_sql = "array(" + ", ".join(literal(r) for r in quadratic) + ")"
+        dot = "aggregate(zip_with(x, {}, (a, b) -> a * b), 0.0D, (s, v) -> s + v)"
+        inner = dot.format(f"transform({matrix_sql}, r -> {dot.format('r')})")
+        return F.expr(f"{inner} + {dot.format(literal(linear))} + ({float(constant)!r}D)")
 
     def score(self, rows: DataFrame) -> DataFrame:
         scored = rows.withColumn("__m", self._log_density())
@@ -214,11 +210,8 @@ class FittedCentroid:
 
     def score(self, rows: DataFrame) -> DataFrame:
         def gap(mean: list[float]) -> Column:
-            total = F.lit(0.0)
-            for at, m in enumerate(mean):
-                step = F.col("x")[at] - F.lit(float(m))
-                total = total + step * step
-            return F.round(F.sqrt(total), 9)
+            steps = " + ".join(f"power(x[{at}] - ({float(m)!r}D), 2)" for at, m in enumerate(mean))
+            return F.round(F.sqrt(F.expr(steps)), 9)
 
         nearest = F.array_min(
             F.array(*[F.struct(gap(m).alias("gap"), F.lit(label).alias("label")) for label, m in sorted(self.centroids.items())])

@@ -667,7 +667,7 @@ def _fit_query(name: str) -> None:
     def run(spark: SparkSession, sf: str) -> DataFrame:
         ship_worker_code()
         data = _data(spark, sf)
-        return make(name).fit(data.train).score(data.test)
+        return rounded(make(name).fit(data.train).score(data.test))
 
     QUERIES[f"fit_{name.lower()}"] = run
 

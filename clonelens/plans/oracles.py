@@ -78,6 +78,14 @@ def _metric_columns() -> str:
     )
 
 
+# nodes per file of each type, in the terms of the closed form
+NODE_COUNTS = [
+    ("Module", "1"), ("Import", "1"), ("alias", "1"), ("ClassDef", "m"), ("FunctionDef", "1"), ("arguments", "1"),
+    ("arg", "2"), ("Assign", "a + l + i"), ("For", "l"), ("If", "i"), ("Return", "1"), ("BinOp", "a + l"),
+    ("Name", "3*a + 5*l + 3*i + 1"), ("Store", "a + 2*l + i"), ("Load", "2*a + 3*l + 2*i + 1"), ("Add", "a"), ("Mult", "l"),
+]
+
+
 # ---- pairs ------------------------------------------------------------------------------------
 
 N_FILES = "(SELECT count(*) FROM code_files)"
@@ -211,8 +219,8 @@ meta AS (
   FROM oof GROUP BY row_id, label)"""
 
 
-def _kernel_vote(gamma: str) -> str:
-    return f"""WITH {SPLIT_VECTORS}, {TEST_ROWS},
+def _kernel_vote(gamma: str, rows: str) -> str:
+    return f"""WITH {rows},
 votes AS (
   SELECT q.row_id, q.label, t.label AS vote, exp(-CAST({gamma} AS DOUBLE) * power(list_distance(q.x, t.x), 2)) AS w
   FROM test_rows q JOIN train_rows t ON t.is_test < q.is_test),
@@ -340,6 +348,69 @@ candidates AS (
 repeated AS (SELECT *, row_number() OVER (PARTITION BY file_id, c ORDER BY old_name) AS n FROM candidates)"""
 
 
+NEW_NAMES = f"""{RENAMES},
+new_names AS (SELECT *, CASE WHEN n > 1 OR c = old_name THEN c || CAST(n AS VARCHAR) ELSE c END AS new_name FROM repeated),
+named AS (SELECT file_id, {", ".join(f"coalesce(max(CASE WHEN old_name = '{v}' THEN new_name END), '{v}') AS n_{v}" for v in 'ftxyqz')}
+  FROM new_names GROUP BY file_id)"""
+PLAIN_NAMES = "named AS (SELECT p_partkey AS file_id, 'f' AS n_f, 't' AS n_t, 'x' AS n_x, 'y' AS n_y, 'q' AS n_q, 'z' AS n_z FROM part)"
+
+
+def _mutants(with_pass: str, names: str = NEW_NAMES) -> str:
+    """The re-printed text of every file: no comments, one blank line before definitions, new names."""
+    b = "CASE WHEN p_partkey % 2 = 0 THEN '    ' ELSE '' END"
+    return f"""{CODE}, {names},
+mutants AS (
+  SELECT f.file_id, CASE WHEN f.file_id % 97 = 0 THEN f.content ELSE
+      'import os' || chr(10) || chr(10) || CASE WHEN p_partkey % 2 = 0 THEN 'class K:' || chr(10) || chr(10) ELSE '' END
+      || {b} || 'def ' || n_f || '(' || n_x || ', ' || n_y || '):'
+      || CASE WHEN {with_pass} THEN chr(10) || {b} || '    pass' ELSE '' END
+      || repeat(chr(10) || {b} || '    ' || n_t || ' = ' || n_x || ' + ' || n_y, CAST(1 + p_size % 7 AS INT))
+      || repeat(chr(10) || {b} || '    for ' || n_q || ' in ' || n_x || ':' || chr(10) || {b} || '        ' || n_t || ' = ' || n_t || ' * ' || n_q, CAST(p_partkey % 3 AS INT))
+      || repeat(chr(10) || {b} || '    if ' || n_y || ':' || chr(10) || {b} || '        ' || n_z || ' = ' || n_x, CAST(p_partkey % 5 AS INT))
+      || chr(10) || {b} || '    return ' || n_t END AS content
+  FROM code_files f JOIN part p ON p.p_partkey = f.file_id LEFT JOIN named n ON n.file_id = f.file_id)"""
+
+
+REDUNDANT = f"{h('mutation-42', 'p_partkey')} % 2 = 1"
+
+def _mutant_metrics() -> str:
+    base = METRIC_CTES[len(CODE) + 1 :]
+    return f"""{_mutants(REDUNDANT)}, {base},
+changed AS (
+  SELECT m.* REPLACE (
+      length(u.content) - length(replace(u.content, chr(10), '')) + 1 AS num_lines, length(u.content) AS chars,
+      CASE WHEN ok = 1 THEN 0 ELSE num_comments END AS num_comments)
+  FROM m2 m JOIN mutants u ON u.file_id = m.file_id),
+mutant_metrics AS (
+  SELECT * REPLACE (CAST(chars - (num_lines - 1) AS DOUBLE) / CAST(num_lines AS DOUBLE) AS avg_line_length),
+    CASE WHEN ok = 1 THEN greatest(CAST(0 AS DOUBLE),
+      (CAST(171 AS DOUBLE) - CAST(5.2 AS DOUBLE) * ln(halstead_volume)
+       - CAST(0.23 AS DOUBLE) * CAST(cyclomatic_complexity AS DOUBLE)
+       - CAST(16.2 AS DOUBLE) * ln(CAST(num_lines AS DOUBLE))) * CAST(100 AS DOUBLE) / CAST(171 AS DOUBLE))
+    ELSE CAST(0 AS DOUBLE) END AS maintainability_index
+  FROM changed)"""
+
+
+def _mixed_features() -> str:
+    pairs = PAIRS.replace("pairs AS (", "exact_pairs AS (", 1)
+    ctes = _features().split("features AS (", 1)[1].replace("JOIN metrics a", "JOIN all_metrics a").replace("JOIN metrics b", "JOIN all_metrics b")
+    return f"""{_mutant_metrics()}, {pairs},
+pairs AS (SELECT * REPLACE (CASE WHEN kind = 'exact' AND pair_id % 2 = 1 THEN -left_id - 1 ELSE right_id END AS right_id) FROM exact_pairs),
+all_metrics AS (
+  SELECT * FROM metrics UNION ALL SELECT * REPLACE (-file_id - 1 AS file_id) FROM mutant_metrics),
+features AS ({ctes}"""
+
+
+def _model_rows() -> str:
+    """Test and train rows of the model queries: mixed features, split, scaled on the training side."""
+    scaled = _scaled("split_features", FEATURES, "pair_id, label, is_test", "WHERE is_test = 0")
+    for f in FEATURES:
+        scaled = scaled.replace(r6(f"({f} - m_{f}) / s_{f}"), f"({f} - m_{f}) / s_{f}")
+    return f"""{_mixed_features()}, {_split('features', 'pair_id')}, scaled AS ({scaled}),
+vectors AS (SELECT pair_id AS row_id, label, is_test, [{', '.join(FEATURES)}] AS x FROM scaled),
+test_rows AS (SELECT *, 0 AS grp FROM vectors WHERE is_test = 1), train_rows AS (SELECT * FROM vectors WHERE is_test = 0)"""
+
+
 def all_sql() -> dict[str, str]:
     features = _features()
     repo_code = f"{CODE}, {REPOS}"
@@ -387,6 +458,17 @@ FROM pairs p JOIN code_files a ON a.file_id = p.left_id JOIN code_files b ON b.f
        CASE WHEN n > 1 OR c = old_name THEN c || CAST(n AS VARCHAR) ELSE c END AS new_name FROM repeated""",
         "mutation_choice": f"""SELECT p_partkey AS file_id,
        CASE WHEN {h('mutation-42', 'p_partkey')} % 2 = 0 THEN 'rename' ELSE 'redundant' END AS mutation FROM part""",
+        "renamed_files": f"WITH {_mutants('FALSE')} SELECT file_id, content FROM mutants",
+        "redundant_files": f"WITH {_mutants('TRUE')} SELECT file_id, content FROM mutants",
+        "redundant_files_same_names": f"WITH {_mutants('TRUE', PLAIN_NAMES)} SELECT file_id, content FROM mutants",
+        "mutated_files": f"WITH {_mutants(REDUNDANT)} SELECT file_id, content FROM mutants",
+        "mutant_metrics": f"WITH {_mutant_metrics()} SELECT file_id, {_metric_columns()} FROM mutant_metrics",
+        "mixed_pair_features": f"WITH {_mixed_features()} SELECT pair_id, label, "
+        + ", ".join(f"{r6(f)} AS {f}" for f in FEATURES)
+        + " FROM features",
+        "syntax_node_counts": f"""WITH {METRIC_CTES.split(',\nm1 AS', 1)[0]},
+per_type AS (SELECT unnest([{', '.join(f"{{'node_type': '{t}', 'n': {e}}}" for t, e in NODE_COUNTS)}]) AS c FROM k WHERE ok = 1)
+SELECT c.node_type AS node_type, CAST(sum(c.n) AS BIGINT) AS n FROM per_type GROUP BY c.node_type""",
         # preparation
         "impute_mean": f"""WITH {GAPPED}, {_split('wide', 'row_id')}
 SELECT row_id, {', '.join(f"{r6(f'coalesce({n}, m_{n})')} AS {n}" for n in X_NAMES)}
@@ -421,8 +503,8 @@ FROM ranked""",
 SELECT row_id, label, {r6('score')} AS score, CAST(score AS BIGINT) AS prediction FROM c""",
         "knn5": f"""WITH {SPLIT_VECTORS}, {TEST_ROWS}, n AS ({_knn('test_rows', 'train_rows', 't.is_test < q.is_test')})
 SELECT row_id, label, {r6('score')} AS score, CAST(score > 0.5 AS BIGINT) AS prediction FROM n""",
-        "kernel_vote": _kernel_vote("0.05"),
-        "kernel_vote_narrow": _kernel_vote("20"),
+        "kernel_vote": _kernel_vote("0.05", f"{SPLIT_VECTORS}, {TEST_ROWS}"),
+        "kernel_vote_narrow": _kernel_vote("20", f"{SPLIT_VECTORS}, {TEST_ROWS}"),
         "graph_propagate": f"WITH {_graph()} SELECT graph_id, node, {r6('x')} AS x FROM s3",
         "graph_pool": f"WITH {_graph()} SELECT graph_id, {r6('avg(x)')} AS x FROM s3 GROUP BY graph_id",
         "oof_scores": f"WITH {OOF} SELECT row_id, label, model, {r6('score')} AS score FROM oof",
@@ -438,6 +520,11 @@ JOIN t m ON m.type <> a.type AND m.type <> b.type AND m.type <> c.type""",
         "best_stack": f"""WITH {RESULTS}, top AS (SELECT * FROM results ORDER BY f1_score DESC, seq LIMIT 1)
 SELECT 'MetaClassifier (m0-' || CAST(seq % 3 AS VARCHAR) || ', m1-' || CAST(seq % 4 AS VARCHAR) || ', m2-' || CAST(seq % 5 AS VARCHAR) || ')' AS model,
        'Meta-Classifier' AS type, {_result_columns('accuracy', 'balanced_accuracy', 'roc_auc', 'f1_score', 'time_ms')} FROM top""",
+        "fit_nearestcentroid": f"""WITH {_model_rows()}, c AS ({_centroid('test_rows', 'train_rows t', '0')})
+SELECT row_id, label, CAST(score AS DOUBLE) AS score, CAST(score AS BIGINT) AS prediction FROM c""",
+        "fit_kneighbors": f"""WITH {_model_rows()}, n AS ({_knn('test_rows', 'train_rows', 't.is_test < q.is_test')})
+SELECT row_id, label, {r6('score')} AS score, CAST(score > 0.5 AS BIGINT) AS prediction FROM n""",
+        "fit_labelpropagation": _kernel_vote("20", _model_rows()),
         # evaluation
         "accuracy": f"WITH {SCORED}, {CELLS} SELECT {r6('(tp + tn) / (tp + fn + fp + tn)')} AS accuracy FROM cells",
         "balanced_accuracy": f"WITH {SCORED}, {CELLS} SELECT {r6('(tp / (tp + fn) + tn / (tn + fp)) / 2')} AS balanced_accuracy FROM cells",
