@@ -411,6 +411,27 @@ vectors AS (SELECT pair_id AS row_id, label, is_test, [{', '.join(FEATURES)}] AS
 test_rows AS (SELECT *, 0 AS grp FROM vectors WHERE is_test = 1), train_rows AS (SELECT * FROM vectors WHERE is_test = 0)"""
 
 
+def _repeat(nodes: str, times: str) -> str:
+    return f"repeat(' {nodes}', CAST({times} AS INT))"
+
+
+# the breadth-first node types of a rendered file, level by level
+SEQUENCES = f"""{METRIC_CTES.split(chr(10) + 'm1 AS', 1)[0]}
+sequences AS (
+  SELECT file_id, CASE WHEN ok = 0 THEN '' ELSE
+      'Module Import ' || CASE WHEN m = 1 THEN 'ClassDef alias FunctionDef' ELSE 'FunctionDef alias' END
+      || ' arguments' || {_repeat('Assign', 'a')} || {_repeat('For', 'l')} || {_repeat('If', 'i')} || ' Return'
+      || ' arg arg' || {_repeat('Name BinOp', 'a')} || {_repeat('Name Name Assign', 'l')} || {_repeat('Name Assign', 'i')} || ' Name'
+      || {_repeat('Store Name Add Name', 'a')} || {_repeat('Store Load Name BinOp', 'l')} || {_repeat('Load Name Name', 'i')} || ' Load'
+      || {_repeat('Load Load', 'a')} || {_repeat('Store Name Mult Name', 'l')} || {_repeat('Store Load', 'i')}
+      || {_repeat('Load Load', 'l')} END AS sequence
+  FROM k),
+node_pairs AS (
+  SELECT file_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || '_' || w[i + 1])) AS bigram
+  FROM (SELECT file_id, string_split(sequence, ' ') AS w FROM sequences WHERE sequence <> '')),
+node_bigrams AS (SELECT file_id, bigram, count(*) AS n FROM node_pairs GROUP BY file_id, bigram)"""
+
+
 def all_sql() -> dict[str, str]:
     features = _features()
     repo_code = f"{CODE}, {REPOS}"
@@ -420,6 +441,14 @@ def all_sql() -> dict[str, str]:
         "document_line_metrics": _lines("doc_id", "text", "documents"),
         "code_metrics": f"WITH {METRIC_CTES} SELECT file_id, {_metric_columns()} FROM metrics",
         "parse_failures": "SELECT p_partkey AS file_id FROM part WHERE p_partkey % 97 = 0",
+        "node_sequences": f"""WITH {SEQUENCES} SELECT file_id,
+  CAST(CASE WHEN sequence = '' THEN 0 ELSE len(string_split(sequence, ' ')) END AS BIGINT) AS n_nodes, sequence FROM sequences""",
+        "node_bigrams": f"WITH {SEQUENCES} SELECT file_id, bigram, n FROM node_bigrams",
+        "node_bigram_maps": f"""WITH {SEQUENCES}, maps AS (
+  SELECT file_id, count(*) AS n_bigrams, '{{' || string_agg('"' || bigram || '":' || CAST(n AS VARCHAR), ',' ORDER BY bigram) || '}}' AS bigrams
+  FROM node_bigrams GROUP BY file_id)
+SELECT s.file_id, coalesce(n_bigrams, 0) AS n_bigrams, coalesce(bigrams, '{{}}') AS bigrams
+FROM sequences s LEFT JOIN maps m ON m.file_id = s.file_id""",
         "word_bigrams": """WITH words AS (SELECT doc_id, string_split(text, ' ') AS w FROM documents),
 pairs AS (SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || '_' || w[i + 1])) AS bigram FROM words)
 SELECT doc_id, bigram, count(*) AS n FROM pairs GROUP BY doc_id, bigram""",
