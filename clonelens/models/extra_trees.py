@@ -112,6 +112,8 @@ def _task(forest: Forest, opened: _Open, measure: Callable) -> Callable:
             for c in range(opened.features.shape[1]):
                 feature = opened.features[place, c]
                 ok = feature >= 0
+                if not ok.any():
+                    continue
                 values = x[rows[ok], feature[ok]]
                 yield measure(c, place[ok], values, label[rows[ok]])
 
@@ -124,7 +126,7 @@ def _ranges(c: int, place: np.ndarray, values: np.ndarray, _label: np.ndarray) -
     np.minimum.at(low, at, values)
     np.maximum.at(high, at, values)
     return pa.RecordBatch.from_arrays(
-        [pa.array(met, pa.int64()), pa.array(np.full(len(met), c), pa.int32()), pa.array(low), pa.array(high)],
+        [pa.array(met, pa.int64()), pa.array(np.full(len(met), c), pa.int32()), pa.array(low, pa.float64()), pa.array(high, pa.float64())],
         names=["place", "c", "low", "high"],
     )
 
@@ -136,7 +138,7 @@ def _left_counts(cuts: np.ndarray) -> Callable:
         ones = np.bincount(at, goes_left & (label == 1), len(met))
         zeros = np.bincount(at, goes_left & (label != 1), len(met))
         return pa.RecordBatch.from_arrays(
-            [pa.array(met, pa.int64()), pa.array(np.full(len(met), c), pa.int32()), pa.array(zeros), pa.array(ones)],
+            [pa.array(met, pa.int64()), pa.array(np.full(len(met), c), pa.int32()), pa.array(zeros, pa.float64()), pa.array(ones, pa.float64())],
             names=["place", "c", "zeros", "ones"],
         )
 
