@@ -7,8 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clonelens.session import staged
-
 # A key is hot above rows / HOT_SHARE; so there are at most HOT_SHARE hot keys.
 HOT_SHARE = 1000
 SALTS = 64
@@ -16,17 +14,20 @@ SALTS = 64
 SMALL_GROUP = 100_000
 
 
-# A staged table with at most this many (narrow) rows may be broadcast.
-BROADCAST_ROWS = 100_000
+# A summary with at most this many (narrow) rows may be broadcast.
+BROADCAST_ROWS = 10_000
 
 
 def broadcast_if_small(df: DataFrame) -> DataFrame:
-    """Stage a per-group summary, count it, and broadcast it only if it is small.
+    """Broadcast a per-group summary only if it proves small.
 
-    Larger ones go through an ordinary shuffled join.
+    At most ``BROADCAST_ROWS`` + 1 rows are fetched; a larger summary stays a
+    distributed table and goes through an ordinary shuffled join.
     """
-    kept = staged(df, "summary")
-    return F.broadcast(kept) if kept.count() <= BROADCAST_ROWS else kept
+    rows = df.limit(BROADCAST_ROWS + 1).collect()
+    if len(rows) > BROADCAST_ROWS:
+        return df
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
 
 
 def salted_join(

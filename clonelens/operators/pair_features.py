@@ -44,6 +44,8 @@ def pair_features(pairs: DataFrame, metrics: DataFrame) -> DataFrame:
     return attach_metrics(pairs, metrics).select("pair_id", "label", *columns)
 
 
-def as_vectors(features: DataFrame, row_id: str = "pair_id") -> DataFrame:
-    """(row_id, label, x array<double>) in the order of FEATURES."""
-    return features.select(F.col(row_id).alias("row_id"), "label", F.array(*FEATURES).alias("x"))
+def as_vectors(features: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(row_id, label, keep..., x array<double>) in the order of FEATURES."""
+    return features.select(
+        F.col("pair_id").alias("row_id"), "label", *keep, F.array(*FEATURES).alias("x")
+    )

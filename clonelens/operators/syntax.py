@@ -138,7 +138,7 @@ def bigram_counts(sequences: DataFrame, key: str, tokens: str = "tokens") -> Dat
         F.slice(F.col(tokens), F.lit(2), F.greatest(last, F.lit(0))),
         lambda a, b: F.concat(a, F.lit("_"), b),
     )
-    exploded = sequences.select(key, F.explode(pairs).alias("bigram"))
+    exploded = spread(sequences.select(key, tokens)).select(key, F.explode(pairs).alias("bigram"))
     return exploded.groupBy(key, "bigram").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -51,11 +51,8 @@ def split_and_scale(
     else:
         split = stratified_split(features, "pair_id", seed=seed)
     scaled = standard_scale(split, FEATURES, fit_on)
-    vectors = staged(
-        as_vectors(scaled).join(split.select(F.col("pair_id").alias("row_id"), "is_test"), "row_id"),
-        "vectors",
-    )
-    return vectors.filter(~F.col("is_test")), vectors.filter("is_test")
+    vectors = staged(as_vectors(scaled, ("is_test",)), "vectors")
+    return vectors.filter(~F.col("is_test")).drop("is_test"), vectors.filter("is_test").drop("is_test")
 
 
 def build(code_files: DataFrame, num_pairs: int = 1000, **options) -> Dataset:

@@ -55,12 +55,19 @@ def staged(df: DataFrame, name: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+# Below this much input per core a scan has too few splits to keep all cores busy.
+_SPLIT_BYTES = 16 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Give a costly narrow step one partition per core when the input has fewer.
+    """Give a costly narrow step one partition per core when the input is too small for that.
 
-    Large inputs already come in many splits and pass through without a shuffle.
+    Small files come as a single split; inputs beyond 16 MB per core have enough
+    splits of their own and pass through without a shuffle.  The size is the
+    optimizer's estimate, so nothing runs here.
     """
     if df.isStreaming:
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if estimate < cores * _SPLIT_BYTES else df
