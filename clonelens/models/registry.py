@@ -31,7 +31,8 @@ class Logistic:
 
     def fit(self, train: DataFrame) -> Fitted:
         reg = 1.0 / train.count()
-        return SparkMl(LogisticRegression(maxIter=1000, regParam=reg, standardization=False)).fit(train)
+        model = LogisticRegression(maxIter=1000, regParam=reg, tol=1e-4, standardization=False)
+        return SparkMl(model).fit(train)
 
 
 class SmallNet:

@@ -15,7 +15,7 @@ from clonelens.functions.hashing import seeded_hash
 from clonelens.functions.ranking import dense_index
 from clonelens.functions.skew import BROADCAST_ROWS, broadcast_if_small, salted_join
 from clonelens.operators.rewrite import mutant_id, mutate_code
-from clonelens.session import staged
+from clonelens.session import spread, staged
 
 EXACT, MUTATED, NEGATIVE = "exact", "mutated", "negative"
 _TOP_N = 100_000  # up to here a top-n keeps its rows in task memory; above, rank by buckets
@@ -65,7 +65,7 @@ def files_in_repos(code_files: DataFrame) -> DataFrame:
     A repository holding most of the files is ranked in buckets, not in one task.
     """
     slim = staged(  # texts are read and hashed once
-        code_files.select(
+        spread(code_files).select(
             "file_id",
             F.coalesce(F.col("repo"), F.lit("default")).alias("repo"),
             F.sha2("content", 256).alias("sha"),

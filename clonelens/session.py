@@ -63,11 +63,12 @@ def spread(df: DataFrame) -> DataFrame:
     """Give a costly narrow step one partition per core when the input is too small for that.
 
     Small files come as a single split; inputs beyond 16 MB per core have enough
-    splits of their own and pass through without a shuffle.  The size is the
-    optimizer's estimate, so nothing runs here.
+    splits of their own and pass through without a shuffle.  The size is the sum
+    of the plan's inputs as the optimizer knows them, so nothing runs here.
     """
     if df.isStreaming:
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if estimate < cores * _SPLIT_BYTES else df
+    inputs = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(inputs.apply(i).stats().sizeInBytes())) for i in range(inputs.size()))
+    return df.repartition(cores) if size < cores * _SPLIT_BYTES else df
