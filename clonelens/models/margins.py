@@ -20,8 +20,10 @@ from clonelens.models.base import Linear, score_table, sigmoid
 from clonelens.session import staged
 
 
-def _margin_sums(rows: DataFrame, w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-    """Loss, gradient and curvature of the squared hinge at ``w`` (bias first), one pass."""
+def _margin_sums(
+    rows: DataFrame, w: np.ndarray, logistic: bool
+) -> tuple[float, np.ndarray, np.ndarray]:
+    """Loss, gradient and curvature of the squared hinge or logistic loss at ``w`` (bias first), one pass."""
     size = len(w)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -32,7 +34,14 @@ def _margin_sums(rows: DataFrame, w: np.ndarray) -> tuple[float, np.ndarray, np.
             x = matrix(batch.column("x"))
             z = np.column_stack([np.ones(len(x)), x])
             sign = np.where(batch.column("label").to_numpy() == 1, 1.0, -1.0)
-            short = 1.0 - sign * (z @ w)
+            margin = sign * (z @ w)
+            if logistic:
+                miss = np.exp(-np.logaddexp(0.0, margin))  # probability of the other class
+                loss += float(np.logaddexp(0.0, -margin).sum())
+                slope -= z.T @ (sign * miss)
+                curve += (z * (miss * (1.0 - miss))[:, None]).T @ z
+                continue
+            short = 1.0 - margin
             inside = short > 0
             z, sign, short = z[inside], sign[inside], short[inside]
             loss += float(short @ short)
@@ -50,17 +59,22 @@ def _hyperplane(
     max_iter: int,
     tolerance: float = 1e-4,
     start: Linear | None = None,
+    logistic: bool = False,
 ) -> Linear:
-    """Minimise |w|^2 / 2 + c * sum(max(0, 1 - y w.z)^2) by Newton steps, halved when they overshoot.
+    """Minimise |w|^2 / 2 + c * (summed loss) by Newton steps, halved when they overshoot.
 
-    The bias is penalised with the rest.  Each step is one pass whose result has
-    (features + 1)^2 numbers; the loss is piecewise quadratic, so few are needed.
+    With the squared hinge the bias is penalised with the rest, with the logistic
+    loss it is free.  Each step is one pass whose result has (features + 1)^2
+    numbers, and few steps are needed.
     """
     size = train.select(F.size("x")).first()[0] + 1
+    penalty = np.ones(size)
+    if logistic:
+        penalty[0] = 1e-9  # free, but the solve stays regular
 
     def at(w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        loss, slope, curve = _margin_sums(train, w)
-        return 0.5 * w @ w + c * loss, w + c * slope, np.eye(size) + c * curve
+        loss, slope, curve = _margin_sums(train, w, logistic)
+        return 0.5 * (penalty * w) @ w + c * loss, penalty * w + c * slope, np.diag(penalty) + c * curve
 
     w = np.zeros(size) if start is None else np.array([start.bias, *start.weights])
     value, slope, curve = at(w)
@@ -98,6 +112,18 @@ class LinearSvm:
         return _hyperplane(train, self.c, self.max_iter)
 
 
+@dataclass
+class Logistic:
+    """Logistic regression with cost ``c``; the score is the probability."""
+
+    c: float = 1.0
+    max_iter: int = 50
+
+    def fit(self, train: DataFrame) -> Linear:
+        plane = _hyperplane(train, self.c, self.max_iter, logistic=True)
+        return Linear(plane.weights, plane.bias, sigmoid)
+
+
 @dataclass
 class CalibratedSvm:
     """Mean of ``folds`` machines, each with a sigmoid fitted on its held-out fold."""

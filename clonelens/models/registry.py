@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
     GBTClassifier,
-    LogisticRegression,
     MultilayerPerceptronClassifier,
     RandomForestClassifier,
 )
@@ -17,7 +16,7 @@ from pyspark.sql import functions as F
 from clonelens.models.base import Estimator, Fitted, SparkMl
 from clonelens.models.boosting import AdaBoost
 from clonelens.models.extra_trees import ExtraTrees
-from clonelens.models.margins import CalibratedSvm, KernelSvm, LinearSvm
+from clonelens.models.margins import CalibratedSvm, KernelSvm, LinearSvm, Logistic
 from clonelens.models.moments import Lda, NearestCentroid, Qda, Ridge, RidgeCv
 from clonelens.models.neighbours import KNearest, LabelPropagation, LabelSpreading
 from clonelens.models.online import Online
@@ -26,15 +25,6 @@ SEED = 42
 _MAX_TREE_DEPTH = 30  # Spark ML's limit; stands for unbounded
 
 
-class Logistic:
-    """Logistic regression with L2 penalty 1 / (n C), C = 1."""
-
-    def fit(self, train: DataFrame) -> Fitted:
-        reg = 1.0 / train.count()
-        model = LogisticRegression(maxIter=1000, regParam=reg, tol=1e-4, standardization=False)
-        return SparkMl(model).fit(train)
-
-
 class SmallNet:
     """Two hidden layers of 128 and 64; sigmoid units and L-BFGS stand in for ReLU and Adam."""
 

@@ -11,7 +11,7 @@ from clonelens.operators import stacking
 from clonelens.operators.evaluate import all_scores, class_scores, roc_auc, roc_points, trapezoid_area
 from clonelens.operators.leaderboard import feature_importance
 from clonelens.operators.neighbours import nearest_neighbours
-from clonelens.operators.prepare import stratified_split
+from clonelens.operators.prepare import standard_scale, stratified_split, vector_columns
 from clonelens.plans import bakeoff, experiments
 from clonelens.session import staged
 from clonelens.sources.synthetic import synthetic
@@ -93,6 +93,15 @@ def test_linear_svm_is_at_the_minimum(data, arrays):
     assert np.linalg.norm(gradient) < 1e-2
 
 
+def test_logistic_is_at_the_minimum(data, arrays):
+    x, y = arrays
+    z, s = np.column_stack([np.ones(len(x)), x]), np.where(y == 1, 1.0, -1.0)
+    fitted = margins.Logistic().fit(data[0])
+    w = np.array([fitted.bias, *fitted.weights])
+    gradient = np.array([0.0, *w[1:]]) - z.T @ (s / (1 + np.exp(s * (z @ w))))
+    assert np.linalg.norm(gradient) < 0.05
+
+
 def _clustered(spark, n=300, size=5):
     rng = np.random.default_rng(3)
     centres = rng.normal(0, 4, (6, size))
@@ -161,8 +170,10 @@ def test_one_pass_updates():
 
 @pytest.fixture(scope="module")
 def wide_data(spark):
-    """The two Gaussian classes with all 34 features."""
-    rows = staged(stratified_split(synthetic(spark, 400)), "rows")
+    """The two Gaussian classes with all 34 features, split and scaled as the models' input always is."""
+    wide, names = vector_columns(stratified_split(staged(synthetic(spark, 400), "raw")), 34)
+    scaled = standard_scale(wide, names)
+    rows = staged(scaled.select("row_id", "label", "is_test", F.array(*names).alias("x")), "rows")
     return rows.filter(~F.col("is_test")).drop("is_test"), rows.filter("is_test").drop("is_test")
 
 
