@@ -9,7 +9,16 @@ import importlib
 
 from pyspark import cloudpickle
 
-_WORKER_MODULES = ("clonelens.functions.arrays",)
+_WORKER_MODULES = (
+    "clonelens.functions.arrays",
+    "clonelens.llm.vectors",
+    "clonelens.llm.simhash",
+    "clonelens.llm.packing",
+    "clonelens.llm.language",
+    "clonelens.llm.quality",
+    "clonelens.llm.pivots",
+    "clonelens.llm.collisions",
+)
 
 
 def ship_worker_code() -> None:

@@ -4,23 +4,37 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from clonelens.llm import line_dedup, mixing, sharding, ship_worker_code
+from clonelens.llm import (
+    collisions, language, line_dedup, mixing, packing, pivots, quality, sharding, ship_worker_code, simhash, warc,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 _FUNCTIONS: list[Query] = [
     mixing.op1_mixing,
     line_dedup.op2_line_dedup,
+    language.op3_language,
+    quality.op4_quality,
+    simhash.op5_simhash,
+    packing.op6_packing,
     sharding.op7_sharding,
+    pivots.op8_embedding_dedup,
+    collisions.op9_ann,
+    warc.op10_warc,
 ]
+# The others have no SQL: models, XXH64 fingerprints, tokenizer ids and iterative or approximate searches.
 SQL = {
     "op1_mixing": mixing.OP1_SQL,
     "op2_line_dedup": line_dedup.OP2_SQL,
+    "op10_warc": warc.OP10_SQL,
 }
+if corpus_pipeline.ORACLE_SQL:
+    SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
 
 
 def queries() -> dict[str, Query]:
     ship_worker_code()
-    return {f.__name__: f for f in _FUNCTIONS}
+    return {**{f.__name__: f for f in _FUNCTIONS}, "pipeline": corpus_pipeline.run}
