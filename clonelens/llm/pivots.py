@@ -15,9 +15,9 @@ vectors are merged into one weighted class first.
 
 The index is approximate: a pair is missed if its prefixes share fewer pivots.
 At the threshold that happens to about 1 % of the pairs in 64 dimensions (a test
-measures recall); nothing below the threshold is ever linked.  Pivots are a
-sample of at most ``MAX_PIVOTS`` vectors with the smallest hashes; all vectors
-are indexed.
+measures recall); nothing below the threshold is ever linked.  Pivots come
+from a sample of at most ``SAMPLED`` x ``MAX_PIVOTS`` vectors with the smallest
+hashes; all vectors are indexed.
 
 Defined cases: vectors that are missing, empty, zero, hold null or non-finite
 components or have another length than most take no part and are their own
@@ -45,7 +45,9 @@ from clonelens.session import staged
 THRESHOLD = 0.9
 PREFIX = 8
 MIN_SHARED = 2
-MIN_PIVOTS, MAX_PIVOTS = 64, 4096
+MIN_PIVOTS, MAX_PIVOTS = 64, 2048
+SAMPLED = 4  # vectors looked at per pivot
+APART = 0.8  # pivots have a smaller cosine than that
 BLOCK = 2048
 _HITS = 1 << 17
 
@@ -71,10 +73,24 @@ def equal_vectors(vectors: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
 
 def pivots(classes: DataFrame, count: int) -> np.ndarray:
-    """Unit vectors of the ``count`` classes with the smallest content hashes."""
-    chosen = classes.orderBy("h1", "h2").limit(count).select(F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    rows = [r["v"] for r in chosen.collect()]
-    return unit(np.array(rows)) if rows else np.zeros((0, 1))
+    """At most ``count`` unit vectors, no two of them near each other.
+
+    Taken in turn from the ``SAMPLED`` x ``count`` classes with the smallest
+    content hashes.  A dense group gives one pivot, however many rows it holds;
+    more of them would be ordered by noise within the group.
+    """
+    sample = classes.orderBy("h1", "h2").limit(SAMPLED * count).select(F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    rows = [r["v"] for r in sample.collect()]
+    if not rows:
+        return np.zeros((0, 1))
+    units = unit(np.array(rows))
+    free, chosen = np.ones(len(units), bool), []
+    while free.any() and len(chosen) < count:
+        at = int(np.argmax(free))
+        chosen.append(at)
+        free &= units @ units[at] < APART
+        free[at] = False
+    return units[chosen]
 
 
 def described(classes: DataFrame, points: np.ndarray) -> DataFrame:
