@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from clonelens.functions.hashing import HASH_RANGE, seeded_hash
 from clonelens.functions.skew import broadcast_if_small
+from clonelens.session import staged
 
 
 def _fan_out(df: DataFrame) -> int:
@@ -25,35 +26,15 @@ def _fan_out(df: DataFrame) -> int:
     return max(4, math.ceil(math.sqrt(2 * partitions)))
 
 
-def _literal_row(fields: Sequence[str], values: Sequence) -> Column:
-    return F.struct(*[F.lit(v).alias(f) for f, v in zip(fields, values)])
+def _ranged(df: DataFrame, order: Sequence[str], by: Sequence[str]) -> DataFrame:
+    """``df`` range partitioned by ``by`` and ``order``, with the partition's number as ``__b``.
 
-
-def _range_bucket(df: DataFrame, order: Sequence[str]) -> Column:
-    """Bucket number of a row in the order ``order``, from sampled bounds.
-
-    Any bounds give the same exact ranks; the sample only balances the buckets.
-    All order columns take part, so ties in the first one still spread.
+    Any bounds give the same exact ranks; Spark's sample only balances the
+    partitions.  The result is staged, so that all readers see the same bounds.
     """
-    fan = _fan_out(df)
-    sample = (
-        df.select(*order).orderBy(F.rand(17)).limit(fan * fan * 8).orderBy(*order).collect()
-    )
-    if not sample:
-        return F.lit(0)
-    step = max(1, len(sample) // (fan * fan))
-    bounds = sample[step::step]
-    if not bounds:
-        return F.lit(0)
-    key_type = df.select(F.struct(*order).alias("k")).schema["k"].dataType.simpleString()
-    groups = [bounds[i : i + fan] for i in range(0, len(bounds), fan)]
-    rows = [[_literal_row(order, tuple(b)).cast(key_type) for b in g] for g in groups]
-    key = F.struct(*order)
-    tops = F.array(*[g[0] for g in rows])
-    group_no = F.size(F.filter(tops, lambda b: b <= key))
-    members = F.element_at(F.array(*[F.array(*g) for g in rows]), group_no)
-    inside = F.size(F.filter(members, lambda b: b <= key))
-    return F.when(group_no == 0, 0).otherwise((group_no - 1) * fan + inside)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(parts, *by, *order)
+    return staged(ranged.withColumn("__b", F.spark_partition_id()), "ranged")
 
 
 def _hash_bucket(df: DataFrame, column: str) -> Column:
@@ -66,9 +47,9 @@ def _running(
     order: Sequence[str],
     sums: Mapping[str, Column],
     by: Sequence[str],
-    bucket: Column,
 ) -> DataFrame:
-    keyed = df.withColumn("__b", bucket)
+    """Running totals of rows whose ``__b`` numbers buckets along the order."""
+    keyed = df
     names = list(sums)
     totals = keyed.groupBy(*by, "__b").agg(*[F.sum(sums[n]).alias(f"__t_{n}") for n in names])
     before = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
@@ -90,7 +71,7 @@ def _running(
         joined = joined.withColumn(
             n, F.col(f"__o_{n}") + F.coalesce(F.sum(sums[n]).over(inside), F.lit(0))
         )
-    return joined.select(*df.columns, *names)
+    return joined.drop("__b").select(*[c for c in df.columns if c != "__b"], *names)
 
 
 def running_totals(
@@ -100,7 +81,7 @@ def running_totals(
 
     ``order`` must be unique within ``by``; pre-aggregate ties first.
     """
-    return _running(df, order, sums, by, _range_bucket(df, list(order)))
+    return _running(_ranged(df, list(order), by), order, sums, by)
 
 
 def dense_index(
@@ -115,13 +96,8 @@ def hash_index(
 ) -> DataFrame:
     """Number the rows in a seeded random order; ties in the hash go by id."""
     hashed = df.withColumn("__h", seeded_hash(seed, F.col(id_col)))
-    out = _running(
-        hashed,
-        ["__h", id_col],
-        {name: F.lit(1).cast("bigint")},
-        by,
-        _hash_bucket(hashed, "__h"),
-    )
+    bucketed = hashed.withColumn("__b", _hash_bucket(hashed, "__h"))
+    out = _running(bucketed, ["__h", id_col], {name: F.lit(1).cast("bigint")}, by)
     return out.drop("__h")
 
 

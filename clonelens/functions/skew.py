@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 # A key is hot above rows / HOT_SHARE; so there are at most HOT_SHARE hot keys.
 HOT_SHARE = 1000
-SALTS = 64
-# Groups up to this size need no splitting.
+# Groups up to this size need no splitting; hot ones are split into parts of at most this size.
 SMALL_GROUP = 100_000
 
 
@@ -40,10 +39,10 @@ def salted_join(
 ) -> DataFrame:
     """Join ``many`` with ``one`` on ``keys``, splitting the hot keys of ``many``.
 
-    ``one`` holds each key once.  Rows of a hot key are spread over ``SALTS``
-    salts by a hash of the column ``spread_by``, and the hot rows of ``one`` (at
-    most ``HOT_SHARE``, by pigeonhole) are repeated once per salt.  The list of
-    hot keys has the same proven bound, so broadcasting it is safe.
+    ``one`` holds each key once.  Rows of a hot key are spread by a hash of the
+    column ``spread_by`` over as many salts as its count needs, and the hot rows
+    of ``one`` (at most ``HOT_SHARE``, by pigeonhole) are repeated once per salt.
+    The list of hot keys has the same proven bound, so broadcasting it is safe.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     total = many.count() if rows is None else rows
@@ -54,10 +53,11 @@ def salted_join(
         many.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("__n"))
         .filter(F.col("__n") > limit)
-        .select(*keys, F.lit(True).alias("__hot"))
+        .select(*keys, F.ceil(F.col("__n") / F.lit(SMALL_GROUP)).alias("__salts"))
     )
-    salt = F.when(F.col("__hot"), F.pmod(F.xxhash64(spread_by), F.lit(SALTS))).otherwise(F.lit(0))
-    left = many.join(hot, keys, "left").withColumn("__salt", salt.cast("int")).drop("__hot")
-    copies = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    right = one.join(hot, keys, "left").withColumn("__salt", F.explode(copies)).drop("__hot")
+    salt = F.coalesce(F.pmod(F.xxhash64(spread_by), F.col("__salts")), F.lit(0))
+    left = many.join(hot, keys, "left").withColumn("__salt", salt.cast("bigint")).drop("__salts")
+    last = F.coalesce(F.col("__salts"), F.lit(1)).cast("bigint") - 1
+    copies = F.sequence(F.lit(0).cast("bigint"), last)
+    right = one.join(hot, keys, "left").withColumn("__salt", F.explode(copies)).drop("__salts")
     return left.join(right, [*keys, "__salt"], how).drop("__salt")

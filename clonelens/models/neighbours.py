@@ -81,7 +81,7 @@ class LabelSpreading:
     gamma: float = 20.0
     alpha: float = 0.2
     tolerance: float = 1e-3
-    max_rounds: int = 30
+    max_rounds: int = 1000
     block_rows: int = BLOCK_ROWS
 
     def fit(self, train: DataFrame) -> FittedKernelVote:

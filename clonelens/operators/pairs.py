@@ -6,9 +6,10 @@ Pairs carry ids only; text is joined in where a step needs it.
 from __future__ import annotations
 
 import math
+import warnings
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clonelens.functions.hashing import seeded_hash
@@ -18,16 +19,11 @@ from clonelens.operators.rewrite import mutant_id, mutate_code
 from clonelens.session import spread, staged
 
 EXACT, MUTATED, NEGATIVE = "exact", "mutated", "negative"
-_TOP_N = 100_000  # up to here a top-n keeps its rows in task memory; above, rank by buckets
-_MAX_DRAWS = 64  # draws per wanted pair before a shortfall is accepted
+_SPARE = 64  # draws added to every batch
 
 
 def _first(df: DataFrame, order: list[str], n: int, name: str) -> DataFrame:
     """The first ``n`` rows in ``order``, numbered from 0."""
-    if n <= _TOP_N:  # at most _TOP_N rows reach the one-task window
-        top = df.orderBy(*order).limit(n)
-        place = F.row_number().over(Window.orderBy(*order)) - 1
-        return top.withColumn(name, place.cast("bigint"))
     return dense_index(df, order, name=name).filter(F.col(name) < n)
 
 
@@ -55,10 +51,22 @@ def files_per_repo(code_files: DataFrame) -> DataFrame:
 
 
 def multi_file_repos(code_files: DataFrame) -> DataFrame:
-    """Repositories a pair can be drawn from, numbered by name from 0."""
+    """Repositories with several files, numbered by name from 0."""
     return dense_index(files_per_repo(code_files).filter("n_files > 1"), ["repo"], name="repo_no")
 
 
+def drawable_repos(slots: DataFrame) -> DataFrame:
+    """Repositories that hold two different texts, numbered by name from 0, with their file counts.
+
+    Others can never give a pair, so draws do not go there.
+    """
+    texts = slots.groupBy("repo").agg(
+        F.count(F.lit(1)).alias("n_files"), F.min("sha").alias("least"), F.max("sha").alias("largest")
+    )
+    several = texts.filter("least < largest").select("repo", "n_files")
+    return dense_index(several, ["repo"], name="repo_no")
+
+
 def files_in_repos(code_files: DataFrame) -> DataFrame:
     """(file_id, repo, idx, sha): files numbered inside their repository, multi-file ones only.
 
@@ -85,7 +93,11 @@ def _two_slots(draw: Column, size: Column, seed: str) -> tuple[Column, Column]:
 
 @dataclass
 class Negatives:
-    """Non-clone pairs and how many of the wanted ones could not be found."""
+    """Non-clone pairs, numbered by ``place``, and how many of the wanted ones do not exist.
+
+    The shortfall is 0 unless no repository holds two different texts; then it is
+    the number wanted.
+    """
 
     pairs: DataFrame
     shortfall: int
@@ -94,17 +106,18 @@ class Negatives:
 def same_repo_negatives(code_files: DataFrame, count: int, seed: int = 42) -> Negatives:
     """``count`` pairs of different texts, each from one hash-drawn repository.
 
-    Draw d picks a repository and two of its files; equal texts are rejected and
-    the draws go on, in batches, until enough are left.  Draws are numbered, so
-    the batch size never changes the result.
+    Draw d picks a repository that holds different texts and two of its files;
+    equal texts are rejected and the draws go on until ``count`` are left.  Draws
+    are numbered, so the batches never change the result; each batch is as large
+    as the share accepted so far asks for.
     """
     spark = code_files.sparkSession
     slots = staged(files_in_repos(code_files), "repo-files")
-    repos = multi_file_repos(slots.select("repo"))
+    repos = staged(drawable_repos(slots), "drawable-repos")
     n_repos = repos.count()
-    empty = spark.createDataFrame([], "draw bigint, left_id bigint, right_id bigint")
     if n_repos == 0 or count <= 0:
-        return Negatives(empty, max(count, 0))
+        empty = "draw bigint, left_id bigint, right_id bigint, place bigint"
+        return Negatives(spark.createDataFrame([], empty), max(count, 0))
     if n_repos <= BROADCAST_ROWS:
         repos = F.broadcast(repos)
 
@@ -121,18 +134,22 @@ def same_repo_negatives(code_files: DataFrame, count: int, seed: int = 42) -> Ne
         both = salted_join(both, right, ["repo", "j"], "draw", rows=size)
         return both.filter("left_sha <> right_sha").select("draw", "left_id", "right_id")
 
-    found, have, start, size = None, 0, 0, math.ceil(count * 1.3) + 64
-    while have < count and start < count * _MAX_DRAWS:
+    found, have, start, size = None, 0, 0, math.ceil(count * 1.3) + _SPARE
+    while have < count:
         part = staged(batch(start, size), "draws")
         have += part.count()
         start += size
         found = part if found is None else found.unionByName(part)
-    kept = _first(found, ["draw"], count, "rank").drop("rank")
-    return Negatives(kept, max(0, count - have))
+        accepted = max(have, 1) / start
+        size = math.ceil((count - have) / accepted * 1.2) + _SPARE
+    return Negatives(_first(found, ["draw"], count, "place"), 0)
 
 
 def any_repo_negatives(code_files: DataFrame, draws: int, seed: int = 42) -> DataFrame:
-    """Pairs of two independent draws over all files; equal draws are left out, not redrawn."""
+    """Pairs of two independent draws over all files; equal draws are left out, not redrawn.
+
+    As in the original flow there are never more draws than files less one.
+    """
     spark = code_files.sparkSession
     slots = staged(dense_index(code_files.select("file_id"), ["file_id"]), "files")
     n_files = slots.count()
@@ -146,14 +163,22 @@ def any_repo_negatives(code_files: DataFrame, draws: int, seed: int = 42) -> Dat
     return both.select("draw", "left_id", "right_id")
 
 
-def pair_set(
+@dataclass
+class PairSample:
+    """A labelled pair set and how many of the wanted pairs do not exist."""
+
+    pairs: DataFrame
+    shortfall: int
+
+
+def sample_pairs(
     code_files: DataFrame,
     num_pairs: int = 1000,
     clone_types: str = "mixed",
     negatives: str = "same_repo",
     seed: int = 42,
-) -> DataFrame:
-    """(pair_id, left_id, right_id, kind, label): positives, then negatives.
+) -> PairSample:
+    """Pairs (pair_id, left_id, right_id, kind, label): positives, then negatives.
 
     With ``same_repo`` the negatives fill all the places the positives leave;
     with ``any`` they are ``num_pairs // 2`` draws, minus the equal ones.
@@ -163,18 +188,27 @@ def pair_set(
     n_positive = min(wanted, n_files)
     positives = positive_pairs(code_files, wanted, clone_types)
     if negatives == "any":
-        drawn = any_repo_negatives(code_files, wanted, seed)
+        drawn = dense_index(any_repo_negatives(code_files, wanted, seed), ["draw"], name="place")
+        shortfall = 0
     else:
-        drawn = same_repo_negatives(code_files, num_pairs - n_positive, seed).pairs
-    numbered = dense_index(drawn, ["draw"], name="rank")
-    others = numbered.select(
-        (F.col("rank") + n_positive).cast("bigint").alias("pair_id"),
+        found = same_repo_negatives(code_files, num_pairs - n_positive, seed)
+        drawn, shortfall = found.pairs, found.shortfall
+    others = drawn.select(
+        (F.col("place") + n_positive).cast("bigint").alias("pair_id"),
         "left_id",
         "right_id",
         F.lit(NEGATIVE).alias("kind"),
         F.lit(0).cast("bigint").alias("label"),
     )
-    return positives.unionByName(others)
+    return PairSample(positives.unionByName(others), shortfall)
+
+
+def pair_set(code_files: DataFrame, num_pairs: int = 1000, *args, **kwargs) -> DataFrame:
+    """The pairs of ``sample_pairs``; warns if some of the wanted ones do not exist."""
+    found = sample_pairs(code_files, num_pairs, *args, **kwargs)
+    if found.shortfall:
+        warnings.warn(f"{found.shortfall} of {num_pairs} pairs do not exist: no repository holds two different texts", stacklevel=2)
+    return found.pairs
 
 
 def mutants_of(code_files: DataFrame, pairs: DataFrame, seed: int = 42) -> DataFrame:

@@ -221,6 +221,12 @@ def negatives_same_repo(spark, sf):
     return found.pairs.select("draw", "left_id", "right_id")
 
 
+@query
+def negatives_nearly_equal(spark, sf):
+    found = pr.same_repo_negatives(src.nearly_equal_files(spark, sf), _n_files(spark, sf) // 100)
+    return found.pairs.select("draw", "left_id", "right_id")
+
+
 @query
 def negatives_any(spark, sf):
     return pr.any_repo_negatives(src.code_files(spark, sf), _n_files(spark, sf) // 2)
@@ -351,9 +357,9 @@ def nan_to_num(spark, sf):
         .when(F.col("row_id") % 11 == 2, F.lit(float("-inf")))
         .otherwise(F.col(names[0])),
     )
-    fixed = pp.nan_to_num(broken, names[:2])
+    fixed = pp.nan_to_num(broken, names)
     # the largest doubles are scaled down, so that every engine can round them
-    return fixed.select("row_id", *[F.round(F.col(n) / F.when(F.abs(n) > 1e300, F.lit(1e300)).otherwise(F.lit(1.0)), 6).alias(n) for n in names[:2]])
+    return fixed.select("row_id", *[F.round(F.col(n) / F.when(F.abs(n) > 1e300, F.lit(1e300)).otherwise(F.lit(1.0)), 6).alias(n) for n in names])
 
 
 @query
@@ -686,10 +692,10 @@ def fit_pairtext(spark, sf):
 
 @query
 def model_comparison(spark, sf):
+    """All classifiers, the small net, the text model and the best stack, with their times."""
     from clonelens.plans.bakeoff import compare_all
 
-    quick = ["DecisionTree", "Ridge", "LDA", "NearestCentroid", "QDA"]
-    return compare_all(_data(spark, sf), quick, (), neural=False).results.drop("time_ms")
+    return compare_all(_data(spark, sf)).results
 
 
 @query
@@ -697,13 +703,13 @@ def stack_search(spark, sf):
     data = _data(spark, sf)
     return stacking.search_stacks(data.train, data.test, TOP_MODELS, make).withColumn(
         "base_classifiers", F.array_join("base_classifiers", ", ")
-    ).drop("time_ms")
+    )
 
 
 @query
 def extratrees_experiment(spark, sf):
     data = _data(spark, sf)
-    return experiments.extratrees_experiment(data.train, data.test).drop("time_ms")
+    return experiments.extratrees_experiment(data.train, data.test)
 
 
 @query
@@ -713,16 +719,21 @@ def feature_importance(spark, sf):
     return lb.feature_importance(experiments.named_importances(fitted, FEATURES, data.train))
 
 
+def _all_vectors(spark, sf) -> DataFrame:
+    data = _data(spark, sf)
+    return data.train.unionByName(data.test)
+
+
 @query
 def cross_validated_f1(spark, sf):
-    rows = _data(spark, sf).train
-    return experiments.cross_validated_f1(rows, ["DecisionTree"])
+    """Random forest, boosting and one tree over ten stratified folds of all pairs."""
+    return experiments.cross_validated_f1(_all_vectors(spark, sf))
 
 
 @query
 def learning_curve(spark, sf):
-    rows = _data(spark, sf).train
-    return experiments.learning_curve(rows, ["DecisionTree"])
+    """The same models on growing shares of five folds of all pairs."""
+    return experiments.learning_curve(_all_vectors(spark, sf))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,20 +9,24 @@ from pyspark.sql import functions as F
 
 from clonelens.operators.metrics import file_metrics
 from clonelens.operators.pair_features import FEATURES, as_vectors, pair_features
-from clonelens.operators.pairs import files_of_pairs, pair_set
+from clonelens.operators.pairs import PairSample, files_of_pairs, sample_pairs
 from clonelens.operators.prepare import grouped_split, standard_scale, stratified_split
 from clonelens.session import staged
 
 
 @dataclass
 class Dataset:
-    """Pairs, their files and features, and the two sides of the split as vectors."""
+    """Pairs, their files and features, and the two sides of the split as vectors.
+
+    ``shortfall`` is how many of the wanted pairs do not exist.
+    """
 
     pairs: DataFrame
     files: DataFrame
     features: DataFrame
     train: DataFrame
     test: DataFrame
+    shortfall: int = 0
 
 
 def labelled_features(
@@ -31,12 +35,14 @@ def labelled_features(
     clone_types: str = "mixed",
     negatives: str = "same_repo",
     seed: int = 42,
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(pairs, files, features), each staged: draws, mutants and parses happen once."""
-    pairs = staged(pair_set(code_files, num_pairs, clone_types, negatives, seed), "pairs")
+) -> tuple[PairSample, DataFrame, DataFrame]:
+    """(sample, files, features), each staged: texts are read, drawn, mutated and parsed once."""
+    code_files = staged(code_files, "code-files")
+    sample = sample_pairs(code_files, num_pairs, clone_types, negatives, seed)
+    pairs = staged(sample.pairs, "pairs")
     files = staged(files_of_pairs(code_files, pairs, seed), "pair-files")
     metrics = staged(file_metrics(files), "metrics")
-    return pairs, files, staged(pair_features(pairs, metrics), "features")
+    return PairSample(pairs, sample.shortfall), files, staged(pair_features(pairs, metrics), "features")
 
 
 def split_and_scale(
@@ -57,6 +63,6 @@ def split_and_scale(
 
 def build(code_files: DataFrame, num_pairs: int = 1000, **options) -> Dataset:
     """The whole way from files to train and test vectors."""
-    pairs, files, features = labelled_features(code_files, num_pairs, **options)
+    sample, files, features = labelled_features(code_files, num_pairs, **options)
     train, test = split_and_scale(features)
-    return Dataset(pairs, files, features, train, test)
+    return Dataset(sample.pairs, files, features, train, test, sample.shortfall)

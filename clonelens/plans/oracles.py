@@ -9,7 +9,7 @@ from __future__ import annotations
 from clonelens.operators.metrics import FRACTIONS, METRICS
 from clonelens.operators.pair_features import FEATURES
 from clonelens.operators.tokens import END_ID, MAX_LENGTH, PAD_ID, START_ID, VOCABULARY
-from clonelens.sources.rendered import CODE_FILES_SQL, RESULTS_SQL
+from clonelens.sources.rendered import CODE_FILES_SQL, NEARLY_EQUAL_SQL, RESULTS_SQL
 
 SIZE = 64  # embedding length
 
@@ -100,15 +100,18 @@ repo_nos AS (
   SELECT repo, n_files, row_number() OVER (ORDER BY repo) - 1 AS repo_no FROM repo_sizes WHERE n_files > 1),
 slots AS (
   SELECT f.file_id, f.repo, f.content, row_number() OVER (PARTITION BY f.repo ORDER BY f.file_id) - 1 AS idx
-  FROM code_files f JOIN repo_nos r ON f.repo = r.repo)"""
+  FROM code_files f JOIN repo_nos r ON f.repo = r.repo),
+drawable AS (
+  SELECT repo, n_files, row_number() OVER (ORDER BY repo) - 1 AS repo_no
+  FROM (SELECT repo, count(*) AS n_files FROM code_files GROUP BY repo HAVING count(DISTINCT content) > 1))"""
 
 
-def _draws(wanted: str) -> str:
-    """All accepted same-repository draws among the first 64 per wanted pair, numbered; keep ``wanted``."""
-    return f"""draws AS (SELECT unnest(range(0, {wanted} * 8 + 1000)) AS draw),
+def _draws(wanted: str, each: int = 8) -> str:
+    """The first ``wanted`` accepted same-repository draws; ``each`` tries per wanted pair must suffice."""
+    return f"""draws AS (SELECT unnest(range(0, {wanted} * {each} + 1000)) AS draw),
 picked AS (
   SELECT draw, repo, n_files, {h('file-42-first', 'draw')} % n_files AS i, {h('file-42-second', 'draw')} % (n_files - 1) AS step
-  FROM draws JOIN repo_nos ON repo_no = {h('repo-42', 'draw')} % (SELECT count(*) FROM repo_nos)),
+  FROM draws JOIN drawable ON repo_no = {h('repo-42', 'draw')} % (SELECT count(*) FROM drawable)),
 accepted AS (
   SELECT p.draw, a.file_id AS left_id, b.file_id AS right_id, row_number() OVER (ORDER BY p.draw) - 1 AS place
   FROM picked p
@@ -467,6 +470,8 @@ ORDER BY stars DESC, name LIMIT 20""",
 SELECT pair_id, left_id, CASE WHEN pair_id % 2 = 1 THEN -left_id - 1 ELSE left_id END AS right_id,
        CASE WHEN pair_id % 2 = 1 THEN 'mutated' ELSE 'exact' END AS kind, label FROM positives""",
         "negatives_same_repo": f"WITH {repo_code}, {_draws(N_FILES)} SELECT draw, left_id, right_id FROM negatives",
+        "negatives_nearly_equal": f"""WITH code_files AS ({NEARLY_EQUAL_SQL.format(part='part')}), {REPOS}, {_draws(f"({N_FILES} // 100)", 2000)}
+SELECT draw, left_id, right_id FROM negatives""",
         "negatives_any": f"WITH {CODE}, {ANY_REPO} SELECT draw, left_id, right_id FROM any_pairs",
         "pair_set": f"WITH {CODE}, {PAIRS} SELECT * FROM pairs",
         "pair_set_any_repo": f"""WITH {CODE}, {POSITIVES}, {ANY_REPO}
@@ -505,7 +510,7 @@ FROM split_wide CROSS JOIN (SELECT {', '.join(f'avg({n}) AS m_{n}' for n in X_NA
         "nan_to_num": f"""WITH {VECTORS} SELECT row_id,
   CASE row_id % 11 WHEN 0 THEN CAST(0 AS DOUBLE) WHEN 1 THEN round(CAST('1.7976931348623157e308' AS DOUBLE) / CAST(1e300 AS DOUBLE), 6)
     WHEN 2 THEN round(CAST('-1.7976931348623157e308' AS DOUBLE) / CAST(1e300 AS DOUBLE), 6) ELSE round(x[1], 6) END AS x_0,
-  round(x[2], 6) AS x_1 FROM vectors""",
+  """ + ", ".join(f"round(x[{i + 1}], 6) AS x_{i}" for i in range(1, SIZE)) + " FROM vectors",
         "standard_scale": f"WITH {features} " + _scaled("features", FEATURES, "pair_id, label", ""),
         "scale_on_train": f"WITH {features}, {_split('features', 'pair_id')} "
         + _scaled("split_features", FEATURES, "pair_id, label, CAST(is_test AS BIGINT) AS is_test", "WHERE is_test = 0"),

@@ -19,13 +19,23 @@ _DEFAULTS = {
 
 
 def build_session(master: str | None = None, app_name: str = "clonelens", **conf: str) -> SparkSession:
-    """A session with the defaults above; ``conf`` wins over them."""
+    """A session with ``conf``, and with the defaults above where nobody set them.
+
+    Settings of a submitted application and of a session that already runs stay.
+    """
+    running = SparkSession.getActiveSession()
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    for key, value in {**_DEFAULTS, **conf}.items():
+    for key, value in conf.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    if running is None:
+        given = spark.sparkContext.getConf()
+        for key, value in _DEFAULTS.items():
+            if not given.contains(key):
+                spark.conf.set(key, value)
+    return spark
 
 
 def staging_root(spark: SparkSession) -> str:
@@ -40,17 +50,20 @@ def staging_root(spark: SparkSession) -> str:
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     folder = tempfile.mkdtemp(prefix="clonelens-")
     spark.conf.set("spark.checkpoint.dir", folder)
+    spark.sparkContext.setCheckpointDir(folder)  # lets Spark ML cut the lineage of its iterations
     return folder
 
 
-def staged(df: DataFrame, name: str = "stage") -> DataFrame:
+def staged(df: DataFrame, name: str = "stage", folder: str | None = None) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
     This cuts the lineage, evaluates an expensive plan exactly once, survives
-    lost executors and lets later readers prune columns.
+    lost executors and lets later readers prune columns.  ``folder`` is the
+    session's staging folder unless given; whoever gives one can delete it whole
+    when the work is done.
     """
     spark = df.sparkSession
-    path = f"{staging_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{folder or staging_root(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -25,6 +25,14 @@ SELECT p_partkey AS file_id, p_brand AS repo,
 FROM {{part}}
 """
 
+# Two repositories; one of them holds one different text in about 500, the other equal texts only.
+NEARLY_EQUAL_SQL = """
+SELECT p_partkey AS file_id, 'r' || CAST(p_partkey % 2 AS VARCHAR(20)) AS repo,
+       'r/f' || CAST(p_partkey AS VARCHAR(20)) || '.py' AS path,
+       CASE WHEN p_partkey % 1000 = 7 THEN 'y = ' || CAST(p_partkey AS VARCHAR(20)) ELSE 'x = 1' END AS content
+FROM {part}
+"""
+
 RESULTS_SQL = """
 SELECT p_name || '#' || CAST(p_partkey AS VARCHAR(20)) AS model, p_type AS type,
        round(CAST(0.5 AS DOUBLE) + CAST(p_partkey % 499 AS DOUBLE) / CAST(1000 AS DOUBLE), 6) AS accuracy,
@@ -48,6 +56,11 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(CODE_FILES_SQL.format(part="{part}"), part=table(spark, sf_dir, "part"))
 
 
+def nearly_equal_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code files of which hardly any differ from the others of their repository."""
+    return spark.sql(NEARLY_EQUAL_SQL.format(part="{part}"), part=table(spark, sf_dir, "part"))
+
+
 def results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A leaderboard with ties; one type has a single row."""
     return spark.sql(RESULTS_SQL.format(part="{part}"), part=table(spark, sf_dir, "part"))

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from clonelens.functions.ranking import dense_index
+from clonelens.session import staged
 
 _SCHEMA = "path string, repo string, content string"
 _CHUNK_BYTES = 32 << 20
@@ -114,5 +115,10 @@ def read_source_tree(spark: SparkSession, path: str, repo_level: str = "leaf") -
 
 
 def number_files(files: DataFrame) -> DataFrame:
-    """Add ``file_id``: 0, 1, 2, ... in path order."""
-    return dense_index(files, ["path"], name="file_id")
+    """Add ``file_id``: 0, 1, 2, ... in path order.
+
+    The tree is read once; only paths are ranked, contents join their number.
+    """
+    files = staged(files, "source-files")
+    numbers = dense_index(files.select("path").distinct(), ["path"], name="file_id")
+    return files.join(numbers, "path").select(*files.columns, "file_id")

@@ -52,8 +52,24 @@ def test_mutants_are_extra_files(spark):
 
 
 @pytest.mark.parametrize("n", [7, 200])
-def test_top_and_bucketed_numbering_agree(spark, monkeypatch, n):
-    files = _files(spark, [(i, "r", f"r/{i * 7919 % 500:03d}.py", "x") for i in range(300)])
-    small = pr.positive_pairs(files, n).collect()
-    monkeypatch.setattr(pr, "_TOP_N", 1)
-    assert sorted(small) == sorted(pr.positive_pairs(files, n).collect())
+def test_positives_are_the_first_files_in_path_order(spark, n):
+    rows = [(i, "r", f"r/{i * 7919 % 500:03d}.py", "x") for i in range(300)]
+    found = pr.positive_pairs(_files(spark, rows), n, "exact").collect()
+    want = [r[0] for r in sorted(rows, key=lambda r: (r[2], r[0]))[:n]]
+    assert [r["left_id"] for r in sorted(found, key=lambda r: r["pair_id"])] == want
+
+
+def test_the_set_is_filled_from_one_differing_text(spark):
+    files = _files(spark, [(i, "r", f"r/{i:04d}.py", "x = 2" if i == 500 else "x = 1") for i in range(1000)])
+    sample = pr.sample_pairs(files, 40, "exact")
+    pairs = sample.pairs.toPandas()
+    negatives = pairs[pairs["label"] == 0]
+    assert sample.shortfall == 0 and len(pairs) == 40 and len(negatives) == 20
+    assert ((negatives["left_id"] == 500) ^ (negatives["right_id"] == 500)).all()
+
+
+def test_a_shortfall_is_told(spark):
+    files = _files(spark, [(i, "r", f"r/{i}.py", "x = 1") for i in range(6)])
+    assert pr.sample_pairs(files, 6, "exact").shortfall == 3
+    with pytest.warns(UserWarning, match="3 of 6 pairs"):
+        assert pr.pair_set(files, 6, "exact").count() == 3

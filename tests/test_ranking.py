@@ -80,7 +80,7 @@ def test_grouped_split_keeps_files_together(spark, rows):
 
 
 def test_salted_join_equals_a_plain_join(spark, rows, monkeypatch):
-    monkeypatch.setattr(skew, "SMALL_GROUP", 100)
+    monkeypatch.setattr(skew, "SMALL_GROUP", 100)  # the hot key gets a dozen salts
     many = spark.createDataFrame(rows)
     one = spark.createDataFrame([("hot", 1), ("a", 2), ("b", 3)], "g string, w int")
     for how, size in (("inner", rows["g"].isin(["hot", "a", "b"]).sum()), ("left", len(rows))):
