@@ -21,10 +21,12 @@ from pyspark.sql import types as T
 
 from clonelens.functions.arrays import matrix
 from clonelens.functions.hashing import seeded_hash
+from clonelens.functions.skew import salted_join
 from clonelens.session import staged
 
 BLOCK_ROWS = 1024
-_MAX_PIVOTS = 64  # bounds the pivot table and the cell-pair table
+_MAX_PIVOTS = 512  # bounds the pivot table and the cell-pair table
+_CELL_ROWS = 256  # points a cell holds on average, while there are fewer pivots than that bound
 _DISTANCE_PLACES = 9  # distances are rounded before ranking, so engines agree on ties
 _EXP_UNDERFLOW = 745.2  # exp(-v) is exactly 0.0 in double precision beyond this
 
@@ -91,26 +93,26 @@ def _needed_cells(
 ) -> list[tuple[int, int]]:
     """Cell pairs that may hold a neighbour: within ``radius``, or within the k-th distance's bound."""
     between = np.sqrt(squared_distances(pivots, pivots))
+    cells = np.array(sorted(points.radius), dtype=int)
+    radii = np.array([points.radius[p] for p in cells])
+    counts = np.array([points.counts[p] for p in cells])
     needed = []
     for q, q_radius in queries.radius.items():
         reach = radius
         if reach is None:
-            farthest = sorted((between[q, p] + r, p) for p, r in points.radius.items())
-            have, reach = 0, math.inf
-            for bound, p in farthest:
-                have += points.counts[p]
-                if have >= k:
-                    reach = bound + q_radius
-                    break
-        for p, p_radius in points.radius.items():
-            if between[q, p] - q_radius - p_radius <= reach * (1 + 1e-9) + 1e-9:
-                needed.append((q, p))
+            farthest = between[q, cells] + radii
+            order = np.argsort(farthest, kind="stable")
+            enough = np.flatnonzero(np.cumsum(counts[order]) >= k)
+            reach = farthest[order[enough[0]]] + q_radius if len(enough) else math.inf
+        near = between[q, cells] - q_radius - radii <= reach * (1 + 1e-9) + 1e-9
+        needed += [(q, int(p)) for p in cells[near]]
     return needed
 
 
 def _pivots(points: DataFrame) -> np.ndarray:
-    """A bounded number of points, drawn by hash."""
-    chosen = points.orderBy(seeded_hash("pivot", F.col("row_id"))).limit(_MAX_PIVOTS)
+    """Points drawn by hash: about one for ``_CELL_ROWS`` points, a bounded number."""
+    count = min(_MAX_PIVOTS, max(1, points.count() // _CELL_ROWS))
+    chosen = points.orderBy(seeded_hash("pivot", F.col("row_id"))).limit(count)
     return np.array([r["x"] for r in chosen.select("x").collect()], dtype=float)
 
 
@@ -185,33 +187,55 @@ def nearest_neighbours(queries: DataFrame, points: DataFrame, k: int = 5, block_
     return candidates.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+@dataclass
+class _Merged:
+    """Rows with equal vectors as one: ``cells`` of the distinct vectors, ``members`` (row_id, at)."""
+
+    cells: _Cells
+    members: DataFrame
+    n: int
+
+
+def _distinct(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(distinct vectors as (row_id, x), members (row_id, at)); ``at`` is the smallest row_id of equals."""
+    content = [F.xxhash64("x").alias("h1"), F.xxhash64(F.lit(1), "x").alias("h2")]
+    hashed = staged(rows.select("row_id", "x", *content), "hashed")
+    first = hashed.groupBy("h1", "h2").agg(F.min("row_id").alias("at"), F.first("x").alias("x"))
+    first = staged(first, "distinct")
+    members = salted_join(hashed.drop("x"), first.drop("x"), ["h1", "h2"], "row_id").select("row_id", "at")
+    return first.select(F.col("at").alias("row_id"), "x"), staged(members, "members")
+
+
 @dataclass
 class KernelIndex:
     """Points placed into blocks once, for kernel sums with changing values.
 
-    The cell pairs further apart than the radius beyond which the kernel is
-    exactly 0.0 are dropped.
+    Equal points are merged and their values added up first, equal queries are
+    asked once.  The cell pairs further apart than the radius beyond which the
+    kernel is exactly 0.0 are dropped; if the kernel reaches everything, the work
+    grows with the square of the distinct vectors.
     """
 
     gamma: float
     pivots: np.ndarray
-    points: _Cells
+    points: _Merged
     block_rows: int
 
     @classmethod
     def build(cls, points: DataFrame, gamma: float, block_rows: int = BLOCK_ROWS) -> KernelIndex:
         """``points(row_id, x)``."""
-        slim = points.select("row_id", "x")
-        pivots = _pivots(slim)
-        return cls(gamma, pivots, _assign(slim, pivots, block_rows), block_rows)
+        distinct, members = _distinct(points)
+        pivots = _pivots(distinct)
+        return cls(gamma, pivots, _Merged(_assign(distinct, pivots, block_rows), members, members.count()), block_rows)
 
-    def place(self, queries: DataFrame) -> _Cells:
-        return _assign(queries.select("row_id", "x"), self.pivots, self.block_rows)
+    def place(self, queries: DataFrame) -> _Merged:
+        distinct, members = _distinct(queries)
+        return _Merged(_assign(distinct, self.pivots, self.block_rows), members, members.count())
 
     def sums(
-        self, queries: _Cells, values: DataFrame, width: int, skip_self: bool = False
+        self, queries: _Merged, values: DataFrame, width: int, skip_self: bool = False
     ) -> DataFrame:
-        """(row_id, s_0, s_1, ...): sum over all points of exp(-gamma d^2) * v, exactly.
+        """(row_id, s_0, s_1, ...): sum over all points of exp(-gamma d^2) * v.
 
         ``values(row_id, v array<double>)`` has a row per point and ``width``
         values each.  A query with no point in reach gets no row.  ``skip_self``
@@ -222,18 +246,24 @@ class KernelIndex:
 
         def step(q: pa.StructArray, p: pa.StructArray) -> pa.RecordBatch:
             gaps = squared_distances(matrix(q.field("x")), matrix(p.field("x")))
-            kernel = np.exp(-gamma * gaps)
-            if skip_self:
-                ids = q.field("row_id").to_numpy()
-                kernel[ids[:, None] == p.field("row_id").to_numpy()[None, :]] = 0.0
-            sums = kernel @ matrix(p.field("v"))
+            sums = np.exp(-gamma * gaps) @ matrix(p.field("v"))
             return pa.RecordBatch.from_arrays(
                 [q.field("row_id"), *[pa.array(sums[:, i]) for i in range(width)]],
                 names=["row_id", *names],
             )
 
         radius = math.sqrt(_EXP_UNDERFLOW / gamma)
-        valued = replace(self.points, rows=self.points.rows.join(values, "row_id"))
-        pairs = _block_pairs(queries, valued, ["row_id", "x", "v"], self.pivots, radius=radius)
+        each = [F.sum(F.col("v")[i]) for i in range(width)]
+        added = values.join(self.points.members, "row_id").groupBy(F.col("at").alias("row_id")).agg(F.array(*each).alias("v"))
+        cells = self.points.cells
+        valued = replace(cells, rows=cells.rows.join(added, "row_id"))
+        pairs = _block_pairs(queries.cells, valued, ["row_id", "x", "v"], self.pivots, radius=radius)
         partial = _compare(pairs, step, "row_id bigint, " + ", ".join(f"{n} double" for n in names))
-        return partial.groupBy("row_id").agg(*[F.sum(n).alias(n) for n in names])
+        found = partial.groupBy(F.col("row_id").alias("at")).agg(*[F.sum(n).alias(n) for n in names])
+        out = salted_join(queries.members, found, "at", "row_id", rows=queries.n).drop("at")
+        if skip_self:  # its own kernel value is 1
+            own = values.select("row_id", "v")
+            out = out.join(own, "row_id", "left")
+            rest = [(F.col(n) - F.coalesce(F.col("v")[i], F.lit(0.0))).alias(n) for i, n in enumerate(names)]
+            out = out.select("row_id", *rest)
+        return out
