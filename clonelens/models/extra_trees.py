@@ -1,10 +1,12 @@
-"""Extra trees: random cut points, no bootstrap, grown one level at a time for all trees.
-
-Per level two passes run over the rows.  The first finds the range of each open
-node's drawn features, the driver draws one cut per feature inside that range,
-the second counts the labels left of each cut.  Tasks emit one row per (node,
-candidate) they met and Spark adds them up; the driver keeps the trees, which are
-the model.  Wide levels are worked off in slices of bounded size.
+"""Extra trees: random cut points, no bootstrap, big nodes split in Spark, small ones finished whole.
+
+Nodes with more than ``LOCAL_ROWS`` rows are split level by level.  Per level two
+passes run over the rows: the first finds the range of each open node's drawn
+features, the driver draws one cut per feature inside that range, the second
+counts the labels left of each cut.  Tasks emit one row per (node, candidate) they
+met and Spark adds them up.  A node that has become small is grown to its leaves
+by one task that gets its rows; finished subtrees are a staged table, which
+never passes through the driver.  The driver holds the distributed top only.
 """
 
 from __future__ import annotations
@@ -16,12 +18,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
 from clonelens.functions.arrays import matrix
 from clonelens.models.base import score_table
+from clonelens.session import staged
 
 _SLICE = 50_000  # open nodes handled in one pass
+LOCAL_ROWS = 50_000  # a node with at most so many rows is finished by one task
+_TOGETHER = 4  # trees that share a task while they still hold all rows
+_PASS_ROWS = 20_000_000  # rows dealt to finishing tasks in one pass
+_SCORED_ROWS = 65_536  # rows a task scores with one group of subtrees
 
 
 @dataclass
@@ -145,14 +151,112 @@ def _left_counts(cuts: np.ndarray) -> Callable:
     return measure
 
 
+class Subtree:
+    """One small node grown to its leaves, level by level, all nodes of a level at once.
+
+    ``feature``, ``cut``, ``left`` and ``share`` are lists over its nodes in the
+    form of ``Forest`` with a single root; ``gains`` is the impurity decrease per
+    feature.  The result depends on the rows, their order and ``seed`` only.
+    """
+
+    def __init__(self, x: np.ndarray, label: np.ndarray, seed: tuple[int, ...], depth: int, candidates: int):
+        rng = np.random.default_rng(seed)
+        ones = (label == 1).astype(float)
+        self.feature, self.cut, self.left, self.share = [-1], [0.0], [-1], [ones.mean()]
+        self.gains = np.zeros(x.shape[1])
+        rows, starts, nodes = np.arange(len(x)), np.array([0]), np.array([0])
+        if 0.0 < ones.mean() < 1.0:
+            while depth > 0 and len(nodes):
+                rows, starts, nodes = self._level(x, ones, rows, starts, nodes, rng, candidates)
+                depth -= 1
+
+    def _level(self, x, ones, rows, starts, nodes, rng, candidates):
+        """Split ``nodes``, whose rows stand one after the other; returns the next level in the same form."""
+        sizes = np.diff(np.append(starts, len(rows)))
+        k, place = len(nodes), np.repeat(np.arange(len(nodes)), sizes)
+        order = rng.permuted(np.tile(np.arange(x.shape[1]), (k, 1)), axis=1)
+        total_ones = np.add.reduceat(ones[rows], starts)
+        whole = _impurity(sizes - total_ones, total_ones)
+        best_gain, best_feature, best_cut = np.full(k, -np.inf), np.full(k, -1), np.zeros(k)
+        for first in range(0, x.shape[1], candidates):
+            open_nodes = np.flatnonzero(best_feature < 0)
+            if not len(open_nodes):
+                break
+            at = np.arange(len(rows)) if len(open_nodes) == k else np.flatnonzero((best_feature < 0)[place])
+            some = sizes[open_nodes]
+            begins = np.concatenate([[0], np.cumsum(some)[:-1]])
+            inside = np.repeat(np.arange(len(open_nodes)), some)
+            chosen_gain, chosen_feature, chosen_cut = best_gain[open_nodes], best_feature[open_nodes], best_cut[open_nodes]
+            for c in range(first, min(first + candidates, x.shape[1])):
+                feature = order[open_nodes, c]
+                values = x[rows[at], feature[inside]]
+                low, high = np.minimum.reduceat(values, begins), np.maximum.reduceat(values, begins)
+                cut = low + rng.random(len(open_nodes)) * (high - low)
+                goes_left = values <= cut[inside]
+                left = np.add.reduceat(goes_left.astype(float), begins)
+                left_ones = np.add.reduceat(goes_left * ones[rows[at]], begins)
+                all_ones, all_rows = total_ones[open_nodes], some
+                gain = whole[open_nodes] - _impurity(left - left_ones, left_ones)
+                gain = gain - _impurity(all_rows - left - all_ones + left_ones, all_ones - left_ones)
+                better = (low < high) & (left < all_rows) & (gain > chosen_gain)
+                chosen_gain = np.where(better, gain, chosen_gain)
+                chosen_feature = np.where(better, feature, chosen_feature)
+                chosen_cut = np.where(better, cut, chosen_cut)
+            best_gain[open_nodes], best_feature[open_nodes], best_cut[open_nodes] = chosen_gain, chosen_feature, chosen_cut
+        split = np.flatnonzero(best_feature >= 0)
+        np.add.at(self.gains, best_feature[split], np.maximum(best_gain[split], 0.0))
+        child = np.full(k, -1)
+        child[split] = len(self.feature) + 2 * np.arange(len(split))
+        for i in split:
+            self.feature[nodes[i]], self.cut[nodes[i]], self.left[nodes[i]] = int(best_feature[i]), float(best_cut[i]), int(child[i])
+        moved = np.flatnonzero((best_feature >= 0)[place])
+        rows, place = rows[moved], place[moved]
+        goes_right = x[rows, best_feature[place]] > best_cut[place]
+        target = child[place] + goes_right
+        by_child = np.argsort(target, kind="stable")
+        rows, target = rows[by_child], target[by_child]
+        n_new = 2 * len(split)
+        counts = np.bincount(target - len(self.feature), minlength=n_new)
+        shares = np.bincount(target - len(self.feature), ones[rows], n_new) / np.maximum(counts, 1)
+        base = len(self.feature)
+        self.feature += [-1] * n_new
+        self.cut += [0.0] * n_new
+        self.left += [-1] * n_new
+        self.share += shares.tolist()
+        mixed = (shares > 0.0) & (shares < 1.0)
+        keep = mixed[target - base]
+        rows, target = rows[keep], target[keep]
+        nodes = base + np.flatnonzero(mixed)
+        return rows, np.searchsorted(target, nodes), nodes
+
+
+@dataclass
+class _Jobs:
+    """Groups of small open nodes that hold the same rows, finished and scored together."""
+
+    nodes: list[list[int]]
+
+    def met(self, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row numbers, job numbers) of rows whose leaves ``ends`` belong to a job's first node."""
+        firsts = np.array([n[0] for n in self.nodes])
+        order = np.argsort(firsts)
+        at = np.minimum(np.searchsorted(firsts[order], ends), len(firsts) - 1)
+        rows, trees = np.nonzero(firsts[order][at] == ends)
+        return rows, order[at[rows, trees]]
+
+
+_SUBTREES = "job int, node int, feature array<int>, cut array<double>, `left` array<int>, share array<double>, gains array<double>"
+
+
 @dataclass
 class ExtraTrees:
     trees: int = 100
     max_depth: int = 30
     seed: int = 42
+    local_rows: int = LOCAL_ROWS
 
     def fit(self, train: DataFrame) -> FittedExtraTrees:
-        rows = train.select("x", "label")
+        rows = train.select("x", "label", F.xxhash64("row_id").alias("at"))
         size = rows.select(F.size("x")).first()[0]
         candidates = max(1, int(np.sqrt(size)))
         totals = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -162,17 +266,76 @@ class ExtraTrees:
         # each open node: its number and its feature order; a node whose features
         # are all constant gets the next ones, until none are left
         todo: list[tuple[int, np.ndarray]] = []
-        for _ in range(self.trees):
-            todo.append((grown.add(totals.get(0, 0), totals.get(1, 0), 0), rng.permutation(size)))
-        if len(totals) < 2:
-            todo = []
+        small: list[int] = []
+
+        def opened(nodes: list[int]) -> list[tuple[int, np.ndarray]]:
+            small.extend(n for n in nodes if sum(grown.counts[n]) <= self.local_rows)
+            return [(n, rng.permutation(size)) for n in nodes if sum(grown.counts[n]) > self.local_rows]
+
+        roots = [grown.add(totals.get(0, 0), totals.get(1, 0), 0) for _ in range(self.trees)]
+        if len(totals) > 1:
+            todo = opened(roots)
         while todo:
             part, todo = todo[:_SLICE], todo[_SLICE:]
             retry, children = self._split(rows, grown, part, candidates, rng, gains)
-            open_children = [n for n in children if grown.depth[n] < self.max_depth]
-            todo += retry + [(n, rng.permutation(size)) for n in open_children]
+            todo += retry + opened([n for n in children if grown.depth[n] < self.max_depth])
+        forest = grown.forest()
+        if small and small == roots:
+            jobs = _Jobs([roots[i : i + _TOGETHER] for i in range(0, len(roots), _TOGETHER)])
+        else:
+            jobs = _Jobs([[n] for n in small])
+        subtrees = self._finish(rows, grown, forest, jobs, candidates) if small else None
+        if subtrees is not None:
+            for row in subtrees.select(F.posexplode("gains").alias("f", "g")).groupBy("f").agg(F.sum("g").alias("g")).collect():
+                gains[row["f"]] += row["g"]
         total = gains.sum()
-        return FittedExtraTrees(grown.forest(), list(gains / total if total > 0 else gains))
+        return FittedExtraTrees(forest, list(gains / total if total > 0 else gains), jobs, subtrees)
+
+    def _finish(self, rows: DataFrame, grown: _Growing, forest: Forest, jobs: _Jobs, candidates: int) -> DataFrame:
+        """The staged subtrees of all jobs; a pass deals out a bounded number of rows."""
+        done, part, dealt = None, [], 0.0
+        for job, nodes in enumerate(jobs.nodes):
+            part.append(job)
+            dealt += sum(grown.counts[nodes[0]])
+            if dealt >= _PASS_ROWS or job == len(jobs.nodes) - 1:
+                depths = {n: self.max_depth - grown.depth[n] for j in part for n in jobs.nodes[j]}
+                found = staged(self._grow(rows, forest, jobs, (part[0], part[-1]), depths, candidates), "subtrees")
+                done, part, dealt = found if done is None else done.unionByName(found), [], 0.0
+        return done
+
+    def _grow(self, rows, forest, jobs, span, depths, candidates) -> DataFrame:
+        seed = self.seed
+
+        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                at, job = jobs.met(forest.leaves(matrix(batch.column("x"))))
+                here = (job >= span[0]) & (job <= span[1])
+                some = batch.take(pa.array(at[here]))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(job[here].astype(np.int32)), *some.columns], names=["job", *batch.schema.names]
+                )
+
+        def grow(table: pa.Table) -> pa.Table:
+            job = table.column("job")[0].as_py()
+            order = np.lexsort((table.column("label").to_numpy(), table.column("at").to_numpy()))
+            x, label = matrix(table.column("x"))[order], table.column("label").to_numpy()[order]
+            out = [(job, n, Subtree(x, label, (seed, n), depths[n], candidates)) for n in jobs.nodes[job]]
+            return pa.table(
+                {
+                    "job": pa.array([o[0] for o in out], pa.int32()),
+                    "node": pa.array([o[1] for o in out], pa.int32()),
+                    "feature": pa.array([o[2].feature for o in out], pa.list_(pa.int32())),
+                    "cut": pa.array([o[2].cut for o in out], pa.list_(pa.float64())),
+                    "left": pa.array([o[2].left for o in out], pa.list_(pa.int32())),
+                    "share": pa.array([o[2].share for o in out], pa.list_(pa.float64())),
+                    "gains": pa.array([o[2].gains.tolist() for o in out], pa.list_(pa.float64())),
+                }
+            )
+
+        dealt = rows.mapInArrow(deal, "job int, x array<double>, label bigint, at bigint")
+        return dealt.groupBy("job").applyInArrow(grow, _SUBTREES)
 
     def _split(
         self,
@@ -238,19 +401,62 @@ class ExtraTrees:
 
 @dataclass
 class FittedExtraTrees:
+    """``forest`` is the top; a leaf that belongs to a job goes on in that job's ``subtrees``."""
+
     forest: Forest
     gains: list[float]
+    jobs: _Jobs
+    subtrees: DataFrame | None = None
 
     def score(self, rows: DataFrame) -> DataFrame:
-        forest = self.forest
-
-        @pandas_udf("double")
-        def share(x):
-            values = np.stack(x.to_list())
-            return type(x)(forest.share[forest.leaves(values)].mean(axis=1))
-
-        scored = rows.select("row_id", "label", share("x").alias("__s"))
-        return score_table(scored, F.col("__s"), F.col("__s") > 0.5)
+        """Mean leaf share over the trees; rows meet subtrees in bounded groups."""
+        forest, jobs = self.forest, self.jobs
+        open_nodes = np.array(sorted(n for some in jobs.nodes for n in some) if self.subtrees is not None else [], int)
+        asked = rows.select("row_id", "label", "x")
+
+        def closed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                ends = forest.leaves(matrix(batch.column("x")))
+                shares = np.where(np.isin(ends, open_nodes), 0.0, forest.share[ends]).sum(axis=1)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(shares)], names=["row_id", "label", "share"])
+
+        parts = asked.mapInArrow(closed, "row_id bigint, label bigint, share double")
+        if self.subtrees is not None:
+            parts = parts.unionByName(self._below(asked))
+        mean = parts.groupBy("row_id", "label").agg((F.sum("share") / F.lit(float(forest.trees))).alias("__s"))
+        return score_table(mean, F.col("__s"), F.col("__s") > 0.5)
+
+    def _below(self, asked: DataFrame) -> DataFrame:
+        """(row_id, label, share): per job, the sum of its subtrees' leaf shares."""
+        forest, jobs = self.forest, self.jobs
+        chunks = max(1, -(-asked.count() // _SCORED_ROWS))
+
+        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                at, job = jobs.met(forest.leaves(matrix(batch.column("x"))))
+                some = batch.take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([pa.array(job.astype(np.int32)), *some.columns], names=["job", *batch.schema.names])
+
+        def add_up(trees: pa.Table, rows: pa.Table) -> pa.Table:
+            x, total = matrix(rows.column("x")), np.zeros(rows.num_rows)
+            for tree in trees.select(["feature", "cut", "left", "share"]).to_pylist() if rows.num_rows else []:
+                one = Forest(1, *[np.array(tree[c]) for c in ("feature", "cut", "left", "share")])
+                total += one.share[one.leaves(x)[:, 0]]
+            return pa.table({"row_id": rows.column("row_id"), "label": rows.column("label"), "share": pa.array(total)})
+
+        chunk = F.pmod(F.xxhash64("row_id"), F.lit(chunks)).cast("int").alias("chunk")
+        dealt = asked.mapInArrow(deal, "job int, row_id bigint, label bigint, x array<double>").select("*", chunk)
+        every = F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk")
+        trees = self.subtrees.drop("gains").select("*", every)
+        return (
+            trees.groupBy("job", "chunk")
+            .cogroup(dealt.groupBy("job", "chunk"))
+            .applyInArrow(add_up, "row_id bigint, label bigint, share double")
+        )
 
     def importances(self) -> list[float]:
         """Share of the total impurity decrease per feature."""

@@ -213,6 +213,18 @@ def test_extra_trees_fit_the_training_rows(data):
     assert len(top) == 3 and top[0]["importance"] >= top[1]["importance"]
 
 
+def test_extra_trees_split_in_spark_and_locally(data):
+    """A forest whose top is split in Spark and one grown by single tasks are both whole."""
+    n = data[0].count()
+    for local in (10**6, n // 4):
+        fitted = ExtraTrees(trees=5, local_rows=local).fit(data[0])
+        assert class_scores(fitted.score(data[0])).first()["accuracy"] == 1.0
+        assert (fitted.forest.feature >= 0).any() == (local < n)
+        assert fitted.score(data[1]).count() == data[1].count()
+    alone = [ExtraTrees(trees=3).fit(data[0].repartition(k)).score(data[1]).orderBy("row_id").collect() for k in (1, 6)]
+    assert alone[0] == alone[1]
+
+
 def test_extra_trees_one_class(data):
     ones = data[0].filter("label = 1")
     assert ExtraTrees(trees=3).fit(ones).score(ones).agg(F.min("score")).first()[0] == 1.0
