@@ -20,6 +20,7 @@ _WORKER_MODULES = (
     "clonelens.models.boosting",
     "clonelens.models.extra_trees",
     "clonelens.models.margins",
+    "clonelens.models.net",
 )
 
 

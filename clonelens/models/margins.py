@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
@@ -91,6 +92,9 @@ def _hyperplane(
         value, slope, curve = tried
         if np.linalg.norm(slope) <= tolerance * first:
             break
+    else:
+        if np.linalg.norm(slope) > tolerance * first:
+            warnings.warn(f"no optimum after {max_iter} Newton steps", stacklevel=2)
     return Linear(list(w[1:]), float(w[0]))
 
 

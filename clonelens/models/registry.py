@@ -7,43 +7,33 @@ from collections.abc import Callable
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
     GBTClassifier,
-    MultilayerPerceptronClassifier,
     RandomForestClassifier,
 )
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from clonelens.models.base import Estimator, Fitted, SparkMl
+from clonelens.models.base import Estimator, SparkMl
 from clonelens.models.boosting import AdaBoost
 from clonelens.models.extra_trees import ExtraTrees
 from clonelens.models.margins import CalibratedSvm, KernelSvm, LinearSvm, Logistic
 from clonelens.models.moments import Lda, NearestCentroid, Qda, Ridge, RidgeCv
 from clonelens.models.neighbours import KNearest, LabelPropagation, LabelSpreading
+from clonelens.models.net import SmallNet
 from clonelens.models.online import Online
 
 SEED = 42
 _MAX_TREE_DEPTH = 30  # Spark ML's limit; stands for unbounded
-
-
-class SmallNet:
-    """Two hidden layers of 128 and 64; sigmoid units and L-BFGS stand in for ReLU and Adam."""
-
-    def fit(self, train: DataFrame) -> Fitted:
-        size = train.select(F.size("x")).first()[0]
-        net = MultilayerPerceptronClassifier(layers=[size, 128, 64, 2], maxIter=50, seed=SEED)
-        return SparkMl(net).fit(train)
+MAX_BINS = 128  # cut points a tree tries per feature, from a sample of the values
 
 
 def _forest(trees: int, subset: str) -> SparkMl:
     return SparkMl(
         RandomForestClassifier(
-            numTrees=trees, maxDepth=_MAX_TREE_DEPTH, featureSubsetStrategy=subset, seed=SEED
+            numTrees=trees, maxDepth=_MAX_TREE_DEPTH, maxBins=MAX_BINS, featureSubsetStrategy=subset, seed=SEED
         )
     )
 
 
 def _boosted(depth: int) -> SparkMl:
-    return SparkMl(GBTClassifier(maxIter=100, maxDepth=depth, stepSize=0.1, seed=SEED))
+    return SparkMl(GBTClassifier(maxIter=100, maxDepth=depth, maxBins=MAX_BINS, stepSize=0.1, seed=SEED))
 
 
 # The compared models' names, in training order.
@@ -52,7 +42,7 @@ MODELS: dict[str, Callable[[], Estimator]] = {
     "RandomForest": lambda: _forest(100, "sqrt"),
     "Bagging": lambda: _forest(10, "all"),
     "ExtraTrees": ExtraTrees,
-    "DecisionTree": lambda: SparkMl(DecisionTreeClassifier(maxDepth=_MAX_TREE_DEPTH, seed=SEED)),
+    "DecisionTree": lambda: SparkMl(DecisionTreeClassifier(maxDepth=_MAX_TREE_DEPTH, maxBins=MAX_BINS, seed=SEED)),
     "LabelPropagation": LabelPropagation,
     "NuSVC": lambda: KernelSvm(nu=0.5),
     "KNeighbors": KNearest,

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clonelens import ship_worker_code
+from clonelens.models.base import Linear
 from clonelens.models.extra_trees import ExtraTrees
 from clonelens.models.moments import NearestCentroid
 from clonelens.models.neighbours import KNearest, LabelPropagation
@@ -682,6 +683,65 @@ for _name in (*MODELS, *NEURAL_MODELS):
     _fit_query(_name)
 
 
+def _slopes(rows: DataFrame, model, factor, penalty: float, free_bias: bool) -> DataFrame:
+    """(feature, slope): the objective's derivative at a fitted hyperplane, by its formula.
+
+    ``factor`` is a row's derivative by its margin, in terms of ``m`` and ``y``.
+    """
+    y = F.when(F.col("label") == 1, 1.0).otherwise(-1.0).alias("y")
+    placed = rows.select("x", y, model.margin().alias("m")).withColumn("g", factor)
+    names = [f"x_{i}" for i in range(EMBEDDING_SIZE)]
+    sums = placed.agg(F.sum("g").alias("bias"), *[F.sum(F.col("g") * F.col("x")[i]).alias(n) for i, n in enumerate(names)])
+    weights = [F.lit(0.0 if free_bias else model.bias), *[F.lit(w) for w in model.weights]]
+    cells = [
+        F.struct(F.lit(n).alias("feature"), (F.col(n) + F.lit(penalty) * w).alias("slope"))
+        for n, w in zip(["bias", *names], weights)
+    ]
+    return sums.select(F.inline(F.array(*cells)))
+
+
+@query
+def ridge_slopes(spark, sf):
+    """All zero: the fit solves the normal equations."""
+    rows = src.vectors(spark, sf)
+    return rounded(_slopes(rows, make("Ridge").fit(rows), F.col("m") - F.col("y"), 1.0, True))
+
+
+def _relative(slopes: DataFrame, at_zero: DataFrame) -> DataFrame:
+    """Slopes as shares of the slope's length at zero weights, to three places."""
+    length = F.sqrt(F.sum(F.col("slope") * F.col("slope"))).alias("length")
+    norm = at_zero.agg(length).first()["length"]
+    return slopes.select("feature", (F.round(F.col("slope") / F.lit(norm), 3) + 0.0).alias("slope"))
+
+
+@query
+def logistic_slopes(spark, sf):
+    rows = src.vectors(spark, sf)
+    factor = -F.col("y") / (1.0 + F.exp(F.col("y") * F.col("m")))
+    zero = Linear([0.0] * EMBEDDING_SIZE, 0.0)
+    fitted = make("LogisticRegression").fit(rows)
+    return _relative(_slopes(rows, fitted, factor, 1.0, True), _slopes(rows, zero, factor, 1.0, True))
+
+
+@query
+def linear_svc_slopes(spark, sf):
+    rows = src.vectors(spark, sf)
+    factor = -2.0 * F.col("y") * F.greatest(F.lit(0.0), 1.0 - F.col("y") * F.col("m"))
+    zero = Linear([0.0] * EMBEDDING_SIZE, 0.0)
+    fitted = make("LinearSVC").fit(rows)
+    return _relative(_slopes(rows, fitted, factor, 1.0, False), _slopes(rows, zero, factor, 1.0, False))
+
+
+@query
+def extratrees_training_fit(spark, sf):
+    """Fully grown trees reproduce the labels of distinct training rows, and lose none."""
+    rows = src.vectors(spark, sf)
+    scored = ExtraTrees(trees=20).fit(rows).score(rows)
+    right = F.avg((F.col("prediction") == F.col("label")).cast("double"))
+    pure = F.min(F.when(F.col("label") == 1, F.col("score")).otherwise(1.0 - F.col("score")))
+    return rounded(scored.agg(F.count(F.lit(1)).alias("n"), right.alias("accuracy"), pure.alias("least_share")))
+
+
 @query
 def fit_pairtext(spark, sf):
     from clonelens.plans.bakeoff import text_split

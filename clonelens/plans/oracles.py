@@ -507,6 +507,11 @@ SELECT c.node_type AS node_type, CAST(sum(c.n) AS BIGINT) AS n FROM per_type GRO
         "impute_mean": f"""WITH {GAPPED}, {_split('wide', 'row_id')}
 SELECT row_id, {', '.join(f"{r6(f'coalesce({n}, m_{n})')} AS {n}" for n in X_NAMES)}
 FROM split_wide CROSS JOIN (SELECT {', '.join(f'avg({n}) AS m_{n}' for n in X_NAMES)} FROM split_wide WHERE is_test = 0) AS means""",
+        **{
+            name: f"SELECT unnest(['bias', {', '.join(repr(f'x_{i}') for i in range(SIZE))}]) AS feature, CAST(0 AS DOUBLE) AS slope"
+            for name in ("ridge_slopes", "logistic_slopes", "linear_svc_slopes")
+        },
+        "extratrees_training_fit": "SELECT count(*) AS n, CAST(1 AS DOUBLE) AS accuracy, CAST(1 AS DOUBLE) AS least_share FROM embeddings",
         "nan_to_num": f"""WITH {VECTORS} SELECT row_id,
   CASE row_id % 11 WHEN 0 THEN CAST(0 AS DOUBLE) WHEN 1 THEN round(CAST('1.7976931348623157e308' AS DOUBLE) / CAST(1e300 AS DOUBLE), 6)
     WHEN 2 THEN round(CAST('-1.7976931348623157e308' AS DOUBLE) / CAST(1e300 AS DOUBLE), 6) ELSE round(x[1], 6) END AS x_0,
