@@ -109,10 +109,11 @@ def metrics_of_parsed(parsed: DataFrame, keep: list[str]) -> DataFrame:
 
 def file_metrics(code_files: DataFrame) -> DataFrame:
     """(file_id, 17 metrics) for ``code_files(file_id, content, ...)``: one pass, no shuffle."""
-    return metrics_of_parsed(parse_files(code_files.select("file_id", "content")), ["file_id"])
+    wanted = ["node_type", "name", "ctx", "def_depth"]
+    return metrics_of_parsed(parse_files(code_files.select("file_id", "content"), wanted), ["file_id"])
 
 
 def parse_failures(code_files: DataFrame) -> DataFrame:
     """Files whose text does not parse."""
-    parsed = parse_files(code_files.select("file_id", "content"))
-    return parsed.filter(F.col("node_type").isNull()).select("file_id")
+    parsed = parse_files(code_files.select("file_id", "content"), ["def_depth"])
+    return parsed.filter(F.col("def_depth").isNull()).select("file_id")

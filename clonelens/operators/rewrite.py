@@ -1,30 +1,31 @@
 """Mutated clones: consistent renaming and a redundant statement.
 
-New names come from a seeded hash and are made unique inside the row that holds
-the file's names, so a mutant needs no shuffle.  Only re-printing the source
-runs in Python.
+A file is parsed once: the same tree gives the names, gets the new ones and is
+printed again.  New names come from a seeded hash and are made unique inside the
+file, so a mutant needs no shuffle.
 """
 
 from __future__ import annotations
 
 import ast
+import hashlib
 import keyword
 import warnings
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from clonelens.functions.hashing import seeded_hash
-from clonelens.operators.syntax import ARG, DEF, parse_files
 from clonelens.session import spread
 
 RENAME, REDUNDANT = "rename", "redundant"
-_RENAMED_CONTEXTS = ("Load", "Store", DEF, ARG)
 # md5 gives hexadecimal digits; decimal digits become the letters after 'f'
 _DIGITS, _LETTERS = "0123456789", "ghijklmnop"
 _MD5_LENGTH = 32
+_TO_LETTERS = str.maketrans(_DIGITS, _LETTERS)
 
 
 def mutant_id(file_id: Column) -> Column:
@@ -32,70 +33,63 @@ def mutant_id(file_id: Column) -> Column:
     return -file_id - F.lit(1)
 
 
-def _candidate(seed: int, file_id: Column, name: Column) -> Column:
+def _candidate(seed: int, file_id: int, name: str) -> str:
     """Lowercase letters of the same length as ``name``."""
-    blocks = F.sequence(F.lit(0), F.floor((F.length(name) - 1) / F.lit(float(_MD5_LENGTH))).cast("int"))
-    digest = F.array_join(
-        F.transform(
-            blocks,
-            lambda b: F.md5(
-                F.concat_ws(":", F.lit(str(seed)), file_id.cast("string"), name, b.cast("string"))
-            ),
-            ),
-        "",
-    )
-    return F.translate(F.substring(digest, F.lit(1), F.length(name)), _DIGITS, _LETTERS)
+    blocks = range((len(name) - 1) // _MD5_LENGTH + 1)
+    digest = "".join(hashlib.md5(f"{seed}:{file_id}:{name}:{b}".encode()).hexdigest() for b in blocks)
+    return digest[: len(name)].translate(_TO_LETTERS)
 
 
-def rename_maps(code_files: DataFrame, seed: int = 42) -> DataFrame:
-    """``code_files`` plus ``renames map<string,string>``, injective per file.
+def new_names(names: Iterable[str], file_id: int, seed: int) -> dict[str, str]:
+    """An injective renaming of a file's names.
 
     A candidate that repeats, equals the old name or is a keyword gets its
-    repeat number as a suffix; candidates hold no digits, so the result is
-    unique.  NULL map where the file does not parse.
+    repeat number as a suffix; candidates hold no digits, so the result is unique.
     """
-    kept = code_files.columns
-    parsed = parse_files(code_files)
-    tagged = F.zip_with("name", "ctx", lambda n, c: F.when(c.isin(*_RENAMED_CONTEXTS), n))
-    named = parsed.select(
-        *kept, F.array_sort(F.array_compact(F.array_distinct(tagged))).alias("__old")
-    )
-    drawn = named.withColumn(
-        "__new", F.transform("__old", lambda n: _candidate(seed, F.col("file_id"), n))
-    )
-    unique = F.size(F.array_distinct("__new")) == F.size("__new")
-
-    def repeat_no(candidate: Column, at: Column) -> Column:
-        upto = F.slice(F.col("__new"), F.lit(1), at + 1)
-        return F.when(unique, F.lit(1)).otherwise(F.size(F.filter(upto, lambda c: c == candidate)))
-
-    numbered = drawn.withColumn("__no", F.transform("__new", repeat_no))
-    final = F.transform(
-        F.arrays_zip("__old", "__new", "__no"),
-        lambda r: F.when(
-            (r["__no"] > 1) | (r["__new"] == r["__old"]) | r["__new"].isin(*keyword.kwlist),
-            F.concat(r["__new"], r["__no"].cast("string")),
-        ).otherwise(r["__new"]),
-    )
-    return numbered.select(*kept, F.map_from_arrays("__old", final).alias("renames"))
+    out, seen = {}, {}
+    for old in sorted(names):
+        new = _candidate(seed, file_id, old)
+        seen[new] = seen.get(new, 0) + 1
+        number = seen[new]
+        out[old] = f"{new}{number}" if number > 1 or new == old or keyword.iskeyword(new) else new
+    return out
+
+
+def _parsed(text: str | None) -> list[ast.AST] | None:
+    """The nodes of a text breadth-first, None if it does not parse."""
+    try:
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            return list(ast.walk(ast.parse(text)))
+    except Exception:  # syntax errors, NUL bytes, nesting beyond the parser's limits
+        return None
+
+
+def _names(nodes: list[ast.AST]) -> set[str]:
+    """Names read or stored, function names and positional arguments; deleted names stay."""
+    found = set()
+    for node in nodes:
+        if isinstance(node, ast.Name) and not isinstance(node.ctx, ast.Del):
+            found.add(node.id)
+        elif isinstance(node, ast.FunctionDef):
+            found.add(node.name)
+            found.update(a.arg for a in node.args.args)
+    return found
 
 
-def reprint(text: str, renames: dict | None, add_to: int | None) -> str:
-    """Print ``text`` again with ``renames`` applied.
+def mutant(text: str, file_id: int, seed: int, rename: bool, add_to: int | None) -> str:
+    """Print ``text`` again, with new names if ``rename``.
 
     With ``add_to``, a ``pass`` opens the body of that function (counted
     breadth-first, modulo their number); without a function the text stays.
     """
-    if renames is None:
+    nodes = _parsed(text)
+    functions = [n for n in nodes or () if isinstance(n, ast.FunctionDef)]
+    if nodes is None or (add_to is not None and not functions):
         return text
     try:
-        with warnings.catch_warnings():
-            warnings.simplefilter("ignore")
-            nodes = list(ast.walk(ast.parse(text)))
-        functions = [n for n in nodes if isinstance(n, ast.FunctionDef)]
-        if add_to is not None and not functions:
-            return text
-        for node in nodes:
+        renames = new_names(_names(nodes), file_id, seed) if rename else {}
+        for node in nodes if renames else ():
             if isinstance(node, ast.Name) and not isinstance(node.ctx, ast.Del):
                 node.id = renames.get(node.id, node.id)
             elif isinstance(node, ast.FunctionDef):
@@ -105,34 +99,41 @@ def reprint(text: str, renames: dict | None, add_to: int | None) -> str:
         if add_to is not None:
             functions[add_to % len(functions)].body.insert(0, ast.Pass())
         return ast.unparse(nodes[0])
-    except Exception:
+    except Exception:  # nesting beyond the printer's limits
         return text
 
 
-def _reprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = batch.column("content").to_pylist()
-        renames = [None if m is None else dict(m) for m in batch.column("renames").to_pylist()]
-        add_to = batch.column("add_to").to_pylist()
-        printed = pa.array([reprint(*row) for row in zip(texts, renames, add_to)], type=pa.string())
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("file_id"), printed], names=["file_id", "content"]
-        )
+def rename_maps(code_files: DataFrame, seed: int = 42) -> DataFrame:
+    """``code_files`` plus ``renames map<string,string>``, see ``new_names``; NULL where a file does not parse."""
+    kind = pa.map_(pa.string(), pa.string())
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            maps = []
+            for text, file_id in zip(batch.column("content").to_pylist(), batch.column("file_id").to_pylist()):
+                nodes = _parsed(text)
+                maps.append(None if nodes is None else list(new_names(_names(nodes), file_id, seed).items()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(maps, kind)], names=[*batch.schema.names, "renames"])
 
-def _print_mutants(prepared: DataFrame) -> DataFrame:
-    def run(batches):
-        return _reprint_batches(batches)
+    renames = T.StructField("renames", T.MapType(T.StringType(), T.StringType()))
+    return spread(code_files).mapInArrow(run, T.StructType([*code_files.schema.fields, renames]))
 
-    return spread(prepared.select("file_id", "content", "renames", "add_to")).mapInArrow(
-        run, "file_id bigint, content string"
-    )
+
+def _print_mutants(code_files: DataFrame, seed: int, rename: bool, add_to: Column | None) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*[batch.column(c).to_pylist() for c in ("content", "file_id", "add_to")])
+            printed = [mutant(text, file_id, seed, rename, at) for text, file_id, at in rows]
+            yield pa.RecordBatch.from_arrays([batch.column("file_id"), pa.array(printed, pa.string())], names=["file_id", "content"])
+
+    at = F.lit(None).cast("bigint") if add_to is None else add_to
+    prepared = code_files.select(F.col("file_id").cast("bigint").alias("file_id"), "content", at.alias("add_to"))
+    return spread(prepared).mapInArrow(run, "file_id bigint, content string")
 
 
 def rename_variables(code_files: DataFrame, seed: int = 42) -> DataFrame:
     """(file_id, content) with every name, function and positional argument renamed."""
-    mapped = rename_maps(code_files.select("file_id", "content"), seed)
-    return _print_mutants(mapped.withColumn("add_to", F.lit(None).cast("bigint")))
+    return _print_mutants(code_files, seed, True, None)
 
 
 def add_redundant_statement(
@@ -142,11 +143,7 @@ def add_redundant_statement(
 
     ``also_rename`` is the default behaviour: the names change as well.
     """
-    mapped = rename_maps(code_files.select("file_id", "content"), seed)
-    if not also_rename:
-        empty = F.create_map().cast("map<string,string>")
-        mapped = mapped.withColumn("renames", F.when(F.col("renames").isNotNull(), empty))
-    return _print_mutants(mapped.withColumn("add_to", seeded_hash(f"function-{seed}", F.col("file_id"))))
+    return _print_mutants(code_files, seed, also_rename, seeded_hash(f"function-{seed}", F.col("file_id")))
 
 
 def chosen_mutation(file_id: Column, seed: int = 42) -> Column:
@@ -157,9 +154,8 @@ def chosen_mutation(file_id: Column, seed: int = 42) -> Column:
 
 def mutate_code(code_files: DataFrame, seed: int = 42) -> DataFrame:
     """(file_id, content) after the hash-chosen mutation; unparsable text stays as it is."""
-    mapped = rename_maps(code_files.select("file_id", "content"), seed)
     pick = F.when(
         chosen_mutation(F.col("file_id"), seed) == REDUNDANT,
         seeded_hash(f"function-{seed}", F.col("file_id")),
     )
-    return _print_mutants(mapped.withColumn("add_to", pick))
+    return _print_mutants(code_files, seed, True, pick)

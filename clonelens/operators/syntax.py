@@ -10,7 +10,7 @@ from __future__ import annotations
 import ast
 import sys
 import warnings
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -76,7 +76,8 @@ def _parse_batches(batches: Iterator[pa.RecordBatch], fields: pa.Schema) -> Iter
                 seen[text] = syntax_columns(text)
             rows.append(seen[text])
         columns = list(batch.columns)
-        for at, field in enumerate(fields):
+        for field in fields:
+            at = NODE_COLUMNS.index(field.name)
             columns.append(pa.array([r[at] for r in rows], type=field.type))
         yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, *fields.names])
 
@@ -92,14 +93,14 @@ _ARROW_FIELDS = pa.schema(
 )
 
 
-def parse_files(code_files: DataFrame) -> DataFrame:
-    """``code_files`` plus the node columns; NULL columns where a file does not parse."""
-    fields = _ARROW_FIELDS
+def parse_files(code_files: DataFrame, wanted: Sequence[str] = tuple(NODE_COLUMNS)) -> DataFrame:
+    """``code_files`` plus the ``wanted`` node columns; NULL columns where a file does not parse."""
+    fields = pa.schema([f for f in _ARROW_FIELDS if f.name in wanted])
 
     def parse(batches):
         return _parse_batches(batches, fields)
 
-    schema = T.StructType([*code_files.schema.fields, *NODE_FIELDS])
+    schema = T.StructType([*code_files.schema.fields, *[f for f in NODE_FIELDS if f.name in wanted]])
     return spread(code_files).mapInArrow(parse, schema)
 
 
@@ -121,7 +122,7 @@ def ast_nodes(code_files: DataFrame) -> DataFrame:
 
 def node_sequences(code_files: DataFrame) -> DataFrame:
     """(file_id, tokens): node type names in breadth-first order, empty if unparsable."""
-    parsed = parse_files(code_files.select("file_id", "content"))
+    parsed = parse_files(code_files.select("file_id", "content"), ["node_type"])
     empty = F.array().cast("array<string>")
     return parsed.select("file_id", F.coalesce("node_type", empty).alias("tokens"))
 
