@@ -1,8 +1,9 @@
 """``spark.read.format("source_tree")``: every source file under a folder.
 
 Spark's own file sources silently leave out names starting with ``_`` or ``.``
-(``__init__.py``), which this source keeps.  The driver lists names and sizes
-only, as for any file source; tasks read chunks of files of bounded total size.
+(``__init__.py``), which this source keeps.  The driver only looks for enough
+folders to give every task one (``_MIN_FOLDERS``); tasks list and read what is
+below their folder, file by file.  The tree has to be mounted on all executors.
 """
 
 from __future__ import annotations
@@ -19,8 +20,7 @@ from clonelens.functions.ranking import dense_index
 from clonelens.session import staged
 
 _SCHEMA = "path string, repo string, content string"
-_CHUNK_BYTES = 32 << 20
-_CHUNK_FILES = 4096
+_MIN_FOLDERS = 512  # the driver goes down the tree until it has so many folders
 _BATCH_BYTES = 8 << 20
 
 
@@ -31,10 +31,13 @@ def decode_source(data: bytes) -> str:
 
 @dataclass
 class Chunk(InputPartition):
-    files: list[tuple[str, str]]  # (path, repository)
+    """A folder; ``deep`` tells whether the folders below belong to it as well."""
 
-    def __init__(self, files: list[tuple[str, str]]) -> None:
-        self.files = files
+    folder: str
+    deep: bool
+
+    def __init__(self, folder: str, deep: bool) -> None:
+        self.folder, self.deep = folder, deep
 
 
 class SourceTreeReader(DataSourceReader):
@@ -51,30 +54,26 @@ class SourceTreeReader(DataSourceReader):
         return os.path.basename(self.root) if inside == "." else inside.split(os.sep)[0]
 
     def partitions(self) -> list[Chunk]:
-        chunks: list[Chunk] = []
-        files: list[tuple[str, str]] = []
-        size = 0
-        for folder, _, names in os.walk(self.root):
-            for name in names:
-                if not name.endswith(self.suffix):
-                    continue
-                path = os.path.join(folder, name)
-                try:
-                    size += os.path.getsize(path)
-                except OSError:
-                    continue
-                files.append((path, self._repository(folder)))
-                if size >= _CHUNK_BYTES or len(files) >= _CHUNK_FILES:
-                    chunks.append(Chunk(files))
-                    files, size = [], 0
-        if files or not chunks:
-            chunks.append(Chunk(files))
-        return chunks
+        done, level = [], [self.root]
+        while level and len(done) + len(level) < _MIN_FOLDERS:
+            done += [Chunk(folder, False) for folder in level]
+            level = [below for folder in level for below in _subfolders(folder)]
+        return done + [Chunk(folder, True) for folder in level]
+
+    def _files(self, chunk: Chunk) -> Iterator[tuple[str, str]]:
+        """(path, repository) of the chunk's source files."""
+        for folder, below, names in os.walk(chunk.folder):
+            below.sort()
+            if not chunk.deep:
+                below.clear()
+            for name in sorted(names):
+                if name.endswith(self.suffix):
+                    yield os.path.join(folder, name), self._repository(folder)
 
     def read(self, partition: Chunk) -> Iterator[pa.RecordBatch]:
         rows: list[tuple[str, str, str]] = []
         size = 0
-        for path, repo in partition.files:
+        for path, repo in self._files(partition):
             try:
                 with open(path, "rb") as file:
                     text = decode_source(file.read())
@@ -89,6 +88,15 @@ class SourceTreeReader(DataSourceReader):
             yield _batch(rows)
 
 
+def _subfolders(folder: str) -> list[str]:
+    """Folders directly below; links are not followed, as when a task walks the tree."""
+    try:
+        with os.scandir(folder) as entries:
+            return sorted(e.path for e in entries if e.is_dir(follow_symlinks=False))
+    except OSError:
+        return []
+
+
 def _batch(rows: list[tuple[str, str, str]]) -> pa.RecordBatch:
     columns = [pa.array(c, pa.string()) for c in zip(*rows)]
     return pa.RecordBatch.from_arrays(columns, names=["path", "repo", "content"])

@@ -165,3 +165,17 @@ def test_metrics_of_arriving_files(spark, files, tmp_path):
     got = {r["path"]: r["num_operands"] for r in spark.table("arrived").collect()}
     want = metrics.file_metrics(files).join(files.select("file_id", "path"), "file_id").collect()
     assert got == {r["path"]: r["num_operands"] for r in want}
+
+
+def test_ten_thousand_nested_files(spark, tmp_path):
+    """Many folders on several levels are each read once, and only paths are ranked."""
+    for i in range(10_000):
+        folder = tmp_path / f"r{i % 40}" / f"p{i % 400}" / ("deep/_inner" if i % 3 == 0 else "")
+        if i < 1200:
+            folder.mkdir(parents=True, exist_ok=True)
+        folder = folder if folder.exists() else tmp_path / f"r{i % 40}"
+        (folder / f"_f{i}.py").write_text(f"x = {i}\n")
+    files = number_files(read_source_tree(spark, str(tmp_path), "root")).collect()
+    assert len(files) == 10_000 and len({r["content"] for r in files}) == 10_000
+    assert [r["file_id"] for r in sorted(files, key=lambda r: r["path"])] == list(range(10_000))
+    assert {r["repo"] for r in files} == {f"r{i}" for i in range(40)}
