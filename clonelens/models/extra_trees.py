@@ -251,7 +251,7 @@ _SUBTREES = "job int, node int, feature array<int>, cut array<double>, `left` ar
 @dataclass
 class ExtraTrees:
     trees: int = 100
-    max_depth: int = 30
+    max_depth: int = 1 << 30  # no limit
     seed: int = 42
     local_rows: int = LOCAL_ROWS
 
