@@ -40,8 +40,9 @@ NEIGHBOURS = 20
 HASHES = 64
 COLLISIONS = 0.75
 REACH = 0.75
-WINDOWS = (1.25, 1.5, 1.8, 2.2, 3.0, np.inf)  # half widths; lifted vectors are at most 2 apart
+WINDOWS = (1.5, 1.8, 2.2, 3.0, np.inf)  # half widths; lifted vectors are at most 2 apart
 BLOCK = 8192
+_TOGETHER = 256  # queries whose windows are looked up together
 _SEED = 9
 
 
@@ -65,38 +66,49 @@ class BlockIndex:
         np.put_along_axis(ranks, by_value, np.arange(len(rows))[None, :], axis=1)
         self.ranks = ranks.astype(np.uint32 if len(rows) > 0xFFFF else np.uint16)
 
-    def collisions(self, at: np.ndarray, half: float) -> np.ndarray:
-        """How many windows of half width ``half`` around the projections ``at`` each row is in."""
-        low = np.array([np.searchsorted(s, a - half, "left") for s, a in zip(self.sorted, at)])
-        high = np.array([np.searchsorted(s, a + half, "right") for s, a in zip(self.sorted, at)])
-        # positions low .. high - 1 of the sorted array; unsigned numbers wrap below low
+    def windows(self, at: np.ndarray, half: float) -> tuple[np.ndarray, np.ndarray]:
+        """Per query and projection: where a window begins in the sorted array, and how many rows it holds."""
+        low = np.stack([np.searchsorted(s, a - half, "left") for s, a in zip(self.sorted, at.T)], axis=1)
+        high = np.stack([np.searchsorted(s, a + half, "right") for s, a in zip(self.sorted, at.T)], axis=1)
+        return low, high - low
+
+    def collisions(self, low: np.ndarray, width: np.ndarray) -> np.ndarray:
+        """How many of one query's windows each row is in."""
         kind = self.ranks.dtype
-        low, width = low.astype(kind)[:, None], (high - low).astype(np.uint32)[:, None]
-        return ((self.ranks - low) < width).sum(axis=0, dtype=np.uint16)
-
-    def nearest(self, uid: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(positions, inner products) of the k best rows found."""
-        length = np.sqrt((query * query).sum())
-        at = np.concatenate([query / length, [0.0]]) @ self.directions
-        checked = np.zeros(len(self.rows), bool)
-        own = self.uid == uid
-        places, scores = np.zeros(0, np.int64), np.zeros(0)
+        # positions below a window wrap around to large unsigned numbers; a window of all rows fits as well
+        inside = (self.ranks - low.astype(kind)[:, None]) < width.astype(np.uint32)[:, None]
+        return inside.view(np.uint8).sum(axis=0, dtype=np.uint8)
+
+    def nearest(self, uids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Per query, (positions, inner products) of the k best rows found."""
+        lengths = np.sqrt((queries * queries).sum(axis=1))
+        at = (queries / lengths[:, None]) @ self.directions[:-1]  # a query's lifted component is 0
+        found: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0))] * len(uids)
+        left = [self.uid != uid for uid in uids]  # rows not verified yet
+        asking = np.arange(len(uids))
         for half in WINDOWS:
-            if np.isfinite(half):
-                new = (self.collisions(at, half) >= COLLISIONS * HASHES) & ~checked & ~own
-            else:
-                new = ~checked & ~own
-            checked |= new
-            new = np.flatnonzero(new)
-            places = np.concatenate([places, new])
-            scores = np.concatenate([scores, (self.rows[new] * query).sum(axis=1)])
-            best = np.lexsort((self.order[places], -scores))[:k]
-            places, scores = places[best], scores[best]
-            if len(best) == k:
-                apart = 2.0 - 2.0 * scores[-1] / (self.longest * length)
-                if np.sqrt(max(apart, 0.0)) <= REACH * half:
-                    break
-        return places, scores
+            if not len(asking):
+                break
+            whole = not np.isfinite(half)
+            low, width = (None, None) if whole else self.windows(at[asking], half)
+            wider = []
+            for i, q in enumerate(asking):
+                new = left[q] if whole else left[q] & (self.collisions(low[i], width[i]) >= COLLISIONS * HASHES)
+                rows = np.flatnonzero(new)
+                left[q] = left[q] & ~new
+                places = np.concatenate([found[q][0], rows])
+                scores = np.concatenate([found[q][1], (self.rows[rows] * queries[q]).sum(axis=1)])
+                if len(places) > k:  # ties at the edge stay in until they are ordered by id
+                    edge = np.partition(scores, -k)[-k]
+                    some = scores >= edge if edge == edge else np.ones(len(scores), bool)
+                    places, scores = places[some], scores[some]
+                best = np.lexsort((self.order[places], -scores))[:k]
+                found[q] = places[best], scores[best]
+                apart = 2.0 - 2.0 * scores[best[-1]] / (self.longest * lengths[q]) if len(best) == k else np.inf
+                if not whole and not np.sqrt(max(apart, 0.0)) <= REACH * half:
+                    wider.append(q)
+            asking = np.array(wider, int)
+        return found
 
 
 def _batch(columns: list[list[np.ndarray]]) -> pa.RecordBatch:
@@ -139,13 +151,16 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = NEIGHBOURS) -> DataFr
                     waiting = []
                 if index is None:
                     continue
-                out: list[list[np.ndarray]] = [[], [], [], []]
-                for i in range(at, to):
+                for start in range(at, to, _TOGETHER):
+                    some = slice(start, min(start + _TOGETHER, to))
                     with np.errstate(all="ignore"):  # huge components may overflow; the last window is exact
-                        places, scores = index.nearest(uid[i], x[i], k)
-                    for column, values in zip(out, (np.full(len(places), uid[i]), np.full(len(places), order[i]), index.order[places], scores)):
-                        column.append(values)
-                yield _batch(out)
+                        found = index.nearest(uid[some], x[some], k)
+                    out: list[list[np.ndarray]] = [[], [], [], []]
+                    for i, (places, scores) in enumerate(found, start):
+                        values = (np.full(len(places), uid[i]), np.full(len(places), order[i]), index.order[places], scores)
+                        for column, value in zip(out, values):
+                            column.append(value)
+                    yield _batch(out)
 
     met = held.unionByName(asking).repartition("block").sortWithinPartitions("block", "asking")
     found = met.mapInArrow(run, "query bigint, query_id bigint, found_id bigint, score double")
