@@ -3,12 +3,15 @@
 A document of a source is expected ``target / size`` times.  The expected
 copies are summed up along the source's documents, one seeded random offset per
 source is added, and a document is emitted once per integer boundary its stretch
-crosses.  Along falling sizes the taken words miss the target by at most the
-source's longest document.
+crosses.  Whole documents are taken, so the words miss the target by up to the
+longest document.  Two things keep that small: one hashed half of the documents
+stands by rising, the other by falling size, so that the rounding of long
+documents cancels out; and of ``OFFSETS`` evenly spaced offsets from the random
+one, a source uses the one whose words come nearest to its target.
 
 Order and ranks are global but nobody sorts a whole source: the documents are
-range partitioned by (source, size, id), numbered inside their partition, and the
-rows before a partition come from one summary row per partition and source.
+range partitioned by source and that order, numbered inside their partition, and
+the rows before a partition come from one summary row per partition and source.
 
 Defined cases: a missing text has size 0; a missing source is a source of its own
 that sorts last; repeated rows (same id, text and source) are one unit and share
@@ -29,6 +32,7 @@ from clonelens.session import staged
 
 SEED = "mix"
 MAX_COPIES = 3
+OFFSETS = 32  # tried per source
 WEIGHTS = 3  # sources weigh 1, 2, 3, 1, 2, 3, ... in code point order
 _EXACT = "decimal(38,0)"
 
@@ -72,7 +76,9 @@ def copies(docs: DataFrame, seed: str = SEED) -> DataFrame:
     )
     units = slim.groupBy("doc_id", "__d", "__t", "source", "size").agg(F.count(F.lit(1)).alias("__rows"))
     units = staged(units, "mix-units")
-    order = [F.col("source").asc_nulls_last(), F.col("size").desc(), F.col("__d"), F.col("__t")]
+    falls = F.pmod(seeded_hash(seed, F.col("__d")), F.lit(2))
+    slope = F.when(falls == 0, F.col("size")).otherwise(-F.col("size"))
+    order = [F.col("source").asc_nulls_last(), falls, slope, F.col("__d"), F.col("__t")]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = units.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     # the id holds the partition in its upper bits and the row's place in the lower 33
@@ -93,11 +99,21 @@ def copies(docs: DataFrame, seed: str = SEED) -> DataFrame:
     found = numbered.join(broadcast_if_small(starts), same)
     rank = F.col("before") + F.col("__at") - F.col("first")
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    offset = seeded_hash(seed, F.coalesce(F.col("source"), F.lit(""))) / F.lit(float(HASH_RANGE))
-    crossed = F.floor((rank + 1) * each + offset) - F.floor(rank * each + offset)
-    return found.select(
-        "doc_id", "__d", "__t", "source", "size", "__rows", "source_size", "target",
-        F.least(crossed, F.lit(MAX_COPIES)).cast("bigint").alias("copies"),
+
+    def taken(j: Column) -> Column:
+        offset = seeded_hash(seed, F.coalesce(F.col("source"), F.lit(""))) / F.lit(float(HASH_RANGE)) + j / F.lit(float(OFFSETS))
+        crossed = F.floor((rank + 1) * each + offset) - F.floor(rank * each + offset)
+        return F.least(crossed, F.lit(MAX_COPIES)).cast("bigint")
+
+    tried = found.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(OFFSETS - 1))))
+    sums = tried.groupBy("source", "j").agg(
+        F.sum(taken(F.col("j")) * F.col("size") * F.col("__rows")).alias("words"), F.max("target").alias("target")
+    )
+    nearest = F.min(F.struct(F.abs(F.col("words") - F.col("target")), F.col("j"))).getField("j")
+    chosen = staged(sums.groupBy("source").agg(nearest.alias("j")).withColumnRenamed("source", "__o"), "mix-offsets")
+    placed = found.join(broadcast_if_small(chosen), F.col("source").eqNullSafe(F.col("__o")))
+    return placed.select(
+        "doc_id", "__d", "__t", "source", "size", "__rows", "source_size", "target", taken(F.col("j")).alias("copies")
     )
 
 
@@ -142,14 +158,24 @@ WITH sized AS (
     CASE WHEN place < cut THEN ({MAX_COPIES} * source_size)::DOUBLE
          ELSE (weight * level_rest)::DOUBLE / level_weights::DOUBLE END AS target
   FROM ranked, level
+), keyed AS (
+  SELECT *, ('0x' || substr(md5('{SEED}:' || CAST(doc_id AS VARCHAR)), 1, 8))::BIGINT % 2 AS falls FROM sized
 ), stretched AS (
   SELECT s.doc_id, s.size, t.source_size, t.target,
     CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS each,
     ('0x' || substr(md5('{SEED}:' || coalesce(s.source, '')), 1, 8))::BIGINT / {float(HASH_RANGE)} AS shift,
-    row_number() OVER (PARTITION BY s.source ORDER BY s.size DESC, s.doc_id) - 1 AS rank
-  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
+    row_number() OVER (
+      PARTITION BY s.source ORDER BY falls, CASE WHEN falls = 0 THEN s.size ELSE -s.size END, s.doc_id) - 1 AS rank, s.source
+  FROM keyed s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
 ), counted AS (
-  SELECT *, least(floor((rank + 1) * each + shift) - floor(rank * each + shift), {MAX_COPIES})::BIGINT AS copies FROM stretched
+  SELECT *, least(floor((rank + 1) * each + (shift + j / {float(OFFSETS)})) - floor(rank * each + (shift + j / {float(OFFSETS)})),
+    {MAX_COPIES})::BIGINT AS copies
+  FROM stretched, (SELECT unnest(range({OFFSETS})) AS j)
+), tried AS (
+  SELECT source, j, abs(sum(copies * size) - max(target)) AS away FROM counted GROUP BY source, j
+), chosen AS (
+  SELECT source, j FROM tried QUALIFY row_number() OVER (PARTITION BY source ORDER BY away, j) = 1
 )
-SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM counted
+SELECT c.doc_id, c.size, c.source_size, c.target, c.copies * c.size AS taken, c.copies
+FROM counted c JOIN chosen o ON c.j = o.j AND c.source IS NOT DISTINCT FROM o.source
 """

@@ -43,7 +43,7 @@ def test_taken_words_come_near_the_targets(spark):
     ).collect()
     assert len(by) == 20
     for r in by:
-        assert abs(r["taken"] - r["target"]) <= r["largest"] and r["most"] <= mx.MAX_COPIES
+        assert abs(r["taken"] - r["target"]) <= 0.5 * r["largest"] and r["most"] <= mx.MAX_COPIES
 
 
 def test_rows_come_out_as_often_as_planned(documents, odd_documents):

@@ -75,15 +75,21 @@ def test_near_duplicate_stage(stages):
 def test_mixing_stage(stages):
     by_source: dict = {}
     for r in stages[3]:
-        by_source.setdefault(r["source"], []).append((-_words(r["text"]), r["doc_id"]))
-    targets = _targets({s: -sum(w for w, _ in rows) for s, rows in by_source.items()})
+        falls = int(hashlib.md5(f"mix:{r['doc_id']}".encode()).hexdigest()[:8], 16) % 2
+        words = _words(r["text"])
+        by_source.setdefault(r["source"], []).append((falls, -words if falls else words, r["doc_id"], words))
+    targets = _targets({s: sum(r[3] for r in rows) for s, rows in by_source.items()})
     want = Counter()
     for s, rows in by_source.items():
-        size = -sum(w for w, _ in rows)
+        size = sum(r[3] for r in rows)
         each = targets[s] / size if size else 0.0
-        offset = int(hashlib.md5(f"mix:{s or ''}".encode()).hexdigest()[:8], 16) / 2.0**32
-        for i, (_, doc_id) in enumerate(sorted(rows)):
-            want[doc_id] += math.floor((i + 1) * each + offset) - math.floor(i * each + offset)
+        tries = []
+        for j in range(32):
+            offset = int(hashlib.md5(f"mix:{s or ''}".encode()).hexdigest()[:8], 16) / 2.0**32 + j / 32
+            taken = [math.floor((i + 1) * each + offset) - math.floor(i * each + offset) for i in range(len(rows))]
+            tries.append((abs(sum(n * r[3] for n, r in zip(taken, sorted(rows))) - targets[s]), j, taken))
+        for n, r in zip(min(tries)[2], sorted(rows)):
+            want[r[2]] += n
     assert Counter(r["doc_id"] for r in stages[4]) == +want
 
 
