@@ -16,6 +16,18 @@ HOT_SHARE = 1000
 NO_ID = (1 << 63) - 1
 
 
+# Rows of a Python batch where rows carry whole texts; Spark's default of 10,000 would hold them by the 100 MB.
+TEXT_BATCH = 1024
+_BATCH_SETTING = ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Send texts to Python in small batches, unless the session has a batch size of its own."""
+    name, default = _BATCH_SETTING
+    if spark.conf.get(name, default) == default:
+        spark.conf.set(name, str(TEXT_BATCH))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -30,8 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clonelens.llm.common import packed_row, table
-from clonelens.session import staged
+from clonelens.llm.common import packed_row, small_batches, table
 
 UNKNOWN = "und"
 FEATURES = 1 << 16
@@ -78,6 +77,7 @@ def ngram_counts(text: str, letters: np.ndarray) -> np.ndarray | None:
 
 def language_counts(labelled: DataFrame) -> DataFrame:
     """(lang, feature, n) over all rows of (lang, text)."""
+    small_batches(labelled.sparkSession)
     letters = labelled.sparkSession.sparkContext.broadcast(letter_table())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,12 +178,13 @@ def predictions(docs: DataFrame, model: Languages) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Languages(*shared.value)
         for batch in batches:
-            found = [known.predict(t.as_py()) for t in batch.column("__text")]
+            found = [known.predict(t.as_py()) for t in batch.column("__row").field("text")]
             names = pa.array([f[0] for f in found], pa.string())
             scores = pa.array([f[1] for f in found], pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column("__row"), names, scores], names=["__row", "lang_pred", "score"])
 
-    rows = docs.select(packed_row(docs), F.col("text").alias("__text"))
+    small_batches(docs.sparkSession)
+    rows = docs.select(packed_row(docs))
     kind = rows.schema["__row"].dataType.simpleString()
     return rows.mapInArrow(run, f"__row {kind}, lang_pred string, score double")
 

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clonelens.functions.skew import broadcast_if_small
-from clonelens.llm.common import NO_ID, id_order, table, whole_text
+from clonelens.llm.common import NO_ID, id_order, small_batches, table, whole_text
 from clonelens.session import staged
 
 CAPACITY = 4096
@@ -225,6 +225,7 @@ def tokenized(docs: DataFrame, definition: str, end_id: int = END_ID) -> DataFra
                     names=["__d", "n", "key", "ids"],
                 )
 
+    small_batches(spark)
     slim = docs.select(id_order("doc_id").alias("__d"), whole_text().alias("text"))
     out = slim.mapInArrow(run, "__d bigint, n bigint, key bigint, ids binary")
     return out.select("*", F.monotonically_increasing_id().alias("uid"), F.lit(width).alias("width"))

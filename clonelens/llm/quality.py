@@ -31,7 +31,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clonelens.llm.common import table
+from clonelens.llm.common import small_batches, table
 from clonelens.llm.language import held_out
 from clonelens.session import staged
 
@@ -94,6 +94,7 @@ def described(docs: DataFrame) -> DataFrame:
             columns = [pa.array(rows[:, i]) for i in range(len(STATISTICS))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names=["doc_id", *STATISTICS])
 
+    small_batches(docs.sparkSession)
     slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     return slim.mapInArrow(run, "doc_id bigint, " + ", ".join(f"{s} double" for s in STATISTICS))
 

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clonelens.functions.arrays import ROWS, added_up, row_sums
-from clonelens.llm.common import NO_ID, id_order, join_hot, packed_row, table, whole_text
+from clonelens.llm.common import NO_ID, id_order, join_hot, packed_row, small_batches, table, whole_text
 from clonelens.llm.components import components
 from clonelens.session import staged
 
@@ -80,6 +80,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             prints = pa.array([fingerprint(t.as_py()) for t in texts], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("__d"), batch.column("__t"), prints], names=["__d", "__t", "fp"])
 
+    small_batches(docs.sparkSession)
     slim = docs.select(id_order("doc_id").alias("__d"), F.xxhash64(whole_text()).alias("__t"), whole_text().alias("text"))
     return slim.mapInArrow(run, "__d bigint, __t bigint, fp bigint")
 
