@@ -246,7 +246,11 @@ class KernelIndex:
 
         def step(q: pa.StructArray, p: pa.StructArray) -> pa.RecordBatch:
             gaps = squared_distances(matrix(q.field("x")), matrix(p.field("x")))
-            sums = np.exp(-gamma * gaps) @ matrix(p.field("v"))
+            kernel = np.exp(-gamma * gaps)
+            if skip_self:  # equal vectors are added below, where nothing large has to cancel out
+                same = q.field("row_id").to_numpy()[:, None] == p.field("row_id").to_numpy()[None, :]
+                kernel[same] = 0.0
+            sums = kernel @ matrix(p.field("v"))
             return pa.RecordBatch.from_arrays(
                 [q.field("row_id"), *[pa.array(sums[:, i]) for i in range(width)]],
                 names=["row_id", *names],
@@ -260,10 +264,11 @@ class KernelIndex:
         pairs = _block_pairs(queries.cells, valued, ["row_id", "x", "v"], self.pivots, radius=radius)
         partial = _compare(pairs, step, "row_id bigint, " + ", ".join(f"{n} double" for n in names))
         found = partial.groupBy(F.col("row_id").alias("at")).agg(*[F.sum(n).alias(n) for n in names])
+        if skip_self:  # rows equal to the query: their kernel value is 1, its own part is taken out
+            found = found.join(added.select(F.col("row_id").alias("at"), F.col("v").alias("equal")), "at", "left")
         out = salted_join(queries.members, found, "at", "row_id", rows=queries.n).drop("at")
-        if skip_self:  # its own kernel value is 1
-            own = values.select("row_id", "v")
-            out = out.join(own, "row_id", "left")
-            rest = [(F.col(n) - F.coalesce(F.col("v")[i], F.lit(0.0))).alias(n) for i, n in enumerate(names)]
-            out = out.select("row_id", *rest)
+        if skip_self:
+            out = out.join(values.select("row_id", "v"), "row_id", "left")
+            others = [F.coalesce(F.col("equal")[i] - F.col("v")[i], F.lit(0.0)) for i in range(width)]
+            out = out.select("row_id", *[(F.col(n) + others[i]).alias(n) for i, n in enumerate(names)])
         return out
