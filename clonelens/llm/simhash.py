@@ -327,32 +327,44 @@ def verified_links(asked: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return met.mapInArrow(run, "a bigint, b bigint")
 
 
-def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """(__d, __t, fp, first) per row: ``first`` is the (__d, __t) that stands for its component."""
-    prints = staged(fingerprints(docs), "simhash")
-    classes = prints.groupBy("fp").agg(F.min(F.struct("__d", "__t")).alias("least"), F.count(F.lit(1)).alias("n"))
-    classes = staged(classes, "simhash-classes")
-    n = classes.count()
-    parts = grouped_bits(bit_correlations(classes), number_of_parts(n, distance))
-    counts = value_counts(classes, parts)
-    found = components(verified_links(probes(classes, parts, counts, distance), distance))
+def classes_of(prints: DataFrame) -> DataFrame:
+    """(fp, least, n): the smallest (__d, __t) and the number of the rows of each fp."""
+    return prints.groupBy("fp").agg(F.min(F.struct("__d", "__t")).alias("least"), F.count(F.lit(1)).alias("n"))
+
+
+def named_rows(prints: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
+    """``prints`` with ``first``, the smallest (__d, __t) of the component that ``found`` gives its fp."""
     rooted = classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "least", "n", F.coalesce("component", "fp").alias("root")
     )
     rooted = staged(rooted, "simhash-roots")
     firsts = rooted.groupBy("root").agg(F.min("least").alias("first"), F.count(F.lit(1)).alias("n"))
-    named = join_hot(rooted.select("fp", "n", "root").withColumnRenamed("n", "rows"), staged(firsts, "simhash-firsts"), ["root"], "n", n)
+    rows = rooted.select("fp", "n", "root").withColumnRenamed("n", "rows")
+    named = join_hot(rows, staged(firsts, "simhash-firsts"), ["root"], "n", classes.count())
     named = staged(named.select("fp", "rows", "first"), "simhash-named")
     return join_hot(prints, named, ["fp"], "rows", prints.count())
 
 
+def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """(__d, __t, fp, first) per row: ``first`` is the (__d, __t) that stands for its component."""
+    prints = staged(fingerprints(docs), "simhash")
+    classes = staged(classes_of(prints), "simhash-classes")
+    parts = grouped_bits(bit_correlations(classes), number_of_parts(classes.count(), distance))
+    counts = value_counts(classes, parts)
+    return named_rows(prints, classes, components(verified_links(probes(classes, parts, counts, distance), distance)))
+
+
 def _id(order: Column) -> Column:
     return F.when(order < NO_ID, order)
 
 
 def one_per_group(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """The documents that stand for their component: the smallest id, one row of it."""
-    found = near_duplicates(docs, distance)
+    return first_rows(docs, near_duplicates(docs, distance))
+
+
+def first_rows(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """One row of each document that ``found`` names as the first of its component."""
     kept = found.filter((F.col("first.__d") == F.col("__d")) & (F.col("first.__t") == F.col("__t")))
     kept = staged(kept.groupBy("__d", "__t").agg(F.count(F.lit(1)).alias("__n")), "simhash-kept")
     rows = docs.select(packed_row(docs), id_order("doc_id").alias("__d"), F.xxhash64(whole_text()).alias("__t"))
