@@ -3,9 +3,8 @@
 Reference points (pivots) are drawn from the vectors; each vector is described
 by its ``PREFIX`` nearest pivots in order.  An inverted list per pivot holds the
 vectors that have it in their prefix.  Vectors that meet in a list are compared
-by exact cosine in double precision; pairs at or above the threshold count if
-their prefixes share at least ``MIN_SHARED`` pivots.  The smallest shared pivot's
-list alone reports a pair, so nothing is counted twice and no pair is shuffled:
+by exact cosine in double precision; every pair at or above the threshold
+counts.  The smallest shared pivot's list alone reports a pair, so nothing is counted twice and no pair is shuffled:
 a list gives link counts per vector and a spanning forest of its links.
 
 The number of pivots grows with the square root of the number of vectors, so
@@ -13,9 +12,9 @@ lists stay short.  Lists longer than ``BLOCK`` are split into blocks that meet
 pairwise, each task holding one block while the other streams past.  Equal
 vectors are merged into one weighted class first.
 
-The index is approximate: a pair is missed if its prefixes share fewer pivots.
-At the threshold that happens to about 1 % of the pairs in 64 dimensions (a test
-measures recall); nothing below the threshold is ever linked.  Pivots come
+The index is approximate: a pair is missed if its prefixes share no pivot.
+Longer tables have more pivots and miss more at the threshold (tests measure
+recall with 64 to 2048 pivots); nothing below the threshold is ever linked.  Pivots come
 from a sample of at most ``SAMPLED`` x ``MAX_PIVOTS`` vectors with the smallest
 hashes; all vectors are indexed.
 
@@ -44,7 +43,6 @@ from clonelens.session import staged
 
 THRESHOLD = 0.9
 PREFIX = 8
-MIN_SHARED = 2
 MIN_PIVOTS, MAX_PIVOTS = 64, 2048
 SAMPLED = 4  # vectors looked at per pivot
 APART = 0.8  # pivots have a smaller cosine than that
@@ -151,7 +149,7 @@ def _reported(a: _Part, b: _Part, pivot: int, threshold: float, within: bool) ->
             x, y = i[h : h + _HITS], j[h : h + _HITS]
             shared = (a.prefix[x][:, :, None] == b.prefix[y][:, None, :]).any(axis=2)
             least = np.where(shared, a.prefix[x], MAX_PIVOTS).min(axis=1)
-            ours = (shared.sum(axis=1) >= min(MIN_SHARED, a.prefix.shape[1])) & (least == pivot)
+            ours = least == pivot
             yield x[ours], y[ours]
 
 

@@ -44,6 +44,27 @@ def test_recall_of_links(spark, cosine, least):
     assert (got <= want.sum(axis=1)).all() and got.sum() >= least * want.sum() and want.sum() >= 900
 
 
+@pytest.mark.parametrize("count", [1024, 2048])
+def test_recall_of_links_with_many_pivots(count):
+    """Partners at the threshold, with the prefixes that a long table gives."""
+    rng = np.random.default_rng(count)
+    points, x, r = (rng.standard_normal((n, 64)) for n in (count, 3000, 3000))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    r -= (r * x).sum(axis=1, keepdims=True) * x
+    y = 0.901 * x + math.sqrt(1 - 0.901**2) * r / np.linalg.norm(r, axis=1, keepdims=True)
+    points /= np.linalg.norm(points, axis=1, keepdims=True)
+    prefix = [np.argsort(-(v @ points.T), axis=1, kind="stable")[:, : pv.PREFIX] for v in (x, y)]
+    a, b = (pv._Part(np.arange(3000), np.ones(3000, np.int64), p, v) for p, v in zip(prefix, (x, y)))
+    found, meet = 0, 0
+    for i in range(3000):
+        both = np.intersect1d(prefix[0][i], prefix[1][i])
+        meet += len(both) > 0
+        for pivot in both:
+            found += sum(len(p) for p, _ in pv._reported(a.rows([i]), b.rows([i]), pivot, pv.THRESHOLD, False))
+    print(f"{count} pivots: {found} of 3000 links found, {meet} meet")
+    assert found == meet and found >= 0.99 * 3000
+
+
 @pytest.mark.parametrize("block", [2048, 32])
 def test_a_dense_group_and_copies(spark, monkeypatch, block):
     monkeypatch.setattr(pv, "BLOCK", block)
