@@ -18,6 +18,8 @@ _WORKER_MODULES = (
     "clonelens.llm.quality",
     "clonelens.llm.pivots",
     "clonelens.llm.collisions",
+    "clonelens.llm.whitening",
+    "clonelens.llm.lexical",
 )
 
 

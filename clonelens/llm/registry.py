@@ -8,7 +8,8 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from clonelens.llm import (
-    collisions, language, line_dedup, mixing, packing, pivots, quality, sharding, ship_worker_code, simhash, warc,
+    collisions, language, lexical, line_dedup, mixing, packing, pivots, private_data, quality, sharding, ship_worker_code,
+    simhash, warc, whitening,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,12 +25,16 @@ _FUNCTIONS: list[Query] = [
     pivots.op8_embedding_dedup,
     collisions.op9_ann,
     warc.op10_warc,
+    whitening.op11_whitening,
+    lexical.op12_lexical_search,
+    private_data.op13_private_data,
 ]
-# The others have no SQL: models, XXH64 fingerprints, tokenizer ids and iterative or approximate searches.
+# The others have no SQL: models, eigenvectors, XXH64 fingerprints, tokenizer ids and iterative or approximate searches.
 SQL = {
     "op1_mixing": mixing.OP1_SQL,
     "op2_line_dedup": line_dedup.OP2_SQL,
     "op10_warc": warc.OP10_SQL,
+    "op12_lexical_search": lexical.OP12_SQL,
 }
 if corpus_pipeline.ORACLE_SQL:
     SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
