@@ -18,7 +18,9 @@ _WORKER_MODULES = (
     "clonelens.models.moments",
     "clonelens.models.online",
     "clonelens.models.boosting",
+    "clonelens.models.boosted_trees",
     "clonelens.models.extra_trees",
+    "clonelens.models.exact_trees",
     "clonelens.models.margins",
     "clonelens.models.net",
 )

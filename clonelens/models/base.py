@@ -11,7 +11,6 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from typing import Protocol
 
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,27 +55,3 @@ class Linear:
         prediction = (F.col("__m") > 0).cast("bigint")
         score = self.probability(F.col("__m")) if self.probability else prediction
         return score_table(scored, score, prediction)
-
-
-@dataclass
-class SparkMl:
-    """Any Spark ML classifier over the array column ``x``."""
-
-    estimator: object
-
-    def fit(self, train: DataFrame) -> FittedSparkMl:
-        rows = train.select("label", array_to_vector("x").alias("features"))
-        return FittedSparkMl(self.estimator.fit(rows))
-
-
-@dataclass
-class FittedSparkMl:
-    model: object
-
-    def score(self, rows: DataFrame) -> DataFrame:
-        out = self.model.transform(rows.withColumn("features", array_to_vector("x")))
-        if "probability" in out.columns:
-            score = vector_to_array("probability")[1]
-        else:
-            score = F.col("prediction")
-        return score_table(out, score, F.col("prediction"))

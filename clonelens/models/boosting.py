@@ -1,9 +1,10 @@
-"""AdaBoost over one-split trees, from weighted histograms.
+"""AdaBoost over one-split trees with exact cuts.
 
-A row's weight is a function of the stumps found so far, so it is recomputed in
-each pass instead of being carried along: no growing lineage, nothing to
-checkpoint.  Each task sums its rows into (feature, bin, label) cells; Spark adds
-the cells up and the driver picks the split among them.
+Every place between two neighbouring values of a feature is tried.  Up to
+``local_rows`` rows, a constant, one task sorts each feature once and runs all
+rounds.  Beyond it a round is a search over attribute lists in Spark, whose class
+totals are the rows' weights; the weights are a column that is multiplied where the
+round's stump misses, and staged, so a round never evaluates earlier stumps.
 """
 
 from __future__ import annotations
@@ -13,11 +14,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clonelens.functions.arrays import ROWS, added_up, matrix, row_sums
+from clonelens.functions.arrays import matrix
 from clonelens.models.base import score_table, sigmoid
+from clonelens.models.exact_trees import best_cuts
+from clonelens.models.extra_trees import LOCAL_ROWS, _impurity
+from clonelens.session import staged
 
 
 @dataclass
@@ -28,33 +32,49 @@ class Stump:
     right: int
     say: float  # weight of its vote
 
-    def misses(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        side = np.where(x[:, self.feature] <= self.cut, self.left, self.right)
-        return side != y
+    def side(self) -> Column:
+        return F.when(F.col("x")[self.feature] <= F.lit(self.cut), self.left).otherwise(self.right)
 
 
-def _gini(cells: np.ndarray) -> np.ndarray:
-    """Weighted impurity of (zeros, ones) sums along the last axis."""
-    total = cells.sum(axis=-1)
-    safe = np.where(total > 0, total, 1.0)
-    return total - (cells**2).sum(axis=-1) / safe
+def stump_of(feature: int, cut: float, l0: float, l1: float, zeros: float, ones: float) -> tuple[Stump, float]:
+    """The stump of a cut with these weights to its left, and its share of wrong weight."""
+    left, right = int(l1 > l0), int(ones - l1 > zeros - l0)
+    wrong = (l0 if left else l1) + (zeros - l0 if right else ones - l1)
+    error = max(wrong, 0.0) / (zeros + ones)
+    say = 1.0 if error <= 0 else float(np.log((1 - error) / error)) if error < 0.5 else 0.0
+    return Stump(feature, cut, left, right, say), error
 
 
-def best_stump(histogram: np.ndarray, cuts: list[list[float]]) -> tuple[Stump, float]:
-    """The split with the least impurity, and its weighted error share."""
-    best = None
-    for feature, points in enumerate(cuts):
-        upto = histogram[feature].cumsum(axis=0)
-        whole = upto[-1]
-        for at, cut in enumerate(points):
-            left, right = upto[at], whole - upto[at]
-            impurity = float(_gini(left) + _gini(right))
-            if best is None or impurity < best[0] - 1e-12:
-                left_label = int(left[1] > left[0])
-                right_label = int(right[1] > right[0])
-                wrong = left[1 - left_label] + right[1 - right_label]
-                best = (impurity, Stump(feature, cut, left_label, right_label, 0.0), wrong / whole.sum())
-    return best[1], float(best[2])
+class _Sorted:
+    """All rows of a small table, sorted once per feature."""
+
+    def __init__(self, x: np.ndarray, label: np.ndarray):
+        self.x, self.ones = x, label == 1
+        self.order = np.argsort(x, axis=0, kind="stable").T
+        self.values = np.take_along_axis(x.T, self.order, axis=1)
+        self.ends = self.values[:, 1:] > self.values[:, :-1]  # places where the value changes
+
+    def best(self, weight: np.ndarray) -> tuple[int, float, float, float] | None:
+        """(feature, cut, weight of zeros and of ones to its left)."""
+        best = None
+        w1 = np.where(self.ones, weight, 0.0)
+        zeros, ones = weight.sum() - w1.sum(), w1.sum()
+        for f, order in enumerate(self.order):
+            at = np.flatnonzero(self.ends[f])
+            if not len(at):
+                continue
+            l1 = np.cumsum(w1[order])[at]
+            l0 = np.cumsum(weight[order])[at] - l1
+            gain = _impurity(zeros, ones) - _impurity(l0, l1) - _impurity(zeros - l0, ones - l1)
+            i = int(np.argmax(gain))
+            if best is None or gain[i] > best[0]:
+                low, high = self.values[f, at[i]], self.values[f, at[i] + 1]
+                middle = low + (high - low) / 2
+                best = (gain[i], f, float(middle if middle < high else low), float(l0[i]), float(l1[i]))
+        return best and best[1:]
+
+
+_STUMP = "feature int, cut double, `left` int, `right` int, say double"
 
 
 @dataclass
@@ -62,45 +82,64 @@ class AdaBoost:
     """Up to ``rounds`` stumps; stops at a perfect one or one no better than chance."""
 
     rounds: int = 50
-    bins: int = 64
+    local_rows: int = LOCAL_ROWS
 
     def fit(self, train: DataFrame) -> FittedAdaBoost:
-        size = train.select(F.size("x")).first()[0]
-        shares = [i / self.bins for i in range(1, self.bins)]
-        wide = train.select(*[F.col("x")[i].alias(f"x{i}") for i in range(size)])
-        quantiles = wide.approxQuantile(wide.columns, shares, 1.0 / (4 * self.bins))
-        cuts = [sorted(set(q)) for q in quantiles]
+        rows = train.select("label", "x")
+        return FittedAdaBoost(self._in_one_task(rows) if rows.count() <= self.local_rows else self._in_spark(rows))
+
+    def _in_one_task(self, rows: DataFrame) -> list[Stump]:
+        rounds = self.rounds
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            parts = [b for b in batches if b.num_rows]
+            if not parts:
+                return
+            table = _Sorted(np.concatenate([matrix(b.column("x")) for b in parts]), np.concatenate([b.column("label").to_numpy() for b in parts]))
+            weight, found = np.full(len(table.x), 1.0 / len(table.x)), []
+            for _ in range(rounds):
+                best = table.best(weight)
+                if best is None:
+                    break
+                ones = weight[table.ones].sum()
+                stump, error = stump_of(*best, weight.sum() - ones, ones)
+                if error >= 0.5:
+                    break
+                found.append(stump)
+                if error <= 0:
+                    break
+                misses = np.where(table.x[:, stump.feature] <= stump.cut, stump.left, stump.right) != table.ones
+                weight[misses] *= np.exp(stump.say)
+                weight /= weight.sum()
+            columns = [[getattr(s, n) for s in found] for n in ("feature", "cut", "left", "right", "say")]
+            kinds = [pa.int32(), pa.float64(), pa.int32(), pa.int32(), pa.float64()]
+            arrays = [pa.array(c, k) for c, k in zip(columns, kinds)]
+            yield pa.RecordBatch.from_arrays(arrays, names=["feature", "cut", "left", "right", "say"])
+
+        found = rows.coalesce(1).mapInArrow(run, _STUMP).collect()  # at most ``local_rows`` rows went in
+        return [Stump(*r) for r in found]
+
+    def _in_spark(self, rows: DataFrame) -> list[Stump]:
+        weighted = staged(rows.withColumn("weight", F.lit(1.0)), "adaboost")
         stumps: list[Stump] = []
         for _ in range(self.rounds):
-            stump, error = best_stump(self._histogram(train, cuts, stumps), cuts)
+            of = lambda label: F.when(F.col("label") == label, F.col("weight")).otherwise(0.0)
+            totals = weighted.agg(F.sum(of(0)).alias("zeros"), F.sum(of(1)).alias("ones")).first()
+            every = weighted.select(F.lit(0).alias("node"), F.posexplode("x").alias("feature", "value"), of(0).alias("w0"), of(1).alias("w1"))
+            found = sorted(best_cuts(every).collect(), key=lambda r: r["feature"])  # one row per feature
+            if not found:
+                break
+            best = max(found, key=lambda r: r["gain"])
+            stump, error = stump_of(best["feature"], best["cut"], best["l0"], best["l1"], totals["zeros"], totals["ones"])
             if error >= 0.5:
                 break
-            stump.say = 1.0 if error <= 0 else float(np.log((1 - error) / error))
             stumps.append(stump)
             if error <= 0:
                 break
-        return FittedAdaBoost(stumps)
-
-    def _histogram(self, train: DataFrame, cuts: list[list[float]], stumps: list[Stump]) -> np.ndarray:
-        width = self.bins + 1
-        edges = [np.array(c) for c in cuts]
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            sums = np.zeros((len(edges), width, 2))
-            for batch in batches:
-                if batch.num_rows == 0:
-                    continue
-                x = matrix(batch.column("x"))
-                y = batch.column("label").to_numpy().astype(int)
-                weight = np.ones(len(x))
-                for s in stumps:
-                    weight[s.misses(x, y)] *= np.exp(s.say)
-                for feature, points in enumerate(edges):
-                    np.add.at(sums[feature], (np.searchsorted(points, x[:, feature]), y), weight)
-            yield row_sums(sums.reshape(len(edges), width * 2))
-
-        parts = train.select("x", "label").mapInArrow(run, ROWS)
-        return added_up(parts, len(edges), width * 2).reshape(len(edges), width, 2)
+            grown = F.when(stump.side() != F.col("label"), F.lit(float(np.exp(stump.say)))).otherwise(1.0)
+            share = F.lit(1.0 / (totals["zeros"] + totals["ones"]))
+            weighted = staged(weighted.withColumn("weight", F.col("weight") * share * grown), "adaboost")
+        return stumps
 
 
 @dataclass

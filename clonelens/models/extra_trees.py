@@ -64,14 +64,16 @@ class _Growing:
     share: list[float] = field(default_factory=list)
     counts: list[tuple[float, float]] = field(default_factory=list)
     depth: list[int] = field(default_factory=list)
+    tree: list[int] = field(default_factory=list)
 
-    def add(self, zeros: float, ones: float, depth: int) -> int:
+    def add(self, zeros: float, ones: float, depth: int, tree: int) -> int:
         self.feature.append(-1)
         self.cut.append(0.0)
         self.left.append(-1)
-        self.share.append(ones / (zeros + ones))
+        self.share.append(ones / max(zeros + ones, 1e-300))
         self.counts.append((zeros, ones))
         self.depth.append(depth)
+        self.tree.append(tree)
         return len(self.feature) - 1
 
     def forest(self) -> Forest:
@@ -203,6 +205,11 @@ class Subtree:
                 chosen_feature = np.where(better, feature, chosen_feature)
                 chosen_cut = np.where(better, cut, chosen_cut)
             best_gain[open_nodes], best_feature[open_nodes], best_cut[open_nodes] = chosen_gain, chosen_feature, chosen_cut
+        return self._descended(x, ones, np.ones(len(x)), rows, place, nodes, best_gain, best_feature, best_cut)
+
+    def _descended(self, x, ones, weight, rows, place, nodes, best_gain, best_feature, best_cut):
+        """Carry out the chosen splits of ``nodes``; returns the next level."""
+        k = len(nodes)
         split = np.flatnonzero(best_feature >= 0)
         np.add.at(self.gains, best_feature[split], np.maximum(best_gain[split], 0.0))
         child = np.full(k, -1)
@@ -216,8 +223,8 @@ class Subtree:
         by_child = np.argsort(target, kind="stable")
         rows, target = rows[by_child], target[by_child]
         n_new = 2 * len(split)
-        counts = np.bincount(target - len(self.feature), minlength=n_new)
-        shares = np.bincount(target - len(self.feature), ones[rows], n_new) / np.maximum(counts, 1)
+        counts = np.bincount(target - len(self.feature), weight[rows], n_new)
+        shares = np.bincount(target - len(self.feature), ones[rows], n_new) / np.maximum(counts, 1e-300)
         base = len(self.feature)
         self.feature += [-1] * n_new
         self.cut += [0.0] * n_new
@@ -258,8 +265,7 @@ class ExtraTrees:
     def fit(self, train: DataFrame) -> FittedExtraTrees:
         rows = train.select("x", "label", F.xxhash64("row_id").alias("at"))
         size = rows.select(F.size("x")).first()[0]
-        candidates = max(1, int(np.sqrt(size)))
-        totals = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+        candidates = self._candidates(size)
         grown = _Growing(self.trees)
         rng = np.random.default_rng(self.seed)
         gains = np.zeros(size)
@@ -272,9 +278,8 @@ class ExtraTrees:
             small.extend(n for n in nodes if sum(grown.counts[n]) <= self.local_rows)
             return [(n, rng.permutation(size)) for n in nodes if sum(grown.counts[n]) > self.local_rows]
 
-        roots = [grown.add(totals.get(0, 0), totals.get(1, 0), 0) for _ in range(self.trees)]
-        if len(totals) > 1:
-            todo = opened(roots)
+        roots = [grown.add(zeros, ones, 0, tree) for tree, (zeros, ones) in enumerate(self._root_counts(rows))]
+        todo = opened([n for n in roots if min(grown.counts[n]) > 0])
         while todo:
             part, todo = todo[:_SLICE], todo[_SLICE:]
             retry, children = self._split(rows, grown, part, candidates, rng, gains)
@@ -284,27 +289,38 @@ class ExtraTrees:
             jobs = _Jobs([roots[i : i + _TOGETHER] for i in range(0, len(roots), _TOGETHER)])
         else:
             jobs = _Jobs([[n] for n in small])
-        subtrees = self._finish(rows, grown, forest, jobs, candidates) if small else None
+        subtrees = self._finish(rows, grown, forest, jobs) if small else None
         if subtrees is not None:
             for row in subtrees.select(F.posexplode("gains").alias("f", "g")).groupBy("f").agg(F.sum("g").alias("g")).collect():
                 gains[row["f"]] += row["g"]
         total = gains.sum()
         return FittedExtraTrees(forest, list(gains / total if total > 0 else gains), jobs, subtrees)
 
-    def _finish(self, rows: DataFrame, grown: _Growing, forest: Forest, jobs: _Jobs, candidates: int) -> DataFrame:
+    def _candidates(self, size: int) -> int:
+        """How many of ``size`` features a node tries."""
+        return max(1, int(np.sqrt(size)))
+
+    def _root_counts(self, rows: DataFrame) -> list[tuple[float, float]]:
+        """(zeros, ones) of every tree's rows."""
+        totals = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+        return [(totals.get(0, 0), totals.get(1, 0))] * self.trees
+
+    def _subtree(self, x: np.ndarray, label: np.ndarray, at: np.ndarray, node: int, tree: int, depth: int) -> Subtree:
+        return Subtree(x, label, (self.seed, node), depth, self._candidates(x.shape[1]))
+
+    def _finish(self, rows: DataFrame, grown: _Growing, forest: Forest, jobs: _Jobs) -> DataFrame:
         """The staged subtrees of all jobs; a pass deals out a bounded number of rows."""
         done, part, dealt = None, [], 0.0
         for job, nodes in enumerate(jobs.nodes):
             part.append(job)
             dealt += sum(grown.counts[nodes[0]])
             if dealt >= _PASS_ROWS or job == len(jobs.nodes) - 1:
-                depths = {n: self.max_depth - grown.depth[n] for j in part for n in jobs.nodes[j]}
-                found = staged(self._grow(rows, forest, jobs, (part[0], part[-1]), depths, candidates), "subtrees")
+                heads = {n: (grown.tree[n], self.max_depth - grown.depth[n]) for j in part for n in jobs.nodes[j]}
+                found = staged(self._grow(rows, forest, jobs, (part[0], part[-1]), heads), "subtrees")
                 done, part, dealt = found if done is None else done.unionByName(found), [], 0.0
         return done
 
-    def _grow(self, rows, forest, jobs, span, depths, candidates) -> DataFrame:
-        seed = self.seed
+    def _grow(self, rows, forest, jobs, span, heads) -> DataFrame:
 
         def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -321,7 +337,8 @@ class ExtraTrees:
             job = table.column("job")[0].as_py()
             order = np.lexsort((table.column("label").to_numpy(), table.column("at").to_numpy()))
             x, label = matrix(table.column("x"))[order], table.column("label").to_numpy()[order]
-            out = [(job, n, Subtree(x, label, (seed, n), depths[n], candidates)) for n in jobs.nodes[job]]
+            at = table.column("at").to_numpy()[order]
+            out = [(job, n, self._subtree(x, label, at, n, *heads[n])) for n in jobs.nodes[job]]
             return pa.table(
                 {
                     "job": pa.array([o[0] for o in out], pa.int32()),
@@ -391,8 +408,8 @@ class ExtraTrees:
             grown.feature[node], grown.cut[node] = int(features[at, c]), float(cuts[at, c])
             gains[features[at, c]] += max(gain, 0.0)
             below = grown.depth[node] + 1
-            grown.left[node] = grown.add(l0, l1, below)
-            grown.add(zeros - l0, ones - l1, below)
+            grown.left[node] = grown.add(l0, l1, below, grown.tree[node])
+            grown.add(zeros - l0, ones - l1, below, grown.tree[node])
             for child in (grown.left[node], grown.left[node] + 1):
                 if min(grown.counts[child]) > 0:  # a pure node is a leaf
                     children.append(child)

@@ -4,14 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml.classification import (
-    DecisionTreeClassifier,
-    GBTClassifier,
-    RandomForestClassifier,
-)
-
-from clonelens.models.base import Estimator, SparkMl
+from clonelens.models.base import Estimator
+from clonelens.models.boosted_trees import BoostedTrees, Growth
 from clonelens.models.boosting import AdaBoost
+from clonelens.models.exact_trees import bagging, decision_tree, random_forest
 from clonelens.models.extra_trees import ExtraTrees
 from clonelens.models.margins import CalibratedSvm, KernelSvm, LinearSvm, Logistic
 from clonelens.models.moments import Lda, NearestCentroid, Qda, Ridge, RidgeCv
@@ -19,30 +15,16 @@ from clonelens.models.neighbours import KNearest, LabelPropagation, LabelSpreadi
 from clonelens.models.net import SmallNet
 from clonelens.models.online import Online
 
-SEED = 42
-_MAX_TREE_DEPTH = 30  # Spark ML's limit; stands for unbounded
-MAX_BINS = 128  # cut points a tree tries per feature, from a sample of the values
-
-
-def _forest(trees: int, subset: str) -> SparkMl:
-    return SparkMl(
-        RandomForestClassifier(
-            numTrees=trees, maxDepth=_MAX_TREE_DEPTH, maxBins=MAX_BINS, featureSubsetStrategy=subset, seed=SEED
-        )
-    )
-
-
-def _boosted(depth: int) -> SparkMl:
-    return SparkMl(GBTClassifier(maxIter=100, maxDepth=depth, maxBins=MAX_BINS, stepSize=0.1, seed=SEED))
-
+# Whole levels down to depth 3, splits by the gradients' squared error.
+LEVEL_WISE = Growth(leaves=8, depth=3, least_rows=1, least_curvature=0.0, newton=False)
 
 # The compared models' names, in training order.
 MODELS: dict[str, Callable[[], Estimator]] = {
-    "GradientBoosting": lambda: _boosted(3),
-    "RandomForest": lambda: _forest(100, "sqrt"),
-    "Bagging": lambda: _forest(10, "all"),
+    "GradientBoosting": lambda: BoostedTrees(growth=LEVEL_WISE),
+    "RandomForest": random_forest,
+    "Bagging": bagging,
     "ExtraTrees": ExtraTrees,
-    "DecisionTree": lambda: SparkMl(DecisionTreeClassifier(maxDepth=_MAX_TREE_DEPTH, maxBins=MAX_BINS, seed=SEED)),
+    "DecisionTree": decision_tree,
     "LabelPropagation": LabelPropagation,
     "NuSVC": lambda: KernelSvm(nu=0.5),
     "KNeighbors": KNearest,
@@ -60,7 +42,7 @@ MODELS: dict[str, Callable[[], Estimator]] = {
     "LabelSpreading": LabelSpreading,
     "Perceptron": lambda: Online("perceptron"),
     "PassiveAggressive": lambda: Online("passive_aggressive"),
-    "LGBM": lambda: _boosted(5),
+    "LGBM": BoostedTrees,
 }
 NEURAL_MODELS: dict[str, Callable[[], Estimator]] = {"SimpleNN": SmallNet}
 # The stacking search's five models, in order.

@@ -8,11 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clonelens import ship_worker_code
 from clonelens.models.base import Linear
+from clonelens.models.boosted_trees import BoostedTrees
+from clonelens.models.exact_trees import best_cuts
 from clonelens.models.extra_trees import ExtraTrees
 from clonelens.models.moments import NearestCentroid
 from clonelens.models.neighbours import KNearest, LabelPropagation
@@ -736,12 +738,58 @@ def linear_svc_slopes(spark, sf):
 def extratrees_training_fit(spark, sf):
     """Fully grown trees reproduce the labels of distinct training rows, and lose none."""
     rows = src.vectors(spark, sf)
-    scored = ExtraTrees(trees=20).fit(rows).score(rows)
+    return _training_fit(ExtraTrees().fit(rows).score(rows))
+
+
+def _training_fit(scored: DataFrame) -> DataFrame:
     right = F.avg((F.col("prediction") == F.col("label")).cast("double"))
     pure = F.min(F.when(F.col("label") == 1, F.col("score")).otherwise(1.0 - F.col("score")))
     return rounded(scored.agg(F.count(F.lit(1)).alias("n"), right.alias("accuracy"), pure.alias("least_share")))
 
 
+@query
+def decisiontree_training_fit(spark, sf):
+    """A tree of unlimited depth with exact cuts separates all distinct training rows."""
+    rows = src.vectors(spark, sf)
+    return _training_fit(make("DecisionTree").fit(rows).score(rows))
+
+
+@query
+def exact_cuts(spark, sf):
+    """The best cut of every feature among all places between two values."""
+    of = lambda label: F.when(F.col("label") == label, 1.0).otherwise(0.0)
+    rows = src.vectors(spark, sf).select(F.lit(0).alias("node"), F.posexplode("x").alias("feature", "value"), of(0).alias("w0"), of(1).alias("w1"))
+    return rounded(best_cuts(rows).select("feature", "gain", "cut", "l0", "l1"))
+
+
+def _order_lines(spark, sf) -> DataFrame:
+    """(row_id, label, x): is an order line returned, from its numbers."""
+    names = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber", "l_partkey", "l_suppkey"]
+    return src.table(spark, sf, "lineitem").select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_id"),
+        (F.col("l_returnflag") == "R").cast("bigint").alias("label"),
+        F.array(*[F.col(n).cast("double") for n in names]).alias("x"),
+    )
+
+
+@query
+def lgbm_training_loss(spark, sf):
+    """Leaf-wise boosting: the training loss falls in every round."""
+    rows = _order_lines(spark, sf)
+    loss = BoostedTrees(trees=5).fit(rows).staged_loss(rows)
+    before = F.lag("loss").over(Window.orderBy("round"))  # one row per round
+    return rounded(loss.select("round", (F.col("loss") < before).alias("falls")).filter("round > 0"))
+
+
+@query
+def lgbm_leaf_counts(spark, sf):
+    """A tree has 31 leaves; their rows by subtracted sums equal a recount."""
+    rows = _order_lines(spark, sf)
+    found = BoostedTrees(trees=1).fit(rows).leaf_rows(rows)
+    differ = (~F.col("n").cast("double").eqNullSafe(F.col("by_sums"))).cast("bigint")
+    return rounded(found.agg(F.count(F.lit(1)).alias("leaves"), F.sum("n").alias("n"), F.sum(differ).alias("differing")))
+
+
 @query
 def fit_pairtext(spark, sf):
     from clonelens.plans.bakeoff import text_split
@@ -752,10 +800,10 @@ def fit_pairtext(spark, sf):
 
 @query
 def model_comparison(spark, sf):
-    """All classifiers, the small net, the text model and the best stack, with their times."""
+    """All classifiers, the small net, the text model and the best stack, with their times; failed ones with their error."""
     from clonelens.plans.bakeoff import compare_all
 
-    return compare_all(_data(spark, sf)).results
+    return compare_all(_data(spark, sf)).all_rows()
 
 
 @query

