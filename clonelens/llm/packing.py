@@ -55,18 +55,21 @@ class WordTokenizer:
     A new word of ASCII letters and signs is passed on as its runs, which are what
     the tokenizer's own splitting yields; runs go through the library together,
     without the slow Unicode steps that would not change them.  All other words go
-    through the whole tokenizer, separated by a digit that they do not hold.
+    through the whole tokenizer, separated by a digit that they do not hold.  A text
+    that holds the name of a special token goes through the library as it is.
     """
 
     def __init__(self, definition: str, width: str):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.full = Tokenizer.from_str(definition)
-        self.full.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.full.encode_special_tokens = True  # texts with their names do not come here
         self.plain = Tokenizer.from_str(definition)
         self.plain.encode_special_tokens = True
         self.plain.normalizer = normalizers.Sequence([])
         self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.exact = WholeTokenizer(definition, width)
+        self.special = [t.content.lower().encode() for t in self.full.get_added_tokens_decoder().values()]
         self.width = width
         vocabulary = self.full.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -113,7 +116,10 @@ class WordTokenizer:
             known[w] = b"".join([known[r] for r in some])
 
     def ids(self, data: bytes) -> bytes:
-        words = data.lower().split()  # ASCII only; the tokenizer lower-cases everything anyway
+        low = data.lower()  # ASCII only; the tokenizer lower-cases everything anyway
+        if any(name in low for name in self.special):
+            return self.exact.ids(data)
+        words = low.split()
         known = self.known
         try:
             return b"".join([known[w] for w in words])
@@ -141,7 +147,6 @@ class WholeTokenizer:
         from tokenizers import Tokenizer
 
         self.full = Tokenizer.from_str(definition)
-        self.full.encode_special_tokens = True
         self.width = width
 
     def ids(self, data: bytes) -> bytes:

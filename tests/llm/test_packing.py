@@ -22,6 +22,16 @@ def test_ids_equal_the_tokenizer_on_odd_texts(definition):
         assert quick.ids(text.encode()) == whole.ids(text.encode()), repr(text)
 
 
+def test_special_tokens_in_a_text_equal_the_plain_call(definition):
+    from tokenizers import Tokenizer
+
+    plain, quick = Tokenizer.from_str(definition), p.WordTokenizer(definition, "<u2")
+    for text in ("hello <|endoftext|> there", "a<|startoftext|>b <|ENDOFTEXT|> c", "<|endoftext|><|endoftext|>", "<|EndOfText|>", "no"):
+        want = plain.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(quick.ids(text.encode()), "<u2").tolist() == want, text
+    assert 49407 in plain.encode("<|endoftext|>", add_special_tokens=False).ids
+
+
 def test_forgetting_words_changes_nothing(definition, monkeypatch):
     whole = p.WholeTokenizer(definition, "<u2")
     monkeypatch.setattr(p, "_CACHED", 5)
