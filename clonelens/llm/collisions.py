@@ -16,9 +16,9 @@ all queries, holds its own rows only and returns k rows per query, and the
 blocks' results are merged by one ranking per query.  Nothing is fitted; every row
 is indexed.  Recall against brute force is measured by a test (at least 0.9).
 
-Defined cases: vectors that are missing, empty, zero, hold null or non-finite
-components or have another length than most take no part, neither as query nor as
-candidate; a row without an id is a candidate that comes last among equals;
+Defined cases: vectors that are missing, empty, zero or hold null or non-finite
+components take no part, neither as query nor as candidate; a query's
+candidates are the vectors of its length, each length has an index of its own; a row without an id is a candidate that comes last among equals;
 repeated rows are separate candidates, and only the query's own row is left
 out; equal scores go to the smaller id; an empty table gives no rows.
 """
@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clonelens.llm.common import NO_ID, id_order, table
-from clonelens.llm.vectors import matrix, most_common_length, usable
+from clonelens.llm.vectors import lengths, matrix, usable
 from clonelens.session import staged
 
 NEIGHBOURS = 20
@@ -122,8 +122,15 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = NEIGHBOURS) -> DataFr
         id_order("vec_id").alias("__d"), "embedding", F.coalesce(is_query, F.lit(False)).alias("asks"),
     ).filter(usable())
     rows = rows.withColumn("embedding", F.transform("embedding", lambda x: x.cast("double")))
-    length = most_common_length(rows)
-    rows = staged(rows.filter(F.size("embedding") == length).withColumn("uid", F.monotonically_increasing_id()), "ann-vectors")
+    out = vectors.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    for length in lengths(rows):
+        out = out.unionByName(_nearest(rows.filter(F.size("embedding") == length), k))
+    return out
+
+
+def _nearest(rows: DataFrame, k: int) -> DataFrame:
+    """``nearest`` among usable vectors (__d, embedding, asks) of one length."""
+    rows = staged(rows.withColumn("uid", F.monotonically_increasing_id()), "ann-vectors")
     square = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)
     summary = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.sqrt(square)).alias("longest")).first()
     blocks, longest = max(1, -(-summary["n"] // BLOCK)), summary["longest"] or 1.0

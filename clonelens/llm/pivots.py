@@ -18,9 +18,9 @@ recall with 64 to 2048 pivots); nothing below the threshold is ever linked.  Piv
 from a sample of at most ``SAMPLED`` x ``MAX_PIVOTS`` vectors with the smallest
 hashes; all vectors are indexed.
 
-Defined cases: vectors that are missing, empty, zero, hold null or non-finite
-components or have another length than most take no part and are their own
-component; rows without an id are linked, but only ids name a component;
+Defined cases: vectors that are missing, empty, zero or hold null or non-finite
+components take no part and are their own component; each vector length has an
+index of its own, one after the other; rows without an id are linked, but only ids name a component;
 repeated rows are separate vectors with equal content; an empty table gives no
 rows.  Labels are not read.
 """
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from clonelens.llm.common import NO_ID, id_order, join_hot, table
 from clonelens.llm.components import components
 from clonelens.llm.simhash import forest
-from clonelens.llm.vectors import matrix, most_common_length, unit, usable
+from clonelens.llm.vectors import lengths, matrix, unit, usable
 from clonelens.session import staged
 
 THRESHOLD = 0.9
@@ -55,19 +55,15 @@ def number_of_pivots(n: int) -> int:
     return min(MAX_PIVOTS, max(MIN_PIVOTS, 1 << round(math.log2(2 * math.sqrt(max(n, 1))))))
 
 
-def equal_vectors(vectors: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows, classes, others): usable rows with their content hash, their classes, and the rest."""
-    ids = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), id_order("vec_id").alias("__d"), "embedding")
-    sound = ids.filter(usable())
-    length = most_common_length(sound)
-    sound_length = usable() & (F.size("embedding") == length)
+def equal_vectors(ids: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """(rows, classes): the usable rows of one length with their content hash, and their classes."""
     content = [F.xxhash64("embedding").alias("h1"), F.xxhash64(F.lit(1), "embedding").alias("h2")]
-    rows = staged(ids.filter(sound_length).select("vec_id", "__d", *content, "embedding"), "pivot-vectors")
+    sound = ids.filter(usable() & (F.size("embedding") == length))
+    rows = staged(sound.select("vec_id", "__d", *content, "embedding"), "pivot-vectors")
     classes = rows.groupBy("h1", "h2").agg(
         F.first("embedding").alias("embedding"), F.min("__d").alias("least"), F.count(F.lit(1)).alias("weight")
     )
-    classes = staged(classes.withColumn("cid", F.monotonically_increasing_id()), "pivot-classes")
-    return rows, classes, ids.filter(~F.coalesce(sound_length, F.lit(False)))
+    return rows, staged(classes.withColumn("cid", F.monotonically_increasing_id()), "pivot-classes")
 
 
 def pivots(classes: DataFrame, count: int) -> np.ndarray:
@@ -204,9 +200,9 @@ def list_links(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return met.mapInArrow(run, "a bigint, b bigint, n bigint")
 
 
-def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) for every row."""
-    rows, classes, others = equal_vectors(vectors)
+def linked_vectors(ids: DataFrame, length: int, threshold: float) -> DataFrame:
+    """(vec_id, n_links, component_id) of the usable rows of one length."""
+    rows, classes = equal_vectors(ids, length)
     n = classes.count()
     index = staged(described(classes, pivots(classes, number_of_pivots(n))), "pivot-index")
     found = staged(list_links(list_rows(index), threshold), "pivot-links")
@@ -222,9 +218,15 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     )
     linked = join_hot(rows.select("vec_id", "h1", "h2"), named, ["h1", "h2"], "weight", rows.count())
     component = F.when(F.col("first") < NO_ID, F.col("first"))
-    linked = linked.select("vec_id", F.col("n_links").cast("bigint").alias("n_links"), component.alias("component_id"))
-    alone = others.select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
-    every = linked.unionByName(alone)
+    return linked.select("vec_id", F.col("n_links").cast("bigint").alias("n_links"), component.alias("component_id"))
+
+
+def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(vec_id, n_links, component_id, kept) for every row."""
+    ids = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), id_order("vec_id").alias("__d"), "embedding")
+    every = ids.filter(~usable()).select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
+    for length in lengths(ids.filter(usable())):
+        every = every.unionByName(linked_vectors(ids, length, threshold))
     return every.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 

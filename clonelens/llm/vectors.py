@@ -20,11 +20,9 @@ def as_doubles(column: str = "embedding") -> Column:
     return F.transform(column, lambda x: x.cast("double"))
 
 
-def most_common_length(rows: DataFrame, column: str = "embedding") -> int:
-    """The length most vectors have (the smaller one of a tie), 0 without rows."""
-    found = rows.groupBy(F.size(column).alias("k")).agg(F.count(F.lit(1)).alias("n"))
-    best = found.orderBy(F.desc("n"), "k").first()
-    return best["k"] if best else 0
+def lengths(rows: DataFrame, column: str = "embedding") -> list[int]:
+    """The vector lengths of a table, smallest first: one number per kind of vector."""
+    return sorted(r["k"] for r in rows.select(F.size(column).alias("k")).distinct().collect())
 
 
 def matrix(lists: pa.Array) -> np.ndarray:

@@ -131,3 +131,24 @@ def test_few_candidates_ties_and_unusable_vectors(spark):
     assert ann.nearest(_table(spark, []), F.col("vec_id") % 20 == 0).count() == 0
     huge = ann.nearest(_table(spark, [(20, [3e38] * 8), (1, [3e38] * 8)]), F.col("vec_id") % 20 == 0)
     assert huge.count() == 1
+
+
+def test_every_length_takes_part(spark):
+    """Vectors of a rare length are linked and searched among themselves."""
+    rng = np.random.default_rng(7)
+    usual, rare = rng.standard_normal((60, 8)), rng.standard_normal((20, 4))
+    given = [(i, v.tolist()) for i, v in enumerate(usual)]
+    given += [(100 + i, v.tolist()) for i, v in enumerate(rare)] + [(200 + i, v.tolist()) for i, v in enumerate(rare)]
+    frame = _table(spark, given)
+    rows = {r["vec_id"]: r for r in pv.near_vectors(frame).collect()}
+    assert len(rows) == len(given)
+    near = _links(np.vstack([rare, rare]).astype(np.float32))
+    for at in range(40):
+        row = rows[(100 if at < 20 else 180) + at]
+        assert row["n_links"] == near[at].sum() >= 1 and row["component_id"] <= 100 + at % 20
+    found = ann.nearest(frame, F.col("vec_id") % 100 == 0, k=3).collect()
+    by_query = {q: [r["vec_id"] for r in sorted(found, key=lambda r: r["rank"]) if r["query_id"] == q] for q in (0, 100, 200)}
+    assert all(len(v) == 3 for v in by_query.values())
+    scores = rare.astype(np.float32).astype(float) @ rare.astype(np.float32)[0].astype(float)
+    every = sorted([(-s, 100 + i) for i, s in enumerate(scores) if i] + [(-s, 200 + i) for i, s in enumerate(scores)])
+    assert by_query[100] == [i for _, i in every[:3]] and all(i < 100 for i in by_query[0])
