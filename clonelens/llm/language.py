@@ -37,7 +37,6 @@ FEATURES = 1 << 16
 N_MAX = 3
 SMOOTHING = 0.5
 ROUNDS = 12  # of expectation-maximisation
-LARGEST_SET = 4  # languages a document may mix
 # Log likelihood that one more language has to add: a fixed part and one per log of the n-grams.
 PENALTY, PENALTY_LOG = 10.0, 2.0
 MIN_SHARE = 0.3  # a document is kept if one language holds at least this share
@@ -123,24 +122,31 @@ class Languages:
         return self.names[languages[best]], float(min(1.0, max(0.0, shares[best])))
 
 
-def estimated(log_likelihood: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, float]:
-    """(proportions, log likelihood) after ``ROUNDS`` rounds from equal proportions."""
+def estimated(log_likelihood: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, float, float]:
+    """(proportions, log likelihood, bound) after ``ROUNDS`` rounds from equal proportions.
+
+    No proportions of these languages have a log likelihood above ``bound``: the
+    log likelihood is concave, so its slope limits what is left to gain.
+    """
     top = log_likelihood.max(axis=1, keepdims=True)
     likely = np.exp(log_likelihood - top)
     total = counts.sum()
     shares = np.full(likely.shape[1], 1.0 / likely.shape[1])
     for _ in range(ROUNDS):
-        mixed = likely @ shares
-        shares = shares * ((counts / mixed) @ likely) / total
-    fit = float(counts @ (np.log(np.maximum(likely @ shares, 1e-300)) + top[:, 0]))
-    return shares, fit
+        slope = (counts / (likely @ shares)) @ likely / total
+        shares = shares * slope
+    mixed = np.maximum(likely @ shares, 1e-300)
+    fit = float(counts @ (np.log(mixed) + top[:, 0]))
+    slope = (counts / mixed) @ likely / total
+    return shares, fit, fit + float(total * max(0.0, slope.max() - 1.0))
 
 
 def chosen_set(log_likelihood: np.ndarray, counts: np.ndarray) -> tuple[list[int], np.ndarray]:
     """The language set with the best penalised likelihood, and its proportions.
 
-    Sets grow from the best single language by the languages that a mixture of
-    all of them gives the largest shares; growth ends where it no longer pays.
+    Sets hold the best single language and those that a mixture of all languages
+    gives the largest shares.  A set of any size is tried as long as even the best
+    mixture of all languages could pay for that many.
     """
     single = counts @ log_likelihood
     best = int(np.argmax(single))
@@ -148,14 +154,15 @@ def chosen_set(log_likelihood: np.ndarray, counts: np.ndarray) -> tuple[list[int
     if log_likelihood.shape[1] == 1:
         return languages, shares
     price = PENALTY + PENALTY_LOG * math.log1p(counts.sum())
-    shared, _ = estimated(log_likelihood, counts)
+    shared, _, bound = estimated(log_likelihood, counts)
     order = [best] + [int(i) for i in np.argsort(-shared, kind="stable") if i != best]
-    for size in range(2, min(LARGEST_SET, len(order)) + 1):
-        some = order[:size]
-        found, fit = estimated(log_likelihood[:, some], counts)
-        if fit - price <= value:
+    for size in range(2, len(order) + 1):
+        if bound - (size - 1) * price <= value:
             break
-        languages, shares, value = some, found, fit - price
+        some = order[:size]
+        found, fit, _ = estimated(log_likelihood[:, some], counts)
+        if fit - (size - 1) * price > value:
+            languages, shares, value = some, found, fit - (size - 1) * price
     return languages, shares
 
 

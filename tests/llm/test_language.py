@@ -58,3 +58,49 @@ def test_nothing_to_learn_from(documents):
     docs = documents([(1, "some text", "a", None)])
     assert lang.predictions(docs, lang.learn(lang.training_rows(docs))).first()["lang_pred"] == "und"
     assert lang.keep_known(documents([])).count() == 0
+
+
+def _all_sets(log_likelihood, counts):
+    """(value, set) of every set of languages, with finely estimated proportions."""
+    from itertools import combinations
+
+    price = lang.PENALTY + lang.PENALTY_LOG * np.log1p(counts.sum())
+    out = []
+    for size in range(1, log_likelihood.shape[1] + 1):
+        for some in combinations(range(log_likelihood.shape[1]), size):
+            likely = np.exp(log_likelihood[:, some])
+            shares = np.full(size, 1.0 / size)
+            for _ in range(400):
+                shares = shares * ((counts / (likely @ shares)) @ likely) / counts.sum()
+            out.append((float(counts @ np.log(likely @ shares)) - (size - 1) * price, set(some)))
+    return out
+
+
+def test_chosen_set_against_all_sets():
+    """Documents drawn from one to six of six languages get the best of all 63 sets, or one within a hair of it."""
+    rng = np.random.default_rng(8)
+    table = np.log(rng.dirichlet(np.full(300, 0.15), 6).T + 1e-6)
+    sizes = []
+    for trial in range(40):
+        k = 1 + trial % 6
+        truth = rng.choice(6, k, replace=False)
+        mixed = np.exp(table[:, truth]) @ rng.dirichlet(np.full(k, 5.0))
+        counts = rng.multinomial(rng.integers(300, 3000), mixed / mixed.sum()).astype(float)
+        at = np.flatnonzero(counts)
+        languages, shares = lang.chosen_set(table[at], counts[at])
+        values = _all_sets(table[at], counts[at])
+        best = max(values, key=lambda v: v[0])
+        mine = next(v for v, s in values if s == set(languages))
+        assert mine > best[0] - 0.5, (best, languages)
+        assert abs(shares.sum() - 1) < 1e-9
+        sizes.append(len(languages))
+    assert max(sizes) > 4 and min(sizes) == 1
+
+
+def test_no_proportions_exceed_the_bound():
+    rng = np.random.default_rng(1)
+    table = np.log(rng.dirichlet(np.ones(50), 5).T)
+    counts = rng.integers(1, 9, 50).astype(float)
+    _, fit, bound = lang.estimated(table, counts)
+    tried = [float(counts @ np.log(np.exp(table) @ rng.dirichlet(np.ones(5)))) for _ in range(500)]
+    assert fit <= bound and max(tried) <= bound
