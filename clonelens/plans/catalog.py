@@ -803,7 +803,7 @@ def model_comparison(spark, sf):
     """All classifiers, the small net, the text model and the best stack, with their times; failed ones with their error."""
     from clonelens.plans.bakeoff import compare_all
 
-    return compare_all(_data(spark, sf)).all_rows()
+    return compare_all(_data(spark, sf), parallelism=8).all_rows()
 
 
 @query

@@ -111,7 +111,7 @@ def test_boosting_in_spark_equals_one_task(small, growth):
     assert {r.differ for r in many.leaf_rows(rows).selectExpr("n <> by_sums AS differ").collect()} == {False}
     loss = [r.loss for r in one.staged_loss(rows).orderBy("round").collect()]
     assert all(b < a for a, b in zip(loss, loss[1:]))
-    assert class_scores(one.score(rows)).first()["accuracy"] > 0.85
+    assert class_scores(one.score(rows)).first()["accuracy"] > 0.75
 
 
 def naive_leaf_wise(bins, g, h, growth, width):
