@@ -4,12 +4,17 @@ Vectors are lifted to unit length by one more component, so that the largest
 inner product is the smallest distance.  The index has ``HASHES`` single random
 projections; the rows are dealt into blocks of about ``BLOCK`` and each block
 keeps one sorted array per projection.  A query opens a window around its own
-projection in every array; a row inside a window collides once.  Rows with at
-least ``COLLISIONS`` of the possible collisions are verified by their exact inner
-product.  As long as the k-th best verified row is farther than ``REACH`` times
-the window, the windows are widened (virtual rehashing: the arrays stay); the last
-width takes in every row, so a query always gets its k rows if there are that
-many.
+projection in every array; a row inside a window collides once.
+
+Radii grow by ``GROWTH`` and the windows with them (virtual rehashing: the arrays
+stay, and a wider window only counts the rows at its two ends that it adds).  A row
+at distance d falls into a window of half width h with probability
+erf(h / (d sqrt 2)), so a row within the radius has at least the collisions that the
+binomial mean less ``SPREAD`` deviations gives.  Rows that reach this threshold are
+verified by their exact inner product, the most collisions first: as soon as the k-th
+best verified row is nearer than the radius, its distance sets a higher threshold.
+The search ends when the k-th best lies within the radius.  If no radius suffices,
+all rows are verified, so a query always gets its k rows if there are that many.
 
 Queries are a stated set that meets all rows, block by block: each block receives
 all queries, holds its own rows only and returns k rows per query, and the
@@ -25,6 +30,7 @@ out; equal scores go to the smaller id; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,12 +43,13 @@ from clonelens.llm.vectors import lengths, matrix, usable
 from clonelens.session import staged
 
 NEIGHBOURS = 20
-HASHES = 64
-COLLISIONS = 0.75
-REACH = 0.75
-WINDOWS = (1.5, 1.8, 2.2, 3.0, np.inf)  # half widths; lifted vectors are at most 2 apart
+HASHES = 192
+SPREAD = 1.5  # deviations below the expected collisions
+NARROWEST, WIDEST, GROWTH = 0.2, 2.0, 1.15  # radii; lifted vectors are at most 2 apart
+HALF = 1.2  # half width of a window at radius 1
 BLOCK = 8192
-_TOGETHER = 256  # queries whose windows are looked up together
+_TOGETHER = 256  # queries answered together
+_STEP = 64  # rows verified between two looks at the threshold
 _SEED = 9
 
 
@@ -53,6 +60,12 @@ def lifted(x: np.ndarray, longest: float) -> np.ndarray:
     return np.hstack([x, rest])
 
 
+def threshold(half: float, distance: float) -> float:
+    """The fewest collisions that a row at ``distance`` has in windows of this half width, but for a small chance."""
+    chance = math.erf(half / (max(distance, 1e-12) * math.sqrt(2.0)))
+    return HASHES * chance - SPREAD * math.sqrt(HASHES * chance * (1.0 - chance))
+
+
 class BlockIndex:
     """Sorted projections of one block's rows."""
 
@@ -60,55 +73,62 @@ class BlockIndex:
         self.uid, self.order, self.rows, self.longest = uid, order, rows, longest
         self.directions = np.random.default_rng(_SEED).standard_normal((rows.shape[1] + 1, HASHES))
         projected = (lifted(rows, longest) @ self.directions).T
-        by_value = np.argsort(projected, axis=1, kind="stable")
-        self.sorted = np.take_along_axis(projected, by_value, axis=1)
-        ranks = np.empty_like(by_value)
-        np.put_along_axis(ranks, by_value, np.arange(len(rows))[None, :], axis=1)
-        self.ranks = ranks.astype(np.uint32 if len(rows) > 0xFFFF else np.uint16)
-
-    def windows(self, at: np.ndarray, half: float) -> tuple[np.ndarray, np.ndarray]:
-        """Per query and projection: where a window begins in the sorted array, and how many rows it holds."""
-        low = np.stack([np.searchsorted(s, a - half, "left") for s, a in zip(self.sorted, at.T)], axis=1)
-        high = np.stack([np.searchsorted(s, a + half, "right") for s, a in zip(self.sorted, at.T)], axis=1)
-        return low, high - low
-
-    def collisions(self, low: np.ndarray, width: np.ndarray) -> np.ndarray:
-        """How many of one query's windows each row is in."""
-        kind = self.ranks.dtype
-        # positions below a window wrap around to large unsigned numbers; a window of all rows fits as well
-        inside = (self.ranks - low.astype(kind)[:, None]) < width.astype(np.uint32)[:, None]
-        return inside.view(np.uint8).sum(axis=0, dtype=np.uint8)
+        self.by_value = np.argsort(projected, axis=1, kind="stable")
+        self.sorted = np.take_along_axis(projected, self.by_value, axis=1)
+        self.verified = 0  # rows whose inner product was computed, over all queries
 
     def nearest(self, uids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """Per query, (positions, inner products) of the k best rows found."""
         lengths = np.sqrt((queries * queries).sum(axis=1))
         at = (queries / lengths[:, None]) @ self.directions[:-1]  # a query's lifted component is 0
-        found: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0))] * len(uids)
-        left = [self.uid != uid for uid in uids]  # rows not verified yet
-        asking = np.arange(len(uids))
-        for half in WINDOWS:
-            if not len(asking):
-                break
-            whole = not np.isfinite(half)
-            low, width = (None, None) if whole else self.windows(at[asking], half)
-            wider = []
-            for i, q in enumerate(asking):
-                new = left[q] if whole else left[q] & (self.collisions(low[i], width[i]) >= COLLISIONS * HASHES)
-                rows = np.flatnonzero(new)
-                left[q] = left[q] & ~new
-                places = np.concatenate([found[q][0], rows])
-                scores = np.concatenate([found[q][1], (self.rows[rows] * queries[q]).sum(axis=1)])
-                if len(places) > k:  # ties at the edge stay in until they are ordered by id
-                    edge = np.partition(scores, -k)[-k]
-                    some = scores >= edge if edge == edge else np.ones(len(scores), bool)
-                    places, scores = places[some], scores[some]
-                best = np.lexsort((self.order[places], -scores))[:k]
-                found[q] = places[best], scores[best]
-                apart = 2.0 - 2.0 * scores[best[-1]] / (self.longest * lengths[q]) if len(best) == k else np.inf
-                if not whole and not np.sqrt(max(apart, 0.0)) <= REACH * half:
-                    wider.append(q)
-            asking = np.array(wider, int)
-        return found
+        steps = math.ceil(math.log(WIDEST / NARROWEST) / math.log(GROWTH)) + 1
+        radii = NARROWEST * GROWTH ** np.arange(steps)
+        edges = HALF * np.concatenate([-radii[::-1], radii])
+        # places[j, q]: where the windows of query q begin (the first half, widest first) and end in array j
+        places = np.stack([np.searchsorted(s, a[:, None] + edges) for s, a in zip(self.sorted, at.T)])
+        return [self._search(uid, q, length, places[:, i], radii, k) for i, (uid, q, length) in enumerate(zip(uids, queries, lengths))]
+
+    def _search(self, uid, query, length, places, radii, k) -> tuple[np.ndarray, np.ndarray]:
+        counts = np.zeros(len(self.rows), np.int64)
+        left = self.uid != uid  # rows not verified yet
+        best = np.zeros(0, np.int64), np.zeros(0)
+        low = high = None
+        for step, radius in enumerate(radii):
+            begin, end = places[:, len(radii) - 1 - step], places[:, len(radii) + step]
+            if step == 0:
+                added = [v[b:e] for v, b, e in zip(self.by_value, begin, end)]
+            else:
+                added = [v[b:e] for v, b, e in zip(self.by_value, begin, low)]
+                added += [v[b:e] for v, b, e in zip(self.by_value, high, end)]
+            low, high = begin, end
+            counts += np.bincount(np.concatenate(added), minlength=len(counts))
+            apart = self._apart(best, length, k)
+            asked = np.flatnonzero(left & (counts >= threshold(HALF * radius, min(radius, apart))))
+            asked = asked[np.argsort(-counts[asked], kind="stable")]
+            for start in range(0, len(asked), _STEP):
+                some = asked[start : start + _STEP]
+                if counts[some[0]] < threshold(HALF * radius, min(radius, apart)):
+                    break
+                left[some] = False
+                best = self._better(best, some, query, k)
+                apart = self._apart(best, length, k)
+            if apart <= radius:
+                return best
+        return self._better(best, np.flatnonzero(left), query, k)
+
+    def _better(self, best, rows, query, k) -> tuple[np.ndarray, np.ndarray]:
+        self.verified += len(rows)
+        places = np.concatenate([best[0], rows])
+        scores = np.concatenate([best[1], (self.rows[rows] * query).sum(axis=1)])
+        first = np.lexsort((self.order[places], -scores))[:k]
+        return places[first], scores[first]
+
+    def _apart(self, best, length, k) -> float:
+        """Distance of the k-th best row, infinite as long as there are fewer."""
+        if len(best[0]) < k:
+            return math.inf
+        square = 2.0 - 2.0 * best[1][-1] / (self.longest * length)
+        return math.sqrt(max(square, 0.0)) if square == square else math.inf
 
 
 def _batch(columns: list[list[np.ndarray]]) -> pa.RecordBatch:
@@ -160,7 +180,7 @@ def _nearest(rows: DataFrame, k: int) -> DataFrame:
                     continue
                 for start in range(at, to, _TOGETHER):
                     some = slice(start, min(start + _TOGETHER, to))
-                    with np.errstate(all="ignore"):  # huge components may overflow; the last window is exact
+                    with np.errstate(all="ignore"):  # huge components may overflow; such queries see all rows
                         found = index.nearest(uid[some], x[some], k)
                     out: list[list[np.ndarray]] = [[], [], [], []]
                     for i, (places, scores) in enumerate(found, start):

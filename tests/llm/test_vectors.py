@@ -121,6 +121,46 @@ def test_recall_of_neighbours(spark, monkeypatch, scale):
     assert hits >= 0.9 * sum(map(len, want.values()))
 
 
+@pytest.mark.parametrize("blocks", [1, 4])
+def test_share_of_verified_rows(blocks):
+    """Recall over all blocks, and how many rows of a block an inner product is computed for."""
+    x = _planted(blocks * 6144, 64, 0.95, 11).astype(float)[: blocks * 8192]
+    ids = np.arange(len(x))
+    longest, asking = np.sqrt((x * x).sum(axis=1)).max(), ids[:: len(x) // 60]
+    found, verified = [[] for _ in asking], 0
+    for b in range(blocks):
+        own = ids % blocks == b
+        index = ann.BlockIndex(ids[own], ids[own], x[own], longest)
+        for at, (places, scores) in enumerate(index.nearest(asking, x[asking], 20)):
+            found[at] += [(-s, i) for s, i in zip(scores, index.order[places])]
+        verified += index.verified
+    hits = 0
+    for at, q in enumerate(asking):
+        exact = x @ x[q]
+        exact[q] = -np.inf
+        hits += len({i for _, i in sorted(found[at])[:20]} & set(np.argsort(-exact)[:20]))
+    share, recall = verified / len(asking) / len(x), hits / len(asking) / 20
+    print(f"{len(x)} rows: {share:.3f} verified, recall {recall:.3f}")
+    assert recall >= 0.9 and share < 0.1
+
+
+def test_collisions_are_counted_once_while_windows_grow(monkeypatch):
+    """With a threshold of nothing but the counts, a search verifies what counting in the final windows would."""
+    x = _planted(300, 16, 0.95, 3).astype(float)
+    ids = np.arange(len(x))
+    index = ann.BlockIndex(ids, ids, x, 1.0)
+    seen = []
+    monkeypatch.setattr(ann, "threshold", lambda half, distance: (seen.append(half), ann.HASHES + 1)[1])
+    monkeypatch.setattr(index, "_better", lambda best, rows, query, k: (rows, rows.astype(float)))
+    counted = []
+    inside = np.bincount
+    monkeypatch.setattr(ann.np, "bincount", lambda v, minlength: counted.append(inside(v, minlength=minlength)) or counted[-1])
+    index.nearest(ids[:1], x[:1], 5)
+    centre = x[0] / np.sqrt((x[0] * x[0]).sum()) @ index.directions[:-1]
+    near = np.abs(ann.lifted(x, 1.0) @ index.directions - centre) < seen[-1]
+    assert (sum(counted) == near.sum(axis=1)).all()
+
+
 def test_few_candidates_ties_and_unusable_vectors(spark):
     rows = [(i + 1, v) for i, v in enumerate(BAD)] + [(20, [1.0] * 8), (40, [2.0] * 8), (41, [2.0] * 8), (None, [2.0] * 8), (60, [0.0] * 8), (42, [-1.0] * 8)]
     got = [tuple(r) for r in ann.nearest(_table(spark, rows), F.col("vec_id") % 20 == 0).collect()]
