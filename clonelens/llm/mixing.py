@@ -14,8 +14,9 @@ range partitioned by source and that order, numbered inside their partition, and
 the rows before a partition come from one summary row per partition and source.
 
 Defined cases: a missing text has size 0; a missing source is a source of its own
-that sorts last; repeated rows (same id, text and source) are one unit and share
-the number of copies; sources without words get target 0 and no copies; an
+that sorts last; repeated rows (same id, text and source) are documents of their own
+that stand next to each other, so each row is expected as often as any other; which of
+them carries a copy more is open, and if they differ in other columns the first found does; sources without words get target 0 and no copies; an
 empty table gives no rows.  Columns of the input pass through, whatever their
 names.
 """
@@ -68,24 +69,23 @@ def source_targets(sizes: DataFrame) -> DataFrame:
 
 
 def copies(docs: DataFrame, seed: str = SEED) -> DataFrame:
-    """(doc_id, __d, __t, source, size, __rows, source_size, target, copies), one row per unit."""
+    """(doc_id, __d, __t, source, size, source_size, target, copies), one row per document."""
     spark = docs.sparkSession
     slim = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"), id_order("doc_id").alias("__d"),
         F.xxhash64(whole_text()).alias("__t"), F.col("source").cast("string").alias("source"), _size().alias("size"),
     )
-    units = slim.groupBy("doc_id", "__d", "__t", "source", "size").agg(F.count(F.lit(1)).alias("__rows"))
-    units = staged(units, "mix-units")
+    units = staged(slim.withColumn("__tie", F.monotonically_increasing_id()), "mix-units")
     falls = F.pmod(seeded_hash(seed, F.col("__d")), F.lit(2))
     slope = F.when(falls == 0, F.col("size")).otherwise(-F.col("size"))
-    order = [F.col("source").asc_nulls_last(), falls, slope, F.col("__d"), F.col("__t")]
+    order = [F.col("source").asc_nulls_last(), falls, slope, F.col("__d"), F.col("__t"), F.col("__tie")]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = units.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     # the id holds the partition in its upper bits and the row's place in the lower 33
     numbered = staged(ranged.withColumn("__at", F.monotonically_increasing_id()), "mix-order")
     part = F.shiftright("__at", 33).alias("__part")
     blocks = numbered.groupBy(part, "source").agg(
-        F.min("__at").alias("first"), F.count(F.lit(1)).alias("n"), F.sum(F.col("size") * F.col("__rows")).alias("words")
+        F.min("__at").alias("first"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("words")
     )
     blocks = staged(blocks, "mix-blocks")
     sizes = blocks.groupBy("source").agg(F.sum("words").alias("source_size"))
@@ -107,33 +107,37 @@ def copies(docs: DataFrame, seed: str = SEED) -> DataFrame:
 
     tried = found.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(OFFSETS - 1))))
     sums = tried.groupBy("source", "j").agg(
-        F.sum(taken(F.col("j")) * F.col("size") * F.col("__rows")).alias("words"), F.max("target").alias("target")
+        F.sum(taken(F.col("j")) * F.col("size")).alias("words"), F.max("target").alias("target")
     )
     nearest = F.min(F.struct(F.abs(F.col("words") - F.col("target")), F.col("j"))).getField("j")
     chosen = staged(sums.groupBy("source").agg(nearest.alias("j")).withColumnRenamed("source", "__o"), "mix-offsets")
     placed = found.join(broadcast_if_small(chosen), F.col("source").eqNullSafe(F.col("__o")))
-    return placed.select(
-        "doc_id", "__d", "__t", "source", "size", "__rows", "source_size", "target", taken(F.col("j")).alias("copies")
-    )
+    return placed.select("doc_id", "__d", "__t", "source", "size", "source_size", "target", taken(F.col("j")).alias("copies"))
 
 
 def mix(docs: DataFrame, seed: str = SEED) -> DataFrame:
     """The documents' rows, each as often as the mix takes it."""
-    taken = copies(docs, seed).filter("copies > 0").select("__d", "__t", F.col("source").alias("__s"), "copies")
+    plan = copies(docs, seed).groupBy("__d", "__t", F.col("source").alias("__s"))
+    plan = plan.agg(F.sum("copies").alias("taken"), F.count(F.lit(1)).alias("n"))
+    # repeated rows get the whole part of their share each, one of them the copies left over
+    shares = [F.floor(F.col("taken") / F.col("n")).cast("bigint").alias("each"), (F.col("taken") % F.col("n")).alias("over")]
+    plan = staged(plan.filter("taken > 0").select("__d", "__t", "__s", *shares), "mix-plan")
     rows = docs.select(
         packed_row(docs), id_order("doc_id").alias("__id"), F.xxhash64(whole_text()).alias("__text"),
         F.col("source").cast("string").alias("__source"),
     )
     same = (F.col("__id") == F.col("__d")) & (F.col("__text") == F.col("__t")) & F.col("__source").eqNullSafe(F.col("__s"))
-    met = rows.join(taken, same)
-    return met.select("__row", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))).select("__row.*")
+    met = rows.join(plan, same)
+    several = lambda c: F.explode(F.array_repeat(F.lit(1), F.col(c).cast("int")))
+    over = met.filter("over > 0").dropDuplicates(["__d", "__t", "__s"])
+    out = met.filter("each > 0").select("__row", several("each")).unionByName(over.select("__row", several("over")))
+    return out.select("__row.*")
 
 
 def op1_mixing(spark, sf_dir: str) -> DataFrame:
     """What a mix of all documents with source weights 1, 2, 3, ... takes of each."""
     plan = copies(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    every = plan.withColumn("__n", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__rows"))))
-    return every.select(
+    return plan.select(
         "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies"
     )
 

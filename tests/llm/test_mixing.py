@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter
 
@@ -48,18 +49,31 @@ def test_taken_words_come_near_the_targets(spark):
 
 def test_rows_come_out_as_often_as_planned(documents, odd_documents):
     docs = documents(odd_documents)
-    plan = {}
+    want = Counter()
     for r in mx.copies(docs).collect():
-        plan[(r["doc_id"], r["source"], r["size"])] = r["copies"]
+        want[(r["doc_id"], r["source"], r["size"])] += r["copies"]
     out = mx.mix(docs)
     assert out.schema == docs.schema
     got = Counter((r["doc_id"], r["source"], _words(r["text"])) for r in out.collect())
-    want = Counter()
-    for d, t, s, *_ in odd_documents:
-        want[(d, s, _words(t))] += plan[(d, s, _words(t))]
     assert got == +want
 
 
+def test_a_repeated_row_counts_as_often_as_it_stands_there(documents):
+    rng = random.Random(4)
+    rows = [(i, " ".join(["w"] * rng.randint(50, 400)), "a" if i % 2 else "b") for i in range(400)]
+    rows += [(1000, " ".join(["v"] * 700), "a")] * 151
+    docs = documents(rows)
+    plan = mx.copies(docs).collect()
+    assert len(plan) == len(rows)
+    for source in "ab":
+        own = [r for r in plan if r["source"] == source]
+        assert sum(r["size"] for r in own) == own[0]["source_size"]
+        assert abs(sum(r["copies"] * r["size"] for r in own) - own[0]["target"]) <= 700 and max(r["copies"] for r in own) <= mx.MAX_COPIES
+    repeated = [r["copies"] for r in plan if r["doc_id"] == 1000]
+    assert len(repeated) == 151 and max(repeated) - min(repeated) <= 1
+    assert mx.mix(docs).filter("doc_id = 1000").count() == sum(repeated)
+
+
 def test_reruns_and_other_partitions_agree(documents, odd_documents, spark):
     first = mx.copies(documents(odd_documents)).select("doc_id", "size", "copies").collect()
     before = spark.conf.get("spark.sql.shuffle.partitions")
