@@ -44,9 +44,9 @@ from clonelens.session import staged
 
 NEIGHBOURS = 20
 HASHES = 192
-SPREAD = 1.5  # deviations below the expected collisions
-NARROWEST, WIDEST, GROWTH = 0.2, 2.0, 1.15  # radii; lifted vectors are at most 2 apart
-HALF = 1.2  # half width of a window at radius 1
+SPREAD = 1.4  # deviations below the expected collisions
+NARROWEST, WIDEST, GROWTH = 0.7, 2.0, 1.2  # radii; lifted vectors are at most 2 apart
+HALF = 1.0  # half width of a window at radius 1
 BLOCK = 8192
 _TOGETHER = 256  # queries answered together
 _STEP = 64  # rows verified between two looks at the threshold
