@@ -5,14 +5,16 @@ exact header bytes (WARC and, for responses, HTTP) and the address of the
 payload.  ``payloads`` has one row per distinct payload under its SHA-256; rows
 that share an address are checked to agree in length and SHA-1, so a collision
 fails the write instead of losing bytes.  ``read_archive`` joins both again into
-the original records; ``record`` is the record as it stands in a WARC file.
+the records' columns, ``whole_records`` also rebuilds the bytes of each record and
+measures them again, and ``export_warc`` writes these as gzip WARC files.
 
 Of records with equal payloads of at least ``min_revisit`` bytes, the one with the
 largest page_id is the response, the others are revisits that refer to it.
 
 All of a hot payload's records meet it by ``join_hot``; only addresses move
-there.  The payloads themselves move once, after copies have been merged within
-each task.
+there.  The payloads themselves move twice: to their address, after copies have been
+merged within each task, and to the responses that hold them, where the rows of a
+hot address are salted.  Revisits fetch no payload.
 
 Defined cases: missing html is an empty payload; a missing url is written as
 ``urn:unknown``, line ends in a url are percent-encoded; rows without a page_id
@@ -28,6 +30,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clonelens.functions.skew import salted_join
 from clonelens.llm.common import join_hot, table
 from clonelens.session import staged, staging_root
 
@@ -86,19 +89,20 @@ def _field(name: str) -> Column:
     return F.regexp_extract("warc", rf"(?md)^{name}: ([^\r\n]*)\r$", 1)
 
 
+def _holds(condition: Column, message: str) -> Column:
+    """A filter that keeps every row and fails the job where the condition does not hold."""
+    return F.coalesce(F.assert_true(condition, message).isNull(), F.lit(True))
+
+
 def _number(name: str) -> Column:
     found = F.regexp_extract(_field(name), rf"^<{_RECORD_ID}(-?\d+)>$", 1)
     return F.when(found != "", found.cast("bigint"))
 
 
-def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record, parsed from its header and joined with its payload.
-
-    ``payload_bytes`` and ``payload_digest`` are measured on the stored bytes and
-    must agree with the digest in the header.  ``record`` holds the bytes of the
-    WARC record: a response's payload follows its header, a revisit has none.
-    """
+def _archived(spark: SparkSession, path: str) -> DataFrame:
+    """``read_archive`` with ``__row``, a number of the stored header row to salt by."""
     headers = spark.read.schema("address string, header binary").parquet(f"{path}/headers")
+    headers = headers.withColumn("__row", F.monotonically_increasing_id())
     payloads = spark.read.schema("address string, payload binary").parquet(f"{path}/payloads")
     uses = headers.groupBy("address").agg(F.count(F.lit(1)).alias("n"))
     stored = payloads.select(
@@ -109,30 +113,61 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     parsed = parsed.withColumn("warc", F.concat("warc", F.lit("\r\n")))
     total = headers.count()
     met = join_hot(parsed, stored, ["address"], "n", total)
-    digest = F.regexp_extract(_field("WARC-Payload-Digest"), r"^sha1:([0-9a-f]{40})$", 1)
-    sound = F.assert_true(digest == F.col("payload_digest"), "a payload differs from its digest")
-    met = met.filter(F.coalesce(sound.isNull(), F.lit(True)))
+    met = met.filter(_holds(F.regexp_extract(_field("WARC-Payload-Digest"), r"^sha1:([0-9a-f]{40})$", 1) == F.col("payload_digest"), "a payload differs from its digest"))
     return met.select(
         _number("WARC-Record-ID").alias("page_id"), "payload_bytes", "payload_digest",
         _field("WARC-Type").alias("record_type"), _number("WARC-Refers-To").alias("refers_to"),
-        _field("WARC-Target-URI").alias("url"), "address", "header",
+        _field("WARC-Target-URI").alias("url"), "address", "header", "__row",
     )
 
 
+def read_archive(spark: SparkSession, path: str) -> DataFrame:
+    """One row per record, parsed from its header and joined with its payload's measures.
+
+    ``payload_bytes`` and ``payload_digest`` are measured on the stored bytes and
+    must agree with the digest in the header.
+    """
+    return _archived(spark, path).drop("__row")
+
+
 def whole_records(spark: SparkSession, path: str) -> DataFrame:
-    """``read_archive`` with ``record``, the bytes of each WARC record."""
-    records = read_archive(spark, path)
+    """``read_archive`` with ``record``, the bytes of each WARC record.
+
+    A response's payload follows its header, a revisit has none.  For responses
+    ``payload_bytes`` and ``payload_digest`` are measured on the payload's place
+    in the rebuilt record and must agree with the stored ones.
+    """
+    rows = _archived(spark, path)
     payloads = spark.read.schema("address string, payload binary").parquet(f"{path}/payloads")
-    body = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit(b""))
-    whole = F.concat(F.col("header"), body, F.lit(_END.encode()))
-    return records.join(payloads, "address").withColumn("record", whole).drop("payload")
+    end = F.lit(_END.encode())
+    full = salted_join(rows.filter("record_type = 'response'"), payloads, "address", "__row")
+    full = full.withColumn("record", F.concat("header", "payload", end)).drop("payload")
+    start = F.octet_length("header")
+    inside = F.substring("record", start + 1, F.octet_length("record") - start - len(_END))
+    full = full.withColumns({"__bytes": F.octet_length(inside).cast("bigint"), "__digest": F.sha1(inside)})
+    same = (F.col("__bytes") == F.col("payload_bytes")) & (F.col("__digest") == F.col("payload_digest"))
+    full = full.filter(_holds(same, "a record differs from its payload"))
+    full = full.withColumns({"payload_bytes": F.col("__bytes"), "payload_digest": F.col("__digest")}).drop("__bytes", "__digest")
+    bare = rows.filter("record_type <> 'response'").withColumn("record", F.concat("header", end))
+    return full.unionByName(bare.select(*full.columns)).drop("__row")
+
+
+def export_warc(spark: SparkSession, path: str, out: str) -> None:
+    """Write the archive's records as gzip WARC files, one per partition.
+
+    The blank lines that end a record are the writer's line separator, so a file
+    is the records' bytes one after another.  Payloads are UTF-8, as ``write_archive`` makes them.
+    """
+    record = F.decode(F.substring("record", F.lit(1), F.octet_length("record") - len(_END)), "UTF-8")
+    lines = whole_records(spark, path).select(record.alias("value"))
+    lines.write.option("compression", "gzip").option("lineSep", _END).text(out)
 
 
 def op10_warc(spark, sf_dir: str) -> DataFrame:
-    """All pages written to an archive and read back."""
+    """All pages written to an archive, read back and rebuilt as whole records."""
     path = f"{staging_root(spark)}/archive-{uuid.uuid4().hex}"
     write_archive(table(spark, sf_dir, "pages"), path)
-    return read_archive(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return whole_records(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 OP10_SQL = f"""

@@ -1,7 +1,9 @@
+import gzip
 import hashlib
 
 import pytest
 from compare import connect, differences
+from pyspark.sql import functions as F
 
 from clonelens.llm import warc
 
@@ -58,10 +60,33 @@ def test_records_are_whole(spark, archive):
             assert block.partition(b"\r\n\r\n")[2] == (by_id[r["page_id"]][2] or "").encode()
 
 
+def test_exported_files_hold_the_records(spark, archive, tmp_path):
+    warc.export_warc(spark, archive, str(tmp_path / "out"))
+    found = []
+    for file in (tmp_path / "out").glob("part-*.gz"):
+        data = gzip.decompress(file.read_bytes())
+        while data:  # read the file by the lengths in its headers
+            head, _, rest = data.partition(b"\r\n\r\n")
+            length = int(dict(line.split(b": ", 1) for line in head.split(b"\r\n")[1:])[b"Content-Length"])
+            assert rest[length : length + 4] == b"\r\n\r\n"
+            found.append(head + b"\r\n\r\n" + rest[: length + 4])
+            data = rest[length + 4 :]
+    assert sorted(found) == sorted(bytes(r["record"]) for r in warc.whole_records(spark, archive).collect())
+
+
+def test_changed_payload_is_noticed(spark, archive, tmp_path):
+    changed = F.when(F.octet_length("payload") > 1000, F.encode(F.lit("other"), "UTF-8")).otherwise(F.col("payload"))
+    spark.read.parquet(f"{archive}/headers").write.parquet(str(tmp_path / "bad/headers"))
+    spark.read.parquet(f"{archive}/payloads").withColumn("payload", changed).write.parquet(str(tmp_path / "bad/payloads"))
+    with pytest.raises(Exception, match="differs"):
+        warc.whole_records(spark, str(tmp_path / "bad")).collect()
+
+
 def test_empty_table(spark, tmp_path):
     empty = spark.createDataFrame([], "page_id bigint, url string, html string")
     warc.write_archive(empty, str(tmp_path / "none"))
     assert warc.read_archive(spark, str(tmp_path / "none")).count() == 0
+    assert warc.whole_records(spark, str(tmp_path / "none")).count() == 0
 
 
 def test_query_equals_sql(spark):
