@@ -8,17 +8,19 @@ changes a record's slot.  Everything is DataFrame expressions; the map has
 exactly ``slots`` rows, which bounds what is gathered and broadcast.
 
 Defined cases: a missing text counts as empty (8 bytes, CRC 0); rows without
-an id are hashed by their text; repeated rows share a slot; an empty table
+an id are hashed by their text; repeated rows share a slot, unless their id (or
+text, without an id) holds more than 1/``HOT_SHARE`` of all rows: those are spread over all
+slots by their place in the table, anew whenever the table is dealt; an empty table
 gives no rows and a map that deals the empty slots in turn.  Other columns of the
 input are not touched.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from clonelens.llm.common import packed_row, table
+from clonelens.llm.common import HOT_SHARE, packed_row, table
 from clonelens.session import staged
 
 SLOTS = 4096
@@ -26,10 +28,22 @@ SHARDS = 24
 RECORD_OVERHEAD = 8
 
 
-def virtual_slot(slots: int = SLOTS) -> Column:
-    key = F.coalesce(F.xxhash64(F.col("doc_id").cast("bigint")), F.lit(0).cast("bigint"))
+def _key() -> Column:
     by_text = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    return F.pmod(F.when(F.col("doc_id").isNull(), by_text).otherwise(key), F.lit(slots)).cast("int")
+    return F.when(F.col("doc_id").isNull(), by_text).otherwise(F.xxhash64(F.col("doc_id").cast("bigint")))
+
+
+def with_slot(rows: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """``rows`` with ``virtual_slot`` instead of their ``__key`` and ``__nth``.
+
+    Rows of one key share a slot; a hot key (at most ``HOT_SHARE`` keys, so the
+    list can be broadcast) is spread by ``__nth``.  ``rows`` is read three times.
+    """
+    counts = rows.groupBy("__key").agg(F.count(F.lit(1)).alias("n"))
+    hot = counts.filter((F.col("n") > 1) & (F.col("n") * F.lit(HOT_SHARE) > F.lit(rows.count())))
+    marked = rows.join(F.broadcast(hot.select("__key", F.lit(True).alias("__hot"))), "__key", "left")
+    at = F.when(F.col("__hot"), F.xxhash64("__key", "__nth")).otherwise(F.col("__key"))
+    return marked.withColumn("virtual_slot", F.pmod(at, F.lit(slots)).cast("int")).drop("__key", "__nth", "__hot")
 
 
 def record_size() -> Column:
@@ -38,12 +52,14 @@ def record_size() -> Column:
 
 def records(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     """(doc_id, size, text_crc32, virtual_slot): the text itself is not kept."""
-    return docs.select(
+    slim = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"),
         record_size().alias("size"),
         F.crc32(F.coalesce(F.col("text"), F.lit(""))).cast("bigint").alias("text_crc32"),
-        virtual_slot(slots).alias("virtual_slot"),
+        _key().alias("__key"),
+        F.monotonically_increasing_id().alias("__nth"),
     )
+    return with_slot(staged(slim, "shard-keys"), slots)
 
 
 def slot_totals(rows: DataFrame, slots: int = SLOTS) -> DataFrame:
@@ -159,12 +175,25 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS) -
 
 def write_shards(docs: DataFrame, slot_map: DataFrame, path: str, slots: int = SLOTS) -> None:
     """Write the whole documents as Parquet, one folder ``shard=N`` per shard."""
-    rows = docs.select(packed_row(docs), virtual_slot(slots).alias("__slot"))
-    where = slot_map.select(F.col("virtual_slot").alias("__slot"), F.col("shard").alias("__shard"))
-    placed = rows.join(F.broadcast(where), "__slot").repartition("__slot")
+    rows = with_slot(docs.select(packed_row(docs), _key().alias("__key"), F.monotonically_increasing_id().alias("__nth")), slots)
+    where = slot_map.select("virtual_slot", F.col("shard").alias("__shard"))
+    placed = rows.join(F.broadcast(where), "virtual_slot").repartition("virtual_slot")
     placed.select("__row.*", F.col("__shard").alias("shard")).write.partitionBy("shard").parquet(path)
 
 
+def save_map(slot_map: DataFrame, path: str) -> None:
+    """Add a map's version to the maps stored under ``path``; a stored version cannot be written again."""
+    version = slot_map.agg(F.max("version")).first()[0]
+    slot_map.select("virtual_slot", "shard").write.parquet(f"{path}/version={version}")
+
+
+def load_map(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """(version, virtual_slot, shard): a stored map by its number, the latest if none is given."""
+    stored = spark.read.schema("virtual_slot int, shard int, version int").parquet(path)
+    number = version if version is not None else stored.agg(F.max("version")).first()[0]
+    return stored.filter(F.col("version") == F.lit(number)).select("version", "virtual_slot", "shard")
+
+
 def op7_sharding(spark, sf_dir: str) -> DataFrame:
     """All documents in 24 shards of nearly equal bytes."""
     placed, _ = shard_documents(table(spark, sf_dir, "documents"))

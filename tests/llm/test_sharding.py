@@ -1,5 +1,6 @@
 import zlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from clonelens.llm import sharding as sh
@@ -63,6 +64,28 @@ def test_shards_on_disk_hold_all_rows(documents, odd_documents, spark, tmp_path)
     assert sorted(map(key, back.select(docs.columns).collect())) == sorted(map(key, docs.collect()))
 
 
+def test_repeated_id_keeps_bytes_equal(documents):
+    rows = [(i, f"text {i} " * 5, "en", "s") for i in range(4000)] + [(7, "same text " * 4, "en", "s")] * 2000
+    rows += [(None, "no id " * 6, "en", "s")] * 2000
+    placed, _ = sh.shard_documents(documents(rows), shards=6)
+    loads = [r["b"] for r in placed.groupBy("shard").agg(F.sum("size").alias("b")).collect()]
+    assert placed.count() == 8000 and len(loads) == 6 and max(loads) < 1.01 * min(loads)
+
+
+def test_map_versions_are_loaded_by_number(spark, tmp_path):
+    totals = spark.createDataFrame([(i, 1, 100 + i % 13) for i in range(64)], "virtual_slot int, n_rows bigint, n_bytes bigint")
+    path = str(tmp_path / "maps")
+    first = staged(sh.first_map(totals, 4), "first")
+    sh.save_map(first, path)
+    second = staged(sh.rebalanced_map(sh.load_map(spark, path), totals, 5), "second")
+    sh.save_map(second, path)
+    rows = lambda m: sorted((r["version"], r["virtual_slot"], r["shard"]) for r in m.collect())
+    assert rows(sh.load_map(spark, path, 1)) == rows(first)
+    assert rows(sh.load_map(spark, path)) == rows(second)
+    with pytest.raises(Exception, match="exist"):
+        sh.save_map(first, path)
+
+
 def test_empty_table(documents):
     placed, slot_map = sh.shard_documents(documents([]), shards=3, slots=64)
     assert placed.count() == 0
