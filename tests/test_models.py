@@ -124,6 +124,29 @@ def test_nearest_neighbours_equal_brute_force(spark):
         assert [near[i][k] for k in range(1, 6)] == want
 
 
+def test_neighbours_far_from_the_origin_stay_exact(spark):
+    """The matrix product that selects candidates rounds; what it selects is computed anew."""
+    x, _, df = _clustered(spark)
+    moved = df.withColumn("x", F.transform("x", lambda v: v + 1e5))
+    x = x + 1e5
+    got = nearest_neighbours(moved.filter("row_id % 7 = 0"), moved, 5, block_rows=16).collect()
+    gaps = np.round(np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1)), 9)
+    found = {(r["row_id"], r["rank"]): (r["distance"], r["neighbour_id"]) for r in got}
+    for i in range(0, len(x), 7):
+        want = sorted((gaps[i, j], j) for j in range(len(x)))[:5]
+        assert [found[i, k] for k in range(1, 6)] == want
+
+
+def test_groups_of_queries_are_bounded():
+    """Neighbouring small cells share a group, a large cell has several: points are not sent once per cell."""
+    from clonelens.operators.neighbours import _Cells, _groups
+
+    pivots = np.arange(10.0)[:, None]
+    counts = {c: 10 for c in range(9)} | {9: 95}
+    groups = _groups(_Cells(None, counts, {}), pivots, 40)
+    assert groups[9] == (3, 3) and sorted({groups[c] for c in range(9)}) == [(0, 1), (1, 1), (2, 1)]
+
+
 def test_fewer_points_than_k(spark):
     _, _, df = _clustered(spark, 9)
     got = nearest_neighbours(df, df.filter("row_id < 2"), 5).groupBy("row_id").count().collect()
