@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from clonelens.models.boosted_trees import BoostedTrees, Growth, Tree, binned, gradients, grown, histograms
 from clonelens.models.boosting import AdaBoost
@@ -191,3 +192,19 @@ def test_adaboost_stops_at_a_perfect_stump(spark):
     rows = spark.createDataFrame([(i, int(i > 4), [float(i), 0.0]) for i in range(10)], ROWS)
     (stump,) = AdaBoost().fit(rows).stumps
     assert (stump.feature, stump.cut, stump.left, stump.right) == (0, 4.5, 0, 1)
+
+
+def test_repeated_rows_are_boosted_as_one(spark, monkeypatch):
+    """Equal rows are merged with a count, so that the trees are those of all rows and the work that of the distinct ones."""
+    rng = np.random.default_rng(11)
+    x = rng.integers(0, 6, (40, 3)).astype(float)
+    rows = [(i, int(x[i % 40, 0] + x[i % 40, 1] > 5), x[i % 40].tolist()) for i in range(400)]
+    df = spark.createDataFrame(rows, "row_id bigint, label bigint, x array<double>")
+    sizes = []
+    one_task = BoostedTrees._in_one_task
+    monkeypatch.setattr(BoostedTrees, "_in_one_task", lambda self, some, size: sizes.append(some.count()) or one_task(self, some, size))
+    few = BoostedTrees(trees=5).fit(df)
+    assert sizes and sizes[0] <= 40
+    monkeypatch.setattr(BoostedTrees, "_merged", staticmethod(lambda some, total: (some.withColumn("n", F.lit(1.0)), total)))
+    many = BoostedTrees(trees=5).fit(df)
+    assert [(t.feature, t.bin, t.value, t.rows) for t in few.trees] == [(t.feature, t.bin, t.value, t.rows) for t in many.trees]
