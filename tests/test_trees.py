@@ -208,3 +208,31 @@ def test_repeated_rows_are_boosted_as_one(spark, monkeypatch):
     monkeypatch.setattr(BoostedTrees, "_merged", staticmethod(lambda some, total: (some.withColumn("n", F.lit(1.0)), total)))
     many = BoostedTrees(trees=5).fit(df)
     assert [(t.feature, t.bin, t.value, t.rows) for t in few.trees] == [(t.feature, t.bin, t.value, t.rows) for t in many.trees]
+
+
+def test_rows_are_dealt_to_trees_in_small_pieces():
+    """A row may go to every tree's job, so a whole Arrow batch at once could become a hundred of them."""
+    import pyarrow as pa
+
+    from clonelens.models.extra_trees import _DEALT, _slices
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000))], names=["at"])
+    pieces = list(_slices([batch, batch.slice(0, 0)]))
+    assert max(p.num_rows for p in pieces) <= _DEALT
+    assert [v for p in pieces for v in p.column("at").to_pylist()] == list(range(1000))
+
+
+def test_tree_code_ships_without_the_package(tmp_path):
+    """Tasks can unpickle a model where the package is not installed."""
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    from clonelens import ship_worker_code
+
+    ship_worker_code()
+    (tmp_path / "model").write_bytes(cloudpickle.dumps(random_forest(trees=1)))
+    load = "import pickle; pickle.load(open('model', 'rb'))"
+    done = subprocess.run([sys.executable, "-c", load], cwd=tmp_path, env={"PATH": ""}, capture_output=True, timeout=60, check=False)
+    assert done.returncode == 0, done.stderr.decode()[-300:]
