@@ -44,7 +44,8 @@ _BITS = 10  # bits of a curve coordinate
 _BUCKETS = 1024
 _SEED = 6
 _CACHED = 1_000_000
-_TOGETHER = 256  # new words tokenized in one call
+_TOGETHER = 2048  # new words tokenized in one call
+_WAITING = 20_000  # new words collected over several texts before they are tokenized
 _LETTERS = re.compile(rb"([a-z]*)([!-&(-/:-@\[-`{-~]*)")  # ASCII letters, then signs but no apostrophe
 
 
@@ -84,7 +85,8 @@ class WordTokenizer:
         starts = np.concatenate([[0], cuts[:-1]])
         if len(cuts) != len(words) or cuts[-1] != len(found):
             raise ValueError("the tokenizer does not end words as expected")
-        return {w: found[a : b - skip].tobytes() for w, a, b in zip(words, starts.tolist(), cuts.tolist())}
+        data, size = found.tobytes(), found.itemsize
+        return {w: data[a:b] for w, a, b in zip(words, (starts * size).tolist(), ((cuts - skip) * size).tolist())}
 
     def _runs(self, words: list[bytes]) -> dict[bytes, bytes]:
         ids = self.plain.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids
@@ -98,15 +100,16 @@ class WordTokenizer:
         known = self.known
         split: dict[bytes, list[bytes]] = {}
         others, singles = [], []
-        for w in words:
+        letters = {w for w in words if w.isalpha()}  # bytes: a-z only, so one run each
+        for w in words - letters:
             match = _LETTERS.fullmatch(w)
             if match:
                 split[w] = [run for run in match.groups() if run]
-            elif len(self.zero) == 1 and not any(c.isnumeric() for c in w.decode()):
+            elif len(self.zero) == 1 and not _has_number(w.decode()):
                 others.append(w)
             else:
                 singles.append(w)
-        runs = [r for r in {r for some in split.values() for r in some} if r not in known]
+        runs = [r for r in letters.union(*split.values()) if r not in known]
         for some, encode in ((runs, self._runs), (others, self._others)):
             for at in range(0, len(some), _TOGETHER):
                 known.update(encode(some[at : at + _TOGETHER]))
@@ -115,6 +118,17 @@ class WordTokenizer:
         for w, some in split.items():
             known[w] = b"".join([known[r] for r in some])
 
+    def learn(self, texts: list[bytes]) -> None:
+        """Tokenize the new words of several texts together."""
+        new: set[bytes] = set()
+        for i, data in enumerate(texts):
+            new.update(set(data.lower().split()).difference(self.known))
+            if new and (len(new) >= _WAITING or i == len(texts) - 1):
+                if len(self.known) > _CACHED:
+                    self.known.clear()
+                self._learn(new)
+                new = set()
+
     def ids(self, data: bytes) -> bytes:
         low = data.lower()  # ASCII only; the tokenizer lower-cases everything anyway
         if any(name in low for name in self.special):
@@ -132,6 +146,13 @@ class WordTokenizer:
         return b"".join([known[w] for w in words])
 
 
+def _has_number(word: str) -> bool:
+    """Whether a character counts as a number anywhere in Unicode."""
+    if word.isalpha() and max(word) < "\u0250":  # Latin letters
+        return False
+    return any(c.isnumeric() for c in word)
+
+
 def suits(definition: str) -> bool:
     """Whether a tokenizer's JSON has the parts that ``WordTokenizer`` relies on."""
     parts = json.loads(definition)
@@ -149,6 +170,9 @@ class WholeTokenizer:
         self.full = Tokenizer.from_str(definition)
         self.width = width
 
+    def learn(self, texts: list[bytes]) -> None:
+        """Nothing to prepare."""
+
     def ids(self, data: bytes) -> bytes:
         return np.array(self.full.encode(data.decode(), add_special_tokens=False).ids, self.width).tobytes()
 
@@ -218,8 +242,10 @@ def tokenized(docs: DataFrame, definition: str, end_id: int = END_ID) -> DataFra
             texts = batch.column("text").cast(pa.binary())
             for at in range(0, batch.num_rows, 256):
                 every, projected = [], []
-                for text in texts[at : at + 256]:
-                    data = tokenizer.ids(text.as_py()) + end
+                some = texts[at : at + 256].to_pylist()
+                tokenizer.learn(some)
+                for text in some:
+                    data = tokenizer.ids(text) + end
                     counts = np.bincount(np.frombuffer(data, width) % _BUCKETS, minlength=_BUCKETS)
                     projected.append(counts @ directions / np.sqrt(counts @ counts))
                     every.append(data)

@@ -85,3 +85,16 @@ def test_repeated_rows_are_packed_repeatedly(documents, definition):
 
 def test_empty_table(documents, definition):
     assert p.pack(documents([]), definition).count() == 0
+
+
+def test_new_words_of_several_texts_are_tokenized_together(monkeypatch):
+    """A call per text with a new word cost more than the words; the ids stay those of the library."""
+    definition = p.default_tokenizer()
+    words, whole = p.WordTokenizer(definition, "<u4"), p.WholeTokenizer(definition, "<u4")
+    calls = []
+    learn = words._learn
+    monkeypatch.setattr(words, "_learn", lambda new: calls.append(len(new)) or learn(new))
+    texts = [f"word{i} na\u00efve-{i} \u4e00\u4e8c x{'y' * (i % 7)}! it's \u00bd".encode() for i in range(100)]
+    words.learn(texts)
+    assert [words.ids(t) for t in texts] == [whole.ids(t) for t in texts]
+    assert len(calls) == 1
