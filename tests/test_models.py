@@ -341,3 +341,12 @@ def test_the_net_handles_a_large_batch_in_steps():
     pieces = list(_steps([batch, batch.slice(0, 0)]))
     assert max(p.num_rows for p in pieces) <= STEP
     assert [v for p in pieces for v in p.column("at").to_pylist()] == list(range(5000))
+
+
+def test_quadratic_scores_far_from_the_origin(spark):
+    """The densities' large terms do not cancel out."""
+    mean = np.full(2, 1e7)
+    fitted = moments.FittedQda((np.eye(2), mean, 0.0), (np.eye(2) * 2.0, mean + 1.0, 0.0))
+    df = spark.createDataFrame([(1, 0, [1e7 + 0.5, 1e7 + 0.25])], "row_id bigint, label bigint, x array<double>")
+    margin = -(0.5**2 + 0.75**2) + 0.5 * (0.5**2 + 0.25**2)
+    assert fitted.score(df).first()["score"] == pytest.approx(1.0 / (1.0 + np.exp(-margin)), abs=1e-9)
