@@ -345,8 +345,9 @@ def test_the_net_handles_a_large_batch_in_steps():
 
 def test_quadratic_scores_far_from_the_origin(spark):
     """The densities' large terms do not cancel out."""
-    mean = np.full(2, 1e7)
+    mean = np.array([1e7 + 0.1, 3e7 + 0.7])
     fitted = moments.FittedQda((np.eye(2), mean, 0.0), (np.eye(2) * 2.0, mean + 1.0, 0.0))
-    df = spark.createDataFrame([(1, 0, [1e7 + 0.5, 1e7 + 0.25])], "row_id bigint, label bigint, x array<double>")
-    margin = -(0.5**2 + 0.75**2) + 0.5 * (0.5**2 + 0.25**2)
-    assert fitted.score(df).first()["score"] == pytest.approx(1.0 / (1.0 + np.exp(-margin)), abs=1e-9)
+    x = mean + np.array([0.3, 0.15])
+    df = spark.createDataFrame([(1, 0, x.tolist())], "row_id bigint, label bigint, x array<double>")
+    margin = -((x - mean - 1.0) ** 2).sum() + 0.5 * ((x - mean) ** 2).sum()
+    assert fitted.score(df).first()["score"] == pytest.approx(1.0 / (1.0 + np.exp(-margin)), abs=1e-6)
