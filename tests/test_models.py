@@ -11,7 +11,7 @@ from clonelens.operators import stacking
 from clonelens.operators.evaluate import all_scores, class_scores, roc_auc, roc_points, trapezoid_area
 from clonelens.operators.leaderboard import feature_importance
 from clonelens.operators.neighbours import nearest_neighbours
-from clonelens.operators.prepare import standard_scale, stratified_split, vector_columns
+from clonelens.operators.prepare import kfold, standard_scale, stratified_split, vector_columns
 from clonelens.plans import bakeoff, experiments
 from clonelens.session import staged
 from clonelens.sources.synthetic import synthetic
@@ -295,6 +295,29 @@ def test_cross_validation_and_learning_curve(data):
     assert len(curve) == 10 and curve.groupby("fold")["size"].apply(lambda s: s.is_monotonic_increasing).all()
 
 
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_many_fits_leave_no_common_plan(data):
+    """Every fit's scores are finished on their own: the result does not run the models again."""
+    curve = experiments.learning_curve(data[0], ["LDA"], folds=2)
+    folds = experiments.cross_validated_f1(data[0], ["LDA"], folds=2)
+    assert "Union" not in _plan(curve) and "Union" not in _plan(folds)
+    for scores in (
+        stacking.out_of_fold_scores(data[0], ["DecisionTree"], make, folds=2),
+        stacking.refit_scores(data[0], data[1], ["DecisionTree"], make),
+    ):
+        assert "InArrow" not in _plan(scores)
+
+
+def test_staged_folds_are_read_apart(data):
+    folded = staged(kfold(data[0]), "folded", by=["fold"])
+    assert folded.columns == [*data[0].columns, "fold"] and folded.count() == data[0].count()
+    one = folded.filter("fold = 2")
+    assert "PartitionFilters: [isnotnull(fold" in one._jdf.queryExecution().executedPlan().toString()
+
+
 class _Broken:
     def fit(self, train):
         raise ValueError("cannot fit")

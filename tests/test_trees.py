@@ -4,9 +4,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from clonelens.models import exact_trees
 from clonelens.models.boosted_trees import BoostedTrees, Growth, Tree, binned, gradients, grown, histograms
 from clonelens.models.boosting import AdaBoost
-from clonelens.models.exact_trees import ExactSubtree, best_cuts, bootstrap_weights, decision_tree, random_forest
+from clonelens.models.exact_trees import ExactSubtree, Ranks, best_cuts, bootstrap_weights, decision_tree, random_forest
 from clonelens.models.registry import LEVEL_WISE
 from clonelens.operators.evaluate import class_scores
 
@@ -236,3 +237,17 @@ def test_tree_code_ships_without_the_package(tmp_path):
     load = "import pickle; pickle.load(open('model', 'rb'))"
     done = subprocess.run([sys.executable, "-c", load], cwd=tmp_path, env={"PATH": ""}, capture_output=True, timeout=60, check=False)
     assert done.returncode == 0, done.stderr.decode()[-300:]
+
+
+def test_counted_and_sorted_values_give_the_same_tree():
+    rng = np.random.default_rng(5)
+    x = np.column_stack([rng.integers(0, 9, 600), rng.normal(size=600), rng.integers(0, 90, 600)]).astype(float)
+    label, weight = (x[:, 1] + rng.normal(size=600) > 0).astype(int), rng.integers(0, 4, 600).astype(float)
+    ranks = Ranks.of(x)
+    trees = []
+    for cells in (0, 1 << 20):  # always sorted, always counted
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(exact_trees, "_CELLS", cells)
+            trees.append(ExactSubtree(x, label, weight, (3,), 50, 2, ranks))
+    a, b = trees
+    assert len(a.feature) > 100 and (a.feature, a.cut, a.left, a.share) == (b.feature, b.cut, b.left, b.share)
