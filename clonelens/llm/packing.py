@@ -26,15 +26,17 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from clonelens.functions.skew import broadcast_if_small
-from clonelens.llm.common import NO_ID, id_order, small_batches, table, whole_text
+from clonelens.llm.common import NO_ID, TEXT_BATCH, id_order, small_batches, table, whole_text
 from clonelens.session import staged
 
 CAPACITY = 4096
@@ -45,17 +47,22 @@ _BUCKETS = 1024
 _SEED = 6
 _CACHED = 1_000_000
 _TOGETHER = 2048  # new words tokenized in one call
-_WAITING = 20_000  # new words collected over several texts before they are tokenized
-_LETTERS = re.compile(rb"([a-z]*)([!-&(-/:-@\[-`{-~]*)")  # ASCII letters, then signs but no apostrophe
+_SIGNS = r"([!-&(-/:-@\[-`{-~]*)"  # no apostrophe, which may begin a word of its own
+_LETTERS = re.compile(f"([a-z]*){_SIGNS}".encode())
+# Latin letters that are composed already and have one lower-case letter (the dotted capital i has two)
+_LATIN = re.compile(f"([a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]*){_SIGNS}")
+# the letters that stand for the bytes of UTF-8 beyond ASCII in such vocabularies
+_AS_LETTERS = {b: 0x100 + (67 if b == 0xAD else b - 94) for b in (*range(0x80, 0xA1), 0xAD)}
 
 
 class WordTokenizer:
     """Ids of whole texts from a word-end BPE tokenizer, one library call per batch of new words.
 
     ``definition`` is the tokenizer's JSON.  Texts are cut at ASCII white space.
-    A new word of ASCII letters and signs is passed on as its runs, which are what
-    the tokenizer's own splitting yields; runs go through the library together,
-    without the slow Unicode steps that would not change them.  All other words go
+    A new word of Latin letters followed by ASCII signs is passed on as its lower-case
+    runs, which are what the tokenizer's own splitting yields; runs go through the library
+    together, their bytes as letters, without the slow Unicode steps that would not change
+    them.  All other words go
     through the whole tokenizer, separated by a digit that they do not hold.  A text
     that holds the name of a special token goes through the library as it is.
     """
@@ -70,7 +77,7 @@ class WordTokenizer:
         self.plain.normalizer = normalizers.Sequence([])
         self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.exact = WholeTokenizer(definition, width)
-        self.special = [t.content.lower().encode() for t in self.full.get_added_tokens_decoder().values()]
+        self.special = [t.content.lower() for t in self.full.get_added_tokens_decoder().values()]
         self.width = width
         vocabulary = self.full.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -89,7 +96,10 @@ class WordTokenizer:
         return {w: data[a:b] for w, a, b in zip(words, (starts * size).tolist(), ((cuts - skip) * size).tolist())}
 
     def _runs(self, words: list[bytes]) -> dict[bytes, bytes]:
-        ids = self.plain.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids
+        text = b" ".join(words).decode("latin-1")
+        if not text.isascii():
+            text = text.translate(_AS_LETTERS)
+        ids = self.plain.encode_batch_fast([text], add_special_tokens=False)[0].ids
         return self._pieces(ids, self.ends[np.array(ids)], words)
 
     def _others(self, words: list[bytes]) -> dict[bytes, bytes]:
@@ -105,12 +115,15 @@ class WordTokenizer:
             match = _LETTERS.fullmatch(w)
             if match:
                 split[w] = [run for run in match.groups() if run]
+            elif match := _LATIN.fullmatch(w.decode()):
+                split[w] = [run.lower().encode() for run in match.groups() if run]
             elif len(self.zero) == 1 and not _has_number(w.decode()):
                 others.append(w)
             else:
                 singles.append(w)
         runs = [r for r in letters.union(*split.values()) if r not in known]
-        for some, encode in ((runs, self._runs), (others, self._others)):
+        ascii_runs, latin_runs = [r for r in runs if r.isascii()], [r for r in runs if not r.isascii()]
+        for some, encode in ((ascii_runs, self._runs), (latin_runs, self._runs), (others, self._others)):
             for at in range(0, len(some), _TOGETHER):
                 known.update(encode(some[at : at + _TOGETHER]))
         for w, e in zip(singles, self.full.encode_batch_fast([w.decode() for w in singles], add_special_tokens=False)):
@@ -120,30 +133,37 @@ class WordTokenizer:
 
     def learn(self, texts: list[bytes]) -> None:
         """Tokenize the new words of several texts together."""
-        new: set[bytes] = set()
-        for i, data in enumerate(texts):
-            new.update(set(data.lower().split()).difference(self.known))
-            if new and (len(new) >= _WAITING or i == len(texts) - 1):
-                if len(self.known) > _CACHED:
-                    self.known.clear()
-                self._learn(new)
-                new = set()
+        self.every(pa.array(texts, pa.string()))
 
     def ids(self, data: bytes) -> bytes:
-        low = data.lower()  # ASCII only; the tokenizer lower-cases everything anyway
-        if any(name in low for name in self.special):
-            return self.exact.ids(data)
-        words = low.split()
-        known = self.known
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            pass
+        return self.every(pa.array([data], pa.string()))[0]
+
+    def every(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text; a word that several texts hold is looked up or tokenized once."""
+        low = pc.ascii_lower(texts)  # ASCII only; the tokenizer lower-cases everything anyway
+        whole = np.zeros(len(low), bool)
+        for name in self.special:
+            whole |= pc.match_substring(low, name).to_numpy(zero_copy_only=False)
+        if whole.any():
+            low = pc.if_else(pa.array(whole), "", low)
+        split = pc.ascii_split_whitespace(low)
+        words = split.flatten().dictionary_encode()
+        known, different = self.known, words.dictionary.cast(pa.binary()).to_pylist()
         if len(known) > _CACHED:
             known.clear()
-        for at in range(0, len(words), _CACHED):
-            self._learn({w for w in words[at : at + _CACHED] if w not in known})
-        return b"".join([known[w] for w in words])
+        new = set(filterfalse(known.__contains__, different)) - {b""}
+        if new:
+            self._learn(new)
+        known[b""] = b""  # what stands before a leading blank
+        pieces = pa.array([known[w] for w in different], pa.large_binary()).take(words.indices)
+        ends = np.cumsum(pc.binary_length(pieces).to_numpy(zero_copy_only=False))
+        last = np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))  # words up to each text's end
+        cuts = np.concatenate([[0], ends])[np.concatenate([[0], last])].tolist()
+        data = memoryview(pieces.buffers()[2] or b"")
+        out = [bytes(data[at:to]) for at, to in zip(cuts, cuts[1:])]
+        for i in np.flatnonzero(whole):
+            out[i] = self.exact.ids(texts[i].as_py().encode())
+        return out
 
 
 def _has_number(word: str) -> bool:
@@ -158,7 +178,9 @@ def suits(definition: str) -> bool:
     parts = json.loads(definition)
     steps = [n["type"] for n in (parts.get("normalizer") or {}).get("normalizers", [])]
     model = parts["model"]
-    return steps == ["NFC", "Replace", "Lowercase"] and model["type"] == "BPE" and model["end_of_word_suffix"] == "</w>"
+    cuts = [t["type"] for t in (parts.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+    same = steps == ["NFC", "Replace", "Lowercase"] and cuts == ["Split", "ByteLevel"]
+    return same and model["type"] == "BPE" and model["end_of_word_suffix"] == "</w>"
 
 
 class WholeTokenizer:
@@ -170,8 +192,8 @@ class WholeTokenizer:
         self.full = Tokenizer.from_str(definition)
         self.width = width
 
-    def learn(self, texts: list[bytes]) -> None:
-        """Nothing to prepare."""
+    def every(self, texts: pa.Array) -> list[bytes]:
+        return [self.ids(t) for t in texts.cast(pa.binary()).to_pylist()]
 
     def ids(self, data: bytes) -> bytes:
         return np.array(self.full.encode(data.decode(), add_special_tokens=False).ids, self.width).tobytes()
@@ -239,20 +261,18 @@ def tokenized(docs: DataFrame, definition: str, end_id: int = END_ID) -> DataFra
         tokenizer, directions = _tokenizer(shared.value), projection()
         end = np.array([end_id], width).tobytes()
         for batch in batches:
-            texts = batch.column("text").cast(pa.binary())
-            for at in range(0, batch.num_rows, 256):
+            texts = batch.column("text")
+            for at in range(0, batch.num_rows, TEXT_BATCH):
                 every, projected = [], []
-                some = texts[at : at + 256].to_pylist()
-                tokenizer.learn(some)
-                for text in some:
-                    data = tokenizer.ids(text) + end
+                for data in tokenizer.every(texts[at : at + TEXT_BATCH]):
+                    data += end
                     counts = np.bincount(np.frombuffer(data, width) % _BUCKETS, minlength=_BUCKETS)
                     projected.append(counts @ directions / np.sqrt(counts @ counts))
                     every.append(data)
                 keys = hilbert_keys(curve_points(np.array(projected)))
                 lengths = np.array([len(e) for e in every]) // np.dtype(width).itemsize
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("__d")[at : at + 256], pa.array(lengths, pa.int64()), pa.array(keys, pa.int64()), pa.array(every, pa.binary())],
+                    [batch.column("__d")[at : at + TEXT_BATCH], pa.array(lengths, pa.int64()), pa.array(keys, pa.int64()), pa.array(every, pa.binary())],
                     names=["__d", "n", "key", "ids"],
                 )
 
