@@ -161,6 +161,48 @@ def test_collisions_are_counted_once_while_windows_grow(monkeypatch):
     assert (sum(counted) == near.sum(axis=1)).all()
 
 
+def test_other_blocks_search_within_the_bound_of_the_first(monkeypatch):
+    """Every block opened its windows as if the query knew nothing; a known bound saves most of the counting."""
+    x = _planted(12288, 64, 0.95, 13).astype(float)[:16384]
+    ids, longest = np.arange(len(x)), np.sqrt((x * x).sum(axis=1)).max()
+    one, two = (ann.BlockIndex(ids[ids % 2 == b], ids[ids % 2 == b], x[ids % 2 == b], longest) for b in (0, 1))
+    asking, inside, counted = ids[::328], np.bincount, [0]
+    first = one.nearest(asking, x[asking], 20)
+
+    def count(v, minlength):
+        counted[0] += len(v)
+        return inside(v, minlength=minlength)
+
+    monkeypatch.setattr(ann.np, "bincount", count)
+    two.nearest(asking, x[asking], 20)
+    whole, counted[0] = counted[0], 0
+    second = two.nearer(asking, x[asking], [scores for _, scores in first], 20)
+    assert counted[0] < 0.6 * whole
+    hits = 0
+    for q, (a, s), (b, t) in zip(asking, first, second):
+        assert (t == (two.rows[b] * x[q]).sum(axis=1)).all()
+        found = sorted([(-v, one.order[i]) for i, v in zip(a, s)] + [(-v, two.order[i]) for i, v in zip(b, t)])[:20]
+        exact = x @ x[q]
+        exact[q] = -np.inf
+        hits += len({i for _, i in found} & set(np.argsort(-exact)[:20]))
+    assert hits >= 0.9 * 20 * len(asking)
+
+
+def test_bounds_that_say_nothing(spark, monkeypatch):
+    """Copies at distance 0, queries alone in their block, and products beyond doubles, over many blocks."""
+    monkeypatch.setattr(ann, "BLOCK", 7)
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((60, 8)).astype(np.float32)
+    x[10:50] = x[10]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = sorted(tuple(r) for r in ann.nearest(_table(spark, rows), F.col("vec_id") % 20 == 0, k=5).collect())
+    want = _nearest_by_hand(rows, 5)
+    assert [g[:3] for g in got if g[0] in (20, 40)] == [(q, i + 1, j) for q in (20, 40) for i, (j, _) in enumerate(want[q])]
+    assert len(got) == 15
+    wide = spark.createDataFrame([(i, [1e200 * (i % 7 + 1)] * 8) for i in range(30)], "vec_id bigint, embedding array<double>")
+    assert ann.nearest(wide, F.col("vec_id") % 20 == 0, k=5).groupBy("query_id").count().collect() != []
+
+
 def test_few_candidates_ties_and_unusable_vectors(spark):
     rows = [(i + 1, v) for i, v in enumerate(BAD)] + [(20, [1.0] * 8), (40, [2.0] * 8), (41, [2.0] * 8), (None, [2.0] * 8), (60, [0.0] * 8), (42, [-1.0] * 8)]
     got = [tuple(r) for r in ann.nearest(_table(spark, rows), F.col("vec_id") % 20 == 0).collect()]
