@@ -2,6 +2,7 @@
 
 import ast
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -179,3 +180,19 @@ def test_ten_thousand_nested_files(spark, tmp_path):
     assert len(files) == 10_000 and len({r["content"] for r in files}) == 10_000
     assert [r["file_id"] for r in sorted(files, key=lambda r: r["path"])] == list(range(10_000))
     assert {r["repo"] for r in files} == {f"r{i}" for i in range(40)}
+
+
+def test_a_large_arrow_batch_is_parsed_in_slices(monkeypatch):
+    """A session's batch of 10,000 texts became Python lists all at once; a worker's memory grew with it."""
+    from clonelens.functions import arrays
+
+    texts = [f"x{i % 700} = {i}\n" for i in range(3000)] + [None, "", "(", "y = 1  # " + "z" * (3 << 19), "y = 2"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["file_id", "content"])
+    monkeypatch.setattr(syntax, "_REMEMBERED", 2000)
+    out = list(syntax._parse_batches(iter([batch, batch.slice(0, 0), batch.slice(2990)]), syntax._ARROW_FIELDS))
+    assert max(b.num_rows for b in out) <= arrays.SLICE_ROWS
+    assert all(b.num_rows == 1 for b in out if max(len(t or "") for t in b.column("content").to_pylist()) > arrays.SLICE_BYTES)
+    whole = pa.Table.from_batches(out)
+    assert whole.column("file_id").to_pylist() == [*range(len(texts)), *range(2990, len(texts))]
+    rows = zip(*[whole.column(c).to_pylist() for c in ("content", *syntax.NODE_COLUMNS)])
+    assert all(tuple(found) == syntax.syntax_columns(text) for text, *found in rows)
