@@ -106,3 +106,26 @@ def test_fingerprints_find_links_first(documents, monkeypatch):
     similar = {frozenset((classes[i], classes[j])) for i in range(36) for j in range(i) if i // 3 == j // 3}
     assert len(near) >= 10 and found <= similar and len(found) >= 10
     assert all(any(c in pair for pair in found) for both in near for c in both)
+
+
+def test_the_fingerprint_search_takes_every_class(documents, monkeypatch):
+    """Classes that meet no other in a shingle are searched as well, and pairs that it finds among them are compared."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(f"w{rng.randrange(10_000)}" for _ in range(60))) for i in range(20)]
+    rows += [(20, "no other text"), (21, None), (22, rows[0][1])]
+    sets = [nt.shingles((t or "").encode()) for _, t in rows]
+    searched, probes, pairs = [], nt.simhash.probes, nt.fingerprint_pairs
+
+    def probing(classes, *rest):
+        searched.extend(r["fp"] for r in classes.collect())
+        return probes(classes, *rest)
+
+    def with_unlike_pairs(prints):
+        unlike = [tuple(sorted((nt.class_of(sets[i]), nt.class_of(sets[i + 1])))) for i in range(21)]
+        return pairs(prints).unionByName(prints.sparkSession.createDataFrame(unlike, "a bigint, b bigint"))
+
+    monkeypatch.setattr(nt.simhash, "probes", probing)
+    monkeypatch.setattr(nt, "fingerprint_pairs", with_unlike_pairs)
+    kept = corpus_pipeline.near_duplicates(None, documents(rows), "").collect()
+    assert sorted(searched) == sorted({nt.fingerprint(s) for s in sets})
+    assert sorted(r["doc_id"] for r in kept) == list(range(22))
