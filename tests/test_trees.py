@@ -1,6 +1,9 @@
 """Exact trees, boosting and AdaBoost against brute force, and Spark against one task."""
 
+from pathlib import Path
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,6 +13,7 @@ from clonelens.models.boosting import AdaBoost
 from clonelens.models.exact_trees import ExactSubtree, Ranks, best_cuts, bootstrap_weights, decision_tree, random_forest
 from clonelens.models.registry import LEVEL_WISE
 from clonelens.operators.evaluate import class_scores
+from clonelens.session import staging_root
 
 ROWS = "row_id bigint, label bigint, x array<double>"
 
@@ -251,3 +255,37 @@ def test_counted_and_sorted_values_give_the_same_tree():
             trees.append(ExactSubtree(x, label, weight, (3,), 50, 2, ranks))
     a, b = trees
     assert len(a.feature) > 100 and (a.feature, a.cut, a.left, a.share) == (b.feature, b.cut, b.left, b.share)
+
+
+def test_packed_rows_travel_as_bytes():
+    from clonelens.functions.arrays import packed_rows, unpacked_rows
+
+    x = np.random.default_rng(1).normal(size=(7, 3))
+    column = pa.chunked_array([packed_rows(x[:4]), packed_rows(x[4:]).slice(1)])
+    assert column.type == pa.binary()
+    assert np.array_equal(unpacked_rows(column), np.vstack([x[:4], x[5:]]))
+    assert len(unpacked_rows(packed_rows(x[:0]))) == 0
+
+
+def test_boosting_counts_rows_on_the_way_to_counted_leaves_only(small, spark):
+    """Margins are staged after every tree, earlier tables are removed, and other branches are not walked."""
+    tree = Tree()
+    left = tree.split(0, 0, 4)
+    below = tree.split(left, 1, 4)
+    bins = np.random.default_rng(2).integers(0, 10, (500, 2)).astype(np.int16)
+    ends = tree.leaves(bins)
+    rows, place = tree.reached(bins, [below + 1, left + 1])
+    assert sorted(rows) == np.flatnonzero((ends == below + 1) | (ends == left + 1)).tolist()
+    assert np.array_equal(np.array([below + 1, left + 1])[place], ends[rows])
+
+    given, folder = small[0], Path(staging_root(spark))
+    before = set(folder.iterdir())
+    fitted = BoostedTrees(trees=3, bins=40, local_rows=0).fit(given)
+    assert len(fitted.trees) == 3 and set(folder.iterdir()) == before
+    naive = [r.loss for r in fitted.staged_loss(given).orderBy("round").collect()]
+    x, y = (np.array([r[c] for r in given.select("x", "label").collect()]) for c in ("x", "label"))
+    margin, want = np.full(len(x), fitted.start), []
+    for one in [None, *fitted.trees]:
+        margin = margin if one is None else margin + one.margin(binned(x, fitted.cuts))
+        want.append(np.mean(np.log1p(np.exp(np.where(y == 1, -margin, margin)))))
+    assert np.allclose(naive, want)
